@@ -127,14 +127,14 @@ def labelling_functions() -> dict[str, list[tuple[Column, tuple[str, ...]]]]:
     """Name -> answers in order of precedence: a condition, and the types it speaks for. No condition met: it abstains."""
     c = F.col
     return {
-        "common words": [(c("common_share") >= 0.3, ("prose",)), (c("common_share") < 0.15, OTHERS)],
+        "common words": [(c("common_share") >= 0.45, ("prose",)), (c("common_share") >= 0.28, ("prose",)), (c("common_share") < 0.05, OTHERS), (c("common_share") < 0.13, OTHERS)],
         "chunks of prose": [(c("prose_share") >= 0.5, ("prose",)), (c("prose_share") < 0.5, OTHERS)],
         "words to a stop": [(c("words_per_stop").between(5, 45), ("prose",)), (c("n_words") > 0, OTHERS)],
         "words to a line": [(c("words_per_line") >= 8, ("prose",)), (c("words_per_line") < 5, ("list", "table"))],
         "lines that end in a stop": [(c("line_stop_share") >= 0.5, ("prose",)), (c("line_stop_share") < 0.1, OTHERS)],
         "markers": [(c("marker_share") >= 0.5, ("list",))],
         "cells": [(c("cell_share") >= 0.5, ("table",))],
-        "repetition": [(c("distinct_share") < 0.5, ("junk",))],
+        "repetition": [(c("distinct_share") < 0.5, ("junk",)), (c("distinct_share") < 0.75, OTHERS)],
         "word length": [(~c("mean_word_length").between(2.2, 12), ("junk",))],
         "symbols": [(c("symbol_share") >= 0.25, ("junk", "table")), (c("symbol_share") < 0.06, ("prose", "list"))],
         "digits": [(c("digit_share") >= 0.1, ("table", "junk"))],
@@ -186,7 +186,7 @@ def posterior(patterns: np.ndarray, prior: np.ndarray, given: list[np.ndarray])
 
 
 def fit(stats: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Learns from all documents by the histogram of their answers: at most 3^9 * 2^6 rows whatever the number of documents."""
+    """Learns from all documents by the histogram of their answers: at most 5 * 3^7 * 2^5 rows whatever the number of documents."""
     named = {f"v{i}": e for i, e in enumerate(votes().values())}
     rows = stats.select(*[e.alias(n) for n, e in named.items()]).groupBy(*named).count().collect()
     if not rows:
