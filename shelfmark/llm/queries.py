@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("leakage_queries", "mixing_queries", "quality_queries", "nearduplicate_queries", "encoding_queries", "canonical_queries")
+MODULES = ("leakage_queries", "mixing_queries", "quality_queries", "nearduplicate_queries", "encoding_queries", "canonical_queries", "personal_queries")
 
 QUERIES, ORACLE = {}, {}
 for _m in MODULES:
