@@ -33,7 +33,7 @@ def _phrase_hits(post: DataFrame, words: list[str]) -> DataFrame:
     *first, last = words
     hits = post.where(F.col("term").startswith(last)).select("file_id", "column", F.explode("places").alias("place"))
     for i, w in enumerate(reversed(first), 1):
-        before = post.where(F.col("term") == w).select("file_id", "column", (F.explode("places") + i).alias("place"))
+        before = post.where(F.col("term") == w).select("file_id", "column", F.explode("places").alias("place")).withColumn("place", F.col("place") + i)
         hits = hits.join(before, ["file_id", "column", "place"], "left_semi")
     return hits.groupBy("file_id").agg(F.count("*").alias("tf"))
 

@@ -12,7 +12,8 @@ from shelfmark.session import is_small, join_checked
 
 
 def by_rules(entries: DataFrame) -> DataFrame:
-    """``entries`` with category_id, score and reason: by the first keyword in name or excerpt, else by extension, else the catch-all."""
+    """``entries`` with category_id, score and reason, in place of its own: by the first keyword in name or excerpt, else by extension, else the catch-all."""
+    entries = entries.drop("category_id", "score", "reason")
     words = F.concat(F.coalesce("name", F.lit("")), F.lit("\n"), F.coalesce("excerpt", F.lit("")))
     keyword = F.coalesce(*[F.when(words.rlike(f"(?iu)(?:{p})"), cid) for cid, _, p in s.KEYWORDS])
     kinds = F.create_map(*[F.lit(x) for cid, (_, exts) in s.EXTENSIONS.items() for e in exts.split() for x in ("." + e, cid)])
@@ -38,6 +39,7 @@ def rule_plan(entries: DataFrame, least: int = 2, most: int = s.MOST_CATEGORIES)
     of shuffled.
     """
     rows = by_rules(entries)
+    own = [c for c in rows.columns if c not in ("category_id", "score", "reason")]
     counts = rows.groupBy("category_id").agg(F.count("*").alias("n"), F.min("path").alias("first"))
     large = F.sum(F.when(F.col("n") >= least, 1).otherwise(0)).over(Window.partitionBy())
     kept = counts.withColumn("keep", (large < 2) | (F.col("n") >= least))
@@ -47,7 +49,7 @@ def rule_plan(entries: DataFrame, least: int = 2, most: int = s.MOST_CATEGORIES)
     fate = fate.select("category_id", "keep", F.when(F.col("rank") <= most, F.col("to")).otherwise(s.CATCH_ALL).alias("final"))
     out = rows.join(F.broadcast(fate), "category_id")  # a row for each category of the rules
     reason = F.when(F.col("keep"), F.col("reason")).otherwise(F.concat("reason", F.lit(s.MERGED_SUFFIX)))
-    return out.select(*entries.columns, F.col("final").alias("category_id"), "score", reason.alias("reason"))
+    return out.select(*own, F.col("final").alias("category_id"), "score", reason.alias("reason"))
 
 
 def histogram(assigned: DataFrame) -> DataFrame:

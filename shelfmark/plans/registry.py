@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("snapshot_queries", "text_queries")
+MODULES = ("snapshot_queries", "text_queries", "plan_queries", "index_queries")
 
 QUERIES, ORACLE = {}, {}
 for _m in MODULES:
