@@ -33,7 +33,7 @@ _TO = {
     ("latin", "greek"): {v: k for k, v in reversed(GREEK_LOOKS.items())},
     ("cyrillic", "greek"): {v: k for k, v in reversed(GREEK_CYRILLIC.items())},
 }
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"(?:[^\W_][\u0300-\u036f]*)+")
 _SCRIPTS = re.compile("[A-Za-zÀ-ɏḀ-ỿ]|([Ͱ-Ͽἀ-῾])|([Ѐ-ԯ])")
 _FOREIGN = re.compile("[Ͱ-ԯἀ-῾]")
 
@@ -112,7 +112,7 @@ def one_script(word: str) -> str:
     if best is None:
         return word
     target = best[1]
-    return "".join(c if (s := _script(c)) in (None, target) else _TO[s, target][c] for c in word)
+    return ud.normalize("NFC", "".join(c if (s := _script(c)) in (None, target) else _TO[s, target][c] for c in word))
 
 
 def mixed(word: str) -> bool:

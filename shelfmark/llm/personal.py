@@ -95,7 +95,7 @@ def plain(text: str, words: set[str] | None = None) -> Plain:
     """The plain form that detectors read; ``words``: the text's letter runs in lower case."""
     words = set(TOKEN.findall(text.lower())) if words is None else words
     spelled = len(words & DIGIT_WORDS.keys()) > 1 and _SPELLED.search(text)
-    if not spelled and not _PLAIN.search(text) and not _SPELLED_KO.search(text):
+    if not spelled and not _PLAIN.search(text) and (text.isascii() or not (_SPELLED_KO.search(text) or _MIXED.search(text))):
         return Plain(text)
     out = Plain(text).replaced(_ODD, lambda m: fold(m.group()))
     out = out.replaced(_DASH, lambda m: "-")
