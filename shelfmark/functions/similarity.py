@@ -31,12 +31,17 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_element_at(differs, F.lit(1)) - 1, n)
 
 
-def prefix_share(stem: Column, stems: Column) -> Column:
-    """Longest common start with any of the stems over the shortest length; 0 below two characters."""
-    others = F.filter(stems, lambda t: t != "")
-    best = F.array_max(F.transform(others, lambda t: common_prefix(stem, t)))
-    shortest = F.least(F.length(stem), F.array_min(F.transform(others, F.length)))
-    return F.when((F.coalesce(stem, F.lit("")) == "") | F.coalesce(best < 2, F.lit(True)), 0.0).otherwise(F.least(F.lit(1.0), best / F.greatest(shortest, F.lit(1))))
+def prefix_share(stem: Column, stems: Column, shortest: Column | None = None) -> Column:
+    """Longest common start with any of the stems over the shortest length; 0 below two characters.
+
+    ``shortest``: length of the shortest non-empty stem where it is known. Only stems that share the first two
+    characters are compared further.
+    """
+    least = F.array_min(F.transform(F.filter(stems, lambda t: t != ""), F.length)) if shortest is None else shortest
+    near = F.filter(stems, lambda t: t.startswith(F.left(stem, F.lit(2))) & (F.length(t) >= 2))
+    best = F.array_max(F.transform(near, lambda t: common_prefix(stem, t)))
+    share = F.least(F.lit(1.0), best / F.greatest(F.least(F.length(stem), least), F.lit(1)))
+    return F.when((F.length(stem) < 2) | F.coalesce(best < 2, F.lit(True)), 0.0).otherwise(F.coalesce(share, F.lit(0.0)))
 
 
 def extension_match(ext: Column, exts: Column) -> Column:
@@ -88,15 +93,17 @@ def profiles(members: DataFrame, categories: DataFrame) -> DataFrame:
         F.array_remove(F.collect_set("sig.ext"), "").alias("exts"),
         F.collect_set("sig.stem").alias("stems"),
         F.collect_set("sig.parent").alias("parents"),
+        F.min(F.nullif(F.length("sig.stem"), F.lit(0))).alias("shortest"),
         F.count("*").alias("n_members"),
     )
     wide = per.join(categories.select(F.col("id").alias("category_id"), dates.label_range(F.col("time_label")).alias("period"), F.coalesce("duration", F.lit("")).alias("duration")), "category_id", "left")
-    return wide.select("category_id", "n_members", F.struct("name_nouns", "body_nouns", "schemas", "exts", "stems", "parents", "period", "duration").alias("profile"))
+    return wide.select("category_id", "n_members", F.struct("name_nouns", "body_nouns", "schemas", "exts", "stems", "parents", "period", "duration", "shortest").alias("profile"))
 
 
 def axes(sig: Column, profile: Column, reclassify: bool = True) -> list[Column]:
     """The seven axes, in order."""
-    schema = F.coalesce(F.array_max(F.transform(profile["schemas"], lambda t: edit_similarity(sig["schema"], t))), F.lit(0.0))
+    near = F.coalesce(F.array_max(F.transform(profile["schemas"], lambda t: edit_similarity(sig["schema"], t))), F.lit(0.0))
+    schema = F.when(F.array_contains(profile["schemas"], sig["schema"]), 1.0).otherwise(near)
     return [
         jaccard(sig["name_nouns"], profile["name_nouns"]),
         schema,
@@ -104,7 +111,7 @@ def axes(sig: Column, profile: Column, reclassify: bool = True) -> list[Column]:
         F.lit(0.0) if reclassify else path_match(sig["parent"], profile["parents"]),
         jaccard(sig["body_nouns"], profile["body_nouns"]),
         extension_match(sig["ext"], profile["exts"]),
-        prefix_share(sig["stem"], profile["stems"]),
+        prefix_share(sig["stem"], profile["stems"], profile["shortest"]),
     ]
 
 

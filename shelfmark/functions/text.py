@@ -280,13 +280,15 @@ def _accents() -> tuple[str, str]:
 
 ACCENTED, BASE = _accents()
 MARKS = r"[\x{0300}-\x{036F}]"
+MARKED = r"[\x{00C0}-\x{0530}\x{1E00}-\x{1FFF}]"
 SEARCH_TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
 def search_tokens(c: Column) -> Column:
     """Tokens as the full-text index has them: lower case, without accents; '_' and '-' split."""
-    plain = F.lower(F.translate(_drop(F.coalesce(c, F.lit("")), MARKS), ACCENTED, BASE))
-    return F.regexp_extract_all(plain, F.lit(SEARCH_TOKEN), F.lit(0))
+    c = F.coalesce(c, F.lit(""))
+    plain = F.when(c.rlike(MARKED), F.translate(_drop(c, MARKS), ACCENTED, BASE)).otherwise(c)
+    return F.regexp_extract_all(F.lower(plain), F.lit(SEARCH_TOKEN), F.lit(0))
 
 
 def query_phrases(query: str) -> list[list[str]]:

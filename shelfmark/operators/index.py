@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
-from shelfmark.session import is_small, join_checked
+from shelfmark.session import is_small, join_checked, spread
 
 #: Columns that the index reads, in order, and those that the search for substrings reads. Fixed values.
 INDEXED = ("filename", "folder", "original_path", "new_path", "category", "reason", "content_excerpt")
@@ -15,13 +15,23 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 def tokenised(files: DataFrame) -> DataFrame:
     """(file_id, columns, length): the tokens of each indexed column."""
-    return files.select("file_id", F.array(*[text.search_tokens(F.col(c)) for c in INDEXED]).alias("columns")).withColumn("length", F.aggregate("columns", F.lit(0), lambda n, c: n + F.size(c)))
+    rows = spread(files.select("file_id", *INDEXED))
+    return rows.select("file_id", F.array(*[text.search_tokens(F.col(c)) for c in INDEXED]).alias("columns")).withColumn("length", F.aggregate("columns", F.lit(0), lambda n, c: n + F.size(c)))
 
 
 def postings(files: DataFrame) -> DataFrame:
-    """(term, file_id, column, places): where each term is. Write it ``bucketBy`` or sorted by term for pushed-down prefix filters."""
-    rows = tokenised(files).select("file_id", F.posexplode("columns").alias("column", "tokens")).select("file_id", "column", F.posexplode("tokens").alias("place", "term"))
-    return rows.groupBy("term", "file_id", "column").agg(F.sort_array(F.collect_list("place")).alias("places"))  # places of a term in one field
+    """(term, file_id, column, place): where each term is. A filter on terms is applied as the tokens come up, before any shuffle."""
+    rows = tokenised(files).select("file_id", F.posexplode("columns").alias("column", "tokens"))
+    return rows.select("file_id", "column", F.posexplode("tokens").alias("place", "term")).select("term", "file_id", "column", "place")
+
+
+def packed(post: DataFrame) -> DataFrame:
+    """Postings for storing: (term, file_id, column, places). Write them sorted by term, so prefix filters prune row groups."""
+    return post.groupBy("term", "file_id", "column").agg(F.sort_array(F.collect_list("place")).alias("places")).repartitionByRange("term").sortWithinPartitions("term", "file_id")
+
+
+def unpacked(stored: DataFrame) -> DataFrame:
+    return stored.select("term", "file_id", "column", F.explode("places").alias("place"))
 
 
 def lengths(files: DataFrame) -> DataFrame:
@@ -31,9 +41,9 @@ def lengths(files: DataFrame) -> DataFrame:
 def _phrase_hits(post: DataFrame, words: list[str]) -> DataFrame:
     """(file_id, tf) of a phrase whose last word is a prefix. Terms are filtered by equality or prefix in the scan."""
     *first, last = words
-    hits = post.where(F.col("term").startswith(last)).select("file_id", "column", F.explode("places").alias("place"))
+    hits = post.where(F.col("term").startswith(last)).select("file_id", "column", "place")
     for i, w in enumerate(reversed(first), 1):
-        before = post.where(F.col("term") == w).select("file_id", "column", F.explode("places").alias("place")).withColumn("place", F.col("place") + i)
+        before = post.where(F.col("term") == w).select("file_id", "column", (F.col("place") + i).alias("place"))
         hits = hits.join(before, ["file_id", "column", "place"], "left_semi")
     return hits.groupBy("file_id").agg(F.count("*").alias("tf"))
 

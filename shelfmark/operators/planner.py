@@ -115,7 +115,7 @@ def time_rescued(entries: DataFrame, categories: DataFrame, members: DataFrame |
     cats = categories.where(F.col("id") != s.CATCH_ALL).withColumn("period", period).where("period IS NOT NULL")
     none = F.array().cast("array<string>")
     if members is None:
-        profile = cats.select(F.col("id").alias("category_id"), "period", F.struct(*[none.alias(c) for c in ("name_nouns", "body_nouns", "schemas", "exts", "stems", "parents")], "period", F.coalesce("duration", F.lit("")).alias("duration")).alias("profile"))
+        profile = cats.select(F.col("id").alias("category_id"), "period", F.struct(*[none.alias(c) for c in ("name_nouns", "body_nouns", "schemas", "exts", "stems", "parents")], "period", F.coalesce("duration", F.lit("")).alias("duration"), F.lit(None).cast("int").alias("shortest")).alias("profile"))
     else:
         profile = cats.select(F.col("id").alias("category_id"), "period").join(similarity.profiles(members, categories), "category_id").select("category_id", "period", "profile")
     month = lambda d: F.trunc(d, "month")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text
 from shelfmark.operators.components import components
+from shelfmark.session import spread
 
 #: Vectors of one block of the exact search for pairs.
 BLOCK = 4_096
@@ -77,7 +78,7 @@ def merged_groups(vectors: DataFrame, threshold: float = 0.55, key: str = "vec_i
 
 def tfidf(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """(key, term, weight): smooth-idf weights of a document's terms, of length 1. Terms are search tokens of the whole text."""
-    terms = docs.select(key, F.explode(text.search_tokens(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    terms = spread(docs.select(key, column)).select(key, F.explode(text.search_tokens(F.col(column))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = docs.count()
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     raw = terms.join(df, "term").select(key, "term", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))

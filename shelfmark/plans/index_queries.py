@@ -39,7 +39,13 @@ def bm25_top(spark, sf_dir):
 
 
 def posting_counts(spark, sf_dir):
-    return index.postings(_files(spark, sf_dir)).groupBy("term").agg(F.countDistinct("file_id").alias("n_rows"), F.sum(F.size("places")).alias("n_uses"))
+    return index.postings(_files(spark, sf_dir)).groupBy("term").agg(F.countDistinct("file_id").alias("n_rows"), F.count("*").alias("n_uses"))
+
+
+def bm25_stored(spark, sf_dir):
+    """Over postings as they're stored."""
+    f = _files(spark, sf_dir)
+    return index.bm25(index.unpacked(index.packed(index.postings(f))), index.lengths(f), QUERY, None).select("file_id", F.round("score", 6).alias("score"))
 
 
 def like_search(spark, sf_dir):
@@ -143,7 +149,7 @@ def tfidf_weights(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_search, bm25_phrase, bm25_top, posting_counts, like_search, hybrid_search, matched_field, op_history, op_history_top, latest_op, stale_purge, orphan_sweep, reindex, backfill_names, stats_backfill,
+    bm25_search, bm25_phrase, bm25_top, bm25_stored, posting_counts, like_search, hybrid_search, matched_field, op_history, op_history_top, latest_op, stale_purge, orphan_sweep, reindex, backfill_names, stats_backfill,
     report_distribution, report_moves, report_totals, report_freed, dedup_ledger_labels, llm_usage, cosine_pairs, similar_components, cosine_to_first, tfidf_weights,
 )}
 
@@ -183,6 +189,7 @@ _label = "CASE WHEN {0} >= 1048576 THEN printf('%.1f', {0} / 1048576.0) || ' MB'
 
 ORACLE = {
     "bm25_search": _bm25(text.query_phrases(QUERY)),
+    "bm25_stored": _bm25(text.query_phrases(QUERY)),
     "bm25_phrase": _bm25(text.query_phrases(PHRASE)),
     "bm25_top": _bm25(text.query_phrases(QUERY)) + " ORDER BY score, file_id LIMIT 100",
     "posting_counts": f"WITH {_TOKENS}, u AS (SELECT file_id, unnest(w) AS term FROM tk) SELECT term, count(DISTINCT file_id) AS n_rows, count(*) AS n_uses FROM u GROUP BY term",

@@ -58,6 +58,19 @@ def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+#: Tables up to this size, in fewer files than there are cores, are spread before costly work on their rows.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is a small scan of few files, whose row groups may be a single task; else as it is."""
+    files = len(df.inputFiles())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not files or files >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
+
+
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join; ``right`` is broadcast only if counted to be small, else both sides are shuffled and AQE splits hot keys."""
     return left.join(F.broadcast(right) if is_small(right, most) else right, on, how)
