@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.session import spread
+
 #: Most code points of text that go through one pass of a function; a batch of long texts is cut by rows, never within one.
 BATCH_CHARS = 4_000_000
 
@@ -37,7 +39,7 @@ def over_batches(df: DataFrame, text: str, schema: str, make: Callable[[], Calla
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def strings(column: pa.Array) -> list[str]:
