@@ -13,16 +13,11 @@ INDEXED = ("filename", "folder", "original_path", "new_path", "category", "reaso
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def tokenised(files: DataFrame) -> DataFrame:
-    """(file_id, columns, length): the tokens of each indexed column."""
-    rows = spread(files.select("file_id", *INDEXED))
-    return rows.select("file_id", F.array(*[text.search_tokens(F.col(c)) for c in INDEXED]).alias("columns")).withColumn("length", F.aggregate("columns", F.lit(0), lambda n, c: n + F.size(c)))
-
-
 def postings(files: DataFrame) -> DataFrame:
     """(term, file_id, column, place): where each term is. A filter on terms is applied as the tokens come up, before any shuffle."""
-    rows = tokenised(files).select("file_id", F.posexplode("columns").alias("column", "tokens"))
-    return rows.select("file_id", "column", F.posexplode("tokens").alias("place", "term")).select("term", "file_id", "column", "place")
+    rows = spread(files.select("file_id", *INDEXED))
+    texts = rows.select("file_id", F.posexplode(F.array(*INDEXED)).alias("column", "text"))
+    return texts.select("file_id", "column", F.posexplode(text.search_tokens(F.col("text"))).alias("place", "term")).select("term", "file_id", "column", "place")
 
 
 def packed(post: DataFrame) -> DataFrame:
@@ -35,7 +30,9 @@ def unpacked(stored: DataFrame) -> DataFrame:
 
 
 def lengths(files: DataFrame) -> DataFrame:
-    return tokenised(files).select("file_id", "length")
+    """(file_id, length): number of tokens of all indexed columns."""
+    sizes = [F.size(text.search_tokens(F.col(c))) for c in INDEXED]
+    return spread(files.select("file_id", *INDEXED)).select("file_id", sum(sizes[1:], sizes[0]).alias("length"))
 
 
 def _phrase_hits(post: DataFrame, words: list[str]) -> DataFrame:
