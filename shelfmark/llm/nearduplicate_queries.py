@@ -37,4 +37,11 @@ def p5_documents(spark, sf_dir):
 
 
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p5_documents": p5_documents}
-ORACLE = {}
+ORACLE = {
+    "p5_found": r"""
+WITH f AS (SELECT file_id, coalesce(filename, '') || chr(10) || content_excerpt AS t FROM (SELECT *, row_number() OVER (PARTITION BY original_path ORDER BY file_id) AS k FROM files WHERE content_excerpt != '') WHERE k = 1),
+w AS (SELECT file_id, list_distinct(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS w FROM f),
+u AS (SELECT file_id, len(w) AS n, unnest(w) AS word FROM w),
+c AS (SELECT a.file_id AS file_id_a, b.file_id AS file_id_b, a.n + b.n AS n, count(*) AS k FROM u a JOIN u b ON a.word = b.word AND a.file_id < b.file_id AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n GROUP BY 1, 2, 3)
+SELECT file_id_a, file_id_b FROM c WHERE k >= 0.7 * (n - k)"""
+}
