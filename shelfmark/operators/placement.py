@@ -110,3 +110,22 @@ def renumbered(names: DataFrame) -> DataFrame:
 def sweep_order(paths: DataFrame) -> DataFrame:
     """Directories with their depth, the deepest first: the order in which empty ones go."""
     return paths.select("path", F.size(F.split("path", "/")).alias("depth")).orderBy(F.desc("depth"), "path")
+
+
+def surviving(categories: DataFrame, placed: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    """Categories with at least one file or shortcut."""
+    used = placed.select("category_id")
+    used = used if cuts is None else used.unionByName(cuts.select("category_id"))
+    return categories.join(used.select(F.col("category_id").alias("id")), "id", "left_semi")
+
+
+def recovered(assigned: DataFrame, listing: DataFrame) -> DataFrame:
+    """(assigned_path, path): for assigned files that are gone, the first listed file of the same name."""
+    name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
+    gone = assigned.select("path").join(listing.select("path"), "path", "left_anti").select(F.col("path").alias("assigned_path"), name("path").alias("_n"))
+    return gone.join(listing.select("path", name("path").alias("_n")), "_n").groupBy("assigned_path").agg(F.min("path").alias("path"))
+
+
+def garbled_directories(names: DataFrame) -> DataFrame:
+    """(dir, action): garbled directories are removed if empty, else merged into the catch-all's; from (dir, n_files)."""
+    return names.where(text.looks_mojibake(F.col("dir"), True)).select("dir", F.when(F.col("n_files") == 0, "remove").otherwise(f"merge into 9. {s.CATCH_ALL_NAME}").alias("action"))

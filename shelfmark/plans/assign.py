@@ -97,3 +97,20 @@ def systematic_sample(rows: DataFrame, most: int = 120) -> DataFrame:
     """Every so-many-th row of the families for one call that designs the catalogue; a sample is the feature."""
     step = max(1, rows.count() // most)
     return rows.where((F.col("fid") - 1) % step == 0).orderBy("fid").limit(most)
+
+
+def plan(entries: DataFrame, model: Model | None = None, context: int = 8_192, small: int = 30) -> tuple[DataFrame, list[dict]]:
+    """Assignments (path, category_id, score, reason) and new categories, by the way that suits the model.
+
+    Without a model by rules. With one, rolling chunks if there are enough files and the model takes enough at once, else
+    small batches. If the model gives nothing at all, by rules.
+    """
+    from shelfmark.operators import planner
+
+    by_rules = planner.rule_plan(entries).select("path", "category_id", "score", "reason")
+    if model is None:
+        return by_rules, []
+    capacity = (context - s.SYSTEM_TOKENS - 10 * s.CATEGORY_TOKENS - s.RESPONSE_TOKENS) // s.ROW_TOKENS
+    enough = entries.limit(s.LEAST_CHUNK).count() >= s.LEAST_CHUNK
+    out, catalogue = rolling(entries, model, context) if enough and capacity >= s.LEAST_CHUNK else microbatch(entries, model, small)
+    return (out, catalogue) if catalogue else (by_rules, [])

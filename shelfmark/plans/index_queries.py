@@ -202,6 +202,9 @@ ORACLE = {
     "orphan_sweep": "SELECT file_id FROM (SELECT * FROM files ORDER BY file_id DESC LIMIT 5000) WHERE new_path IS NULL OR new_path NOT IN (SELECT original_path FROM files)",
     "reindex": "SELECT 0::BIGINT AS op_id, p AS original_path, p AS new_path, regexp_extract(p, '([^/]*)$', 1) AS filename, regexp_replace(p, '/[^/]*$', '') AS folder, regexp_extract(regexp_replace(p, '/[^/]*$', ''), '([^/]*)$', 1) AS category, '' AS reason, 1.0::DOUBLE AS score, '' AS content_excerpt FROM (SELECT DISTINCT new_path AS p FROM files WHERE new_path IS NOT NULL)",
     "backfill_names": "SELECT file_id, coalesce(c.name, '') AS category_name FROM files f LEFT JOIN categories c ON f.category = c.id",
+    "stats_backfill": """WITH j AS (SELECT op_id, unnest(CAST(json_extract(CASE WHEN json_valid(stats_json) THEN stats_json END, '$.categories') AS JSON[])) AS c FROM operations),
+      o AS (SELECT op_id, json_extract_string(c, '$.id') AS category, max(json_extract_string(c, '$.name')) AS n FROM j GROUP BY 1, 2)
+      SELECT file_id, coalesce(nullif(category_name, ''), n, '') AS category_name FROM files LEFT JOIN o USING (op_id, category)""",
     "report_distribution": "SELECT op_id, coalesce(category, '') AS category, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY op_id), 9) AS share FROM files GROUP BY 1, 2",
     "report_moves": "SELECT file_id, original_path, new_path, category, score, reason FROM files WHERE op_id = 1 ORDER BY file_id LIMIT 500",
     "report_totals": "SELECT op_id, count(*) AS n_files, coalesce(any_value(s.n), 0) AS n_shortcuts, count(DISTINCT category) AS n_categories FROM files LEFT JOIN (SELECT op_id, count(*) AS n FROM shortcuts GROUP BY op_id) s USING (op_id) GROUP BY op_id",

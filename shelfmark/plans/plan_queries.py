@@ -342,6 +342,25 @@ _H = "(CASE WHEN lower(trim(coalesce(duration, ''), ' ')) = 'multiyear' THEN 'mu
 
 from shelfmark.plans.text_queries import sql_mojibake  # noqa: E402
 
+
+def _near(base, pairs):
+    """Compatibility, without the present directory, of rows x of ``pairs`` (path, sch, stem, ext, s3) with the members of category_id."""
+    return f"""{base},
+  sch AS (SELECT DISTINCT category_id, sch FROM sg), stm AS (SELECT DISTINCT category_id, stem FROM sg WHERE stem != ''), exs AS (SELECT DISTINCT category_id, ext FROM sg WHERE ext != ''),
+  mn AS (SELECT category_id, min(length(stem)) AS l FROM stm GROUP BY category_id),
+  pr AS ({pairs}),
+  p2 AS (SELECT path, category_id, max({_LEV.format(a='x.sch', b='y.sch')}) AS v FROM pr x JOIN sch y USING (category_id) GROUP BY 1, 2),
+  p7 AS (SELECT path, category_id, max({_LCP.format(a='x.stem', b='y.stem')}) AS v FROM pr x JOIN stm y USING (category_id) WHERE length(x.stem) >= 2 AND left(x.stem, 2) = left(y.stem, 2) GROUP BY 1, 2),
+  cp AS (SELECT x.*, {_weighed(['0.0', 'p2.v', 'x.s3', '0.0', '0.0', f"(CASE WHEN e.ext IS NULL THEN 0.0 ELSE {_EXT} END)", "(CASE WHEN coalesce(p7.v, 0) < 2 THEN 0.0 ELSE least(1.0, p7.v / greatest(1, least(length(x.stem), mn.l))) END)"], True)} AS compat
+    FROM pr x JOIN p2 USING (path, category_id) LEFT JOIN p7 USING (path, category_id) LEFT JOIN mn USING (category_id) LEFT JOIN exs e ON e.category_id = x.category_id AND e.ext = x.ext)"""
+
+
+_RESCUE = _near(f"{_A}, {_SIGS}, cats AS (SELECT id AS category_id, {_sa} AS pa, {_sb} AS pb FROM categories WHERE id != 'misc')", "SELECT x.path, x.sch, x.stem, x.ext, 1.0 AS s3, c.category_id, c.pb - c.pa AS span FROM sg x JOIN cats c ON x.day BETWEEN c.pa AND c.pb WHERE c.category_id IN (SELECT category_id FROM sg)")
+_ABSORB = _near(
+    f"{E}, a AS (SELECT path, year(modified) || ext AS category_id, modified, name, ext FROM e), {_SIGS}, n AS (SELECT category_id, count(*) AS n FROM sg GROUP BY 1)",
+    "SELECT x.path, x.sch, x.stem, x.ext, x.category_id AS small_id, n.category_id, CASE WHEN year(x.day) = left(n.category_id, 4)::INT THEN 1.0 ELSE exp(-(CASE WHEN year(x.day) > left(n.category_id, 4)::INT THEN x.day - make_date(left(n.category_id, 4)::INT, 12, 31) ELSE make_date(left(n.category_id, 4)::INT, 1, 1) - x.day END) / 365.0) END AS s3 FROM sg x, n WHERE n.n >= 3 AND x.category_id IN (SELECT category_id FROM n WHERE n < 3)",
+)
+
 ORACLE = {
     "dup_groups": f"WITH {_G} SELECT * FROM groups",
     "dup_ledger": f"WITH {_G} SELECT path AS deleted_path, canonical AS canonical_path, size AS bytes_freed FROM groups WHERE place > 1",
@@ -360,6 +379,8 @@ ORACLE = {
     "pair_compat": f"""WITH {E}, a AS (SELECT path, modified, name, ext FROM e), {_SIGS}, pp AS (SELECT x.*, lead(path) OVER w AS np, lead(stem) OVER w AS nstem, lead(sch) OVER w AS nsch, lead(ext) OVER w AS next_ext, lead(day) OVER w AS nday FROM sg x WINDOW w AS (PARTITION BY parent ORDER BY path)),
       q AS (SELECT x.*, {_LEV.format(a='x.sch', b='x.nsch')} AS p2, coalesce(exp(-abs(x.day - x.nday) / 365.0), 0.0) AS p3, CASE WHEN x.ext != '' AND x.ext = x.next_ext THEN {_EXT} ELSE 0.0 END AS p6, {_LCP.format(a='x.stem', b='x.nstem')} AS l FROM pp x WHERE np IS NOT NULL)
       SELECT path, round({_weighed(['0.0', 'p2', 'p3', '1.0', '0.0', 'p6', "(CASE WHEN stem = '' OR nstem = '' OR l < 2 THEN 0.0 ELSE least(1.0, l / greatest(1, least(length(stem), length(nstem)))) END)"], False)}, 6) AS compat FROM q""",
+    "time_rescue": f"WITH {_RESCUE} SELECT path, category_id, round(compat, 6) AS compat FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(compat, 6) DESC, span, category_id) AS k FROM cp WHERE compat >= 0.12) WHERE k = 1",
+    "small_absorb": f"WITH {_ABSORB}, m AS (SELECT small_id, category_id, avg(compat) AS m FROM cp GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY small_id ORDER BY round(m, 6) DESC, category_id) AS k FROM m) SELECT n.category_id AS small_id, CASE WHEN b.m >= 0.2 THEN b.category_id ELSE 'misc' END AS large_id, round(coalesce(b.m, 0.0), 6) AS compat FROM n LEFT JOIN b ON b.small_id = n.category_id AND k = 1 WHERE n.n < 3",
     "consolidated": f"WITH {_A}, w AS (SELECT id, string_split(name, ' ')[-1] AS w FROM categories), f AS (SELECT w, min(id) AS keep FROM w GROUP BY w) SELECT path, coalesce(keep, category_id) AS category_id FROM a LEFT JOIN (SELECT id, keep FROM w JOIN f USING (w) WHERE id != keep) ON id = category_id",
     "coerced_plan": f"WITH {_A}, k AS (SELECT id FROM categories WHERE group_no <= 4) SELECT path, CASE WHEN category_id IN (SELECT id FROM k) THEN category_id ELSE 'misc' END AS category_id, CASE WHEN 'misc' IN (SELECT id FROM k) AND category_id IN (SELECT id FROM k) AND category_id != 'misc' THEN 1 ELSE 0 END AS n_secondary FROM a",
     "clean_categories": f"""SELECT id, trim(name, ' ') AS name, coalesce(description, '') AS description, coalesce(time_label, '') AS time_label, {_H} AS duration, (CASE WHEN group_no BETWEEN 1 AND 9 THEN group_no ELSE 9 END)::INT AS "group" FROM categories
