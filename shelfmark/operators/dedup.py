@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.operators.ranks import ranked_within
 from shelfmark.schema import Settings
 
 
@@ -20,15 +21,15 @@ def duplicate_groups(entries: DataFrame, min_bytes: int | None = None, content:
     ``min_bytes`` turns deduplication off; empty files and those below it have no copies. Rows with a null size or
     content are left out. Only sizes that occur twice are hashed: the first count is combined before its shuffle, and
     the rows that pass go by size *and* hash, so one frequent size is spread over its contents. A content that is a
-    third of all rows is ranked by a sort that spills, without collecting the group.
+    third of all rows is ranked by ranges of its rows, in as many tasks as they need.
     """
     least = Settings().dedup_min_bytes if min_bytes is None else min_bytes
     rows = entries.where((F.col("size") > 0) & (F.col("size") >= least) & F.col(content).isNotNull() & F.lit(least >= 0))
     twice = rows.groupBy("size").count().where("count > 1").select("size")
     hashed = content_hash(rows.join(twice, "size", "left_semi"), content).select("path", "size", "modified", "hash")
     copies = hashed.groupBy("size", "hash").agg(F.count("*").alias("n_copies"), F.min(F.struct(F.length("path"), "modified", "path").alias("k")).alias("k")).where("n_copies > 1")
-    w = Window.partitionBy("size", "hash").orderBy(F.length("path"), "modified", "path")
-    ranked = hashed.join(copies, ["size", "hash"]).withColumn("place", F.row_number().over(w))
+    joined = hashed.join(copies, ["size", "hash"]).withColumn("_l", F.length("path"))
+    ranked = ranked_within(joined, ["size", "hash"], ["_l", "modified", "path"], "place")
     return ranked.select("path", "size", "hash", F.col("k.path").alias("canonical"), "n_copies", "place")
 
 

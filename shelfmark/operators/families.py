@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
+from shelfmark.operators.ranks import with_rank
 
 
 def with_signature(entries: DataFrame) -> DataFrame:
@@ -16,14 +17,14 @@ def family_rows(entries: DataFrame, anonymise: bool = True) -> DataFrame:
     """(fid, signature, name, modified, parent, ext, n): a row for each signature, shown by its first file in order of path.
 
     Members stay in their own rows and find their family by the signature, so a signature that a third of all files
-    share (that of names without nouns, '') is one sum here, never a list. Numbers follow the names, from 1; they need
-    one order over the rows, which are far fewer than the files.
+    share (that of names without nouns, '') is one sum here, never a list. Numbers follow the names, from 1, over
+    ranges of the rows.
     """
     parent = F.lit("[folder]") if anonymise else F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
     first = F.min(F.struct("path", "name", F.date_format("modified", "yyyy-MM-dd").alias("modified"), parent.alias("parent"), F.lower("ext").alias("ext")))
     rows = with_signature(entries).groupBy("signature").agg(first.alias("f"), F.count("*").alias("n"))
-    order = Window.orderBy("f.name", "f.path")
-    return rows.select(F.row_number().over(order).alias("fid"), "signature", "f.name", F.coalesce("f.modified", F.lit("")).alias("modified"), "f.parent", "f.ext", "n")
+    flat = rows.select("signature", "f.name", "f.path", F.coalesce("f.modified", F.lit("")).alias("modified"), "f.parent", "f.ext", "n")
+    return with_rank(flat, ["name", "path"], "fid").select(F.col("fid").cast("int").alias("fid"), "signature", "name", "modified", "parent", "ext", "n")
 
 
 def payload(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from shelfmark import schema as s
 from shelfmark.functions import dates, text
+from shelfmark.operators.ranks import ranked_within
 from shelfmark.schema import Settings
 from shelfmark.session import join_checked
 
@@ -56,10 +57,10 @@ def numbered(rows: DataFrame, directory: str = "folder", name: str = "name", ord
     """``rows`` with a free name as ``new_name``: the first of a name keeps it, others get ' (2)', ' (3)' before the extension.
 
     A number that some file of the directory already has as its own name is skipped: its place in the row of free
-    numbers is found by counting the taken ones up to it, in one window over (directory, name).
+    numbers is found by counting the taken ones up to it. A name that a third of all files share is numbered by ranges.
     """
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    base = rows.withColumn("_k", F.row_number().over(Window.partitionBy(directory, name).orderBy(order)))
+    base = ranked_within(rows, [directory, name], [order], "_k")
     own = rows.select(directory, F.regexp_extract(name, r"^(.*) \((\d+)\)(\.[^.]*)?$", 1).alias("_s"), F.regexp_extract(name, r"^(.*) \((\d+)\)(\.[^.]*)?$", 2).try_cast("int").alias("_n"), F.regexp_extract(name, r"^(.*) \((\d+)\)(\.[^.]*)?$", 3).alias("_e")).where("_n >= 2")
     taken = own.groupBy(directory, "_s", "_e").agg(F.array_sort(F.collect_set("_n")).alias("_taken"))  # numbered copies of one name in one directory
     joined = base.withColumns({"_s": stem, "_e": ext}).join(taken, [directory, "_s", "_e"], "left")

@@ -88,10 +88,10 @@ def coerced(assigned: DataFrame, categories: DataFrame) -> DataFrame:
     ones dropped where unknown or the same as the first; reasons are cut at 140 characters; the first row of a path counts."""
     known = categories.select("id")
     one = assigned.groupBy("path").agg(F.min_by(F.struct("category_id", "score", "secondary", "reason"), "pos").alias("a")).select("path", "a.*")
-    ids = known.agg(F.collect_set("id").alias("ids"))  # a catalogue: as many ids as directories
+    ids = known.agg(F.collect_set("id").alias("ids")).first()["ids"]  # a catalogue: as many ids as directories
     first = join_checked(one, known.select(F.col("id").alias("category_id"), F.lit(True).alias("_k")), "category_id", "left")
     cid = F.when(F.col("_k"), F.col("category_id")).otherwise(s.CATCH_ALL)
-    all_ids = F.array(*[F.lit(i) for i in (ids.first()["ids"] or [])]) if one.columns else None
+    all_ids = F.array(*[F.lit(i) for i in ids]).cast("array<string>")
     second = F.filter(F.coalesce("secondary", F.array().cast(dict(assigned.dtypes)["secondary"])), lambda x: F.array_contains(all_ids, x["category_id"]) & (x["category_id"] != cid))
     return first.select("path", cid.alias("category_id"), "score", second.alias("secondary"), F.substring(F.coalesce("reason", F.lit("")), 1, 140).alias("reason"))
 
@@ -160,13 +160,18 @@ def apply_absorption(assigned: DataFrame, redirect: DataFrame) -> DataFrame:
 
 
 def suffix_matched(assigned: DataFrame, entries: DataFrame) -> DataFrame:
-    """(assigned_path, path): for assignments whose path isn't an entry's, the first entry that ends in it, or whose name it ends in.
+    """(assigned_path, path): for assignments whose path isn't an entry's, the first entry whose path ends in it, or in whose name it ends.
 
-    Either way the two share the last part of their path or one name ends in the other; the join is on the last
-    characters both must share, and what is joined is checked.
+    Both come down to one last part of a path ending in the other, so the longer side's endings are unrolled and the
+    join is an equality on a whole name: no end that many names share, as an extension, ever meets itself.
     """
-    tail = lambda c: F.right(F.regexp_extract(c, "([^/]*)$", 1), F.lit(4))
+    last = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
+    endings = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, F.length(c))))
     loose = assigned.select(F.col("path").alias("assigned_path")).distinct().join(entries.select(F.col("path").alias("assigned_path")), "assigned_path", "left_anti")
-    near = loose.withColumn("_t", tail(F.col("assigned_path"))).join(entries.select("path", "name", tail(F.col("path")).alias("_t")), "_t")
-    ok = near.where(F.col("path").endswith(F.col("assigned_path")) | F.col("assigned_path").endswith(F.col("name")))
+    named = entries.where("name != ''").select("path", "name")
+    within = loose.withColumn("name", endings(last("assigned_path"))).join(named, "name")
+    bare = loose.where(~F.col("assigned_path").contains("/") & (F.col("assigned_path") != ""))
+    around = named.withColumn("assigned_path", endings(F.col("name"))).join(bare, "assigned_path")
+    both = within.select("assigned_path", "path", "name").unionByName(around.select("assigned_path", "path", "name"))
+    ok = both.where(F.col("path").endswith(F.col("assigned_path")) | F.col("assigned_path").endswith(F.col("name")))
     return ok.groupBy("assigned_path").agg(F.min("path").alias("path"))

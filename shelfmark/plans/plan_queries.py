@@ -162,6 +162,13 @@ def coerced_plan(spark, sf_dir):
     return planner.coerced(rows, cats).select("path", "category_id", F.size("secondary").alias("n_secondary"))
 
 
+def suffix_match(spark, sf_dir):
+    """Masked paths and bare ends of names, as models give them back, against the files."""
+    e = entries(spark, sf_dir)
+    given = F.when(F.pmod(C("file_id"), F.lit(3)) == 0, F.concat(F.lit("[folder]/"), "name")).when(F.pmod(C("file_id"), F.lit(3)) == 1, F.substring("name", 4, 300)).otherwise(C("path"))
+    return planner.suffix_matched(e.select(given.alias("path")), e)
+
+
 def clean_categories(spark, sf_dir):
     cats = table(spark, sf_dir, "categories").withColumnRenamed("group_no", "group")
     return planner.cleaned_categories(cats)
@@ -241,7 +248,7 @@ def reuse_folders(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     dup_groups, dup_ledger, canonical_only, dup_inherit_category, cache_hits, cache_upsert, cache_evict, signature_rows, signature_payload, signature_propagate, heuristic_plan, category_histogram, category_top12,
-    axes, compatibility, pair_compat, time_rescue, small_absorb, consolidated, coerced_plan, clean_categories, seed_catalogue, seed_catalogue_tagged, additive_filter, compose_folder, folder_tag, placement_plan,
+    axes, compatibility, pair_compat, time_rescue, small_absorb, consolidated, coerced_plan, suffix_match, clean_categories, seed_catalogue, seed_catalogue_tagged, additive_filter, compose_folder, folder_tag, placement_plan,
     collision_numbering, shortcut_plan, adopt_leftovers, median_stamp, reuse_folders,
 )}
 
@@ -383,6 +390,7 @@ ORACLE = {
     "small_absorb": f"WITH {_ABSORB}, m AS (SELECT small_id, category_id, avg(compat) AS m FROM cp GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY small_id ORDER BY round(m, 6) DESC, category_id) AS k FROM m) SELECT n.category_id AS small_id, CASE WHEN b.m >= 0.2 THEN b.category_id ELSE 'misc' END AS large_id, round(coalesce(b.m, 0.0), 6) AS compat FROM n LEFT JOIN b ON b.small_id = n.category_id AND k = 1 WHERE n.n < 3",
     "consolidated": f"WITH {_A}, w AS (SELECT id, string_split(name, ' ')[-1] AS w FROM categories), f AS (SELECT w, min(id) AS keep FROM w GROUP BY w) SELECT path, coalesce(keep, category_id) AS category_id FROM a LEFT JOIN (SELECT id, keep FROM w JOIN f USING (w) WHERE id != keep) ON id = category_id",
     "coerced_plan": f"WITH {_A}, k AS (SELECT id FROM categories WHERE group_no <= 4) SELECT path, CASE WHEN category_id IN (SELECT id FROM k) THEN category_id ELSE 'misc' END AS category_id, CASE WHEN 'misc' IN (SELECT id FROM k) AND category_id IN (SELECT id FROM k) AND category_id != 'misc' THEN 1 ELSE 0 END AS n_secondary FROM a",
+    "suffix_match": f"WITH {E}, g AS (SELECT DISTINCT CASE file_id % 3 WHEN 0 THEN '[folder]/' || name WHEN 1 THEN substring(name, 4, 300) ELSE path END AS a FROM e) SELECT a AS assigned_path, min(path) AS path FROM g JOIN e ON (ends_with(path, a) OR ends_with(a, name)) WHERE a != '' AND name != '' AND a NOT IN (SELECT path FROM e) GROUP BY a",
     "clean_categories": f"""SELECT id, trim(name, ' ') AS name, coalesce(description, '') AS description, coalesce(time_label, '') AS time_label, {_H} AS duration, (CASE WHEN group_no BETWEEN 1 AND 9 THEN group_no ELSE 9 END)::INT AS "group" FROM categories
       WHERE NOT regexp_matches(name, '[�﻿]') AND NOT {sql_mojibake('name', True)} AND trim(name, ' ') != '' AND NOT (id = 'misc' OR regexp_matches(name, '기타|그 외|분류되지 않은|프로젝트 외'))
       UNION ALL SELECT 'misc', '기타', '', '', '', 9""",
