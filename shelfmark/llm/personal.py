@@ -198,9 +198,15 @@ _NUMERIC = re.compile(r"\d(?:[ ().\-/]{0,3}\d){6}|[A-Z][A-Z0-9]\d\d")
 _GAP = r"(?:,? |[_\-.]|, ?)"
 _BETWEEN = re.compile(rf"(?:{_GAP}(?:[A-ZÀ-ÞА-ЯЁ]\.? ?{_GAP}?)?)$")
 _FORWARD = re.compile(r" (?:[A-ZÀ-ÞА-ЯЁ]\. )?$")
-#: Titles, and words that stand before or after Korean names.
+_LAST = re.compile(r"([^\W\d_]+)(?: [A-ZÀ-ÞА-ЯЁ]\.)? $")
+#: Titles; words before a given and a family name; family names of two syllables; words around Korean names.
 TITLES = frozenset("mr mrs ms miss dr prof sir madam madame monsieur mme mlle herr frau herrn fräulein don doña señor señora sr sra г господин госпожа тов".split())
-KO_BEFORE = re.compile(r"(?:작성자|신청인|담당자|성명|이름|대표자?|수신인?|발신인?|고객|환자)[: ]{1,2}([가-힣]{2,5})(?= 과장| 부장| 대리| 팀장| 님| 씨|[,.( ]|$)|(?<![가-힣])([가-힣]{2,5})(?= (?:님|씨|과장|부장|대리|팀장)(?:이|은|가|께|에게|의)?(?![가-힣]))")
+CUE = re.compile(
+    r"(?:Signed by|Contact|Applicant:|Tenant|cc|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Herrn?|Frau|Mieter(?:in)?:|Antragsteller(?:in)?:?|Monsieur|Madame|Mme|M\.|Locataire\s?:|Don|Doña|Señora?|Sra?\.|solicitante|"
+    r"Inquilin[oa]:|заявитель|Звонить|господин|госпожа|арендатор:?) ([A-ZÀ-ÞА-ЯЁ][^\W\d_]+(?:-[A-ZÀ-ÞА-ЯЁ][^\W\d_]+)?)(?: [A-ZÀ-ÞА-ЯЁ]\.)?(,?) (?:[A-ZÀ-ÞА-ЯЁ]\. )?([A-ZÀ-ÞА-ЯЁ][^\W\d_]+(?:-[A-ZÀ-ÞА-ЯЁ][^\W\d_]+)?)"
+)
+KO_COMPOUND = frozenset("남궁 황보 제갈 사공 선우 서문 독고 동방".split())
+KO_BEFORE = re.compile(r"(?:작성자|신청인|담당자|성명|이름|대표자?|수신인?|발신인?|고객|환자)[: ]{1,2}([가-힣]{2,5})(?= 과장| 부장| 대리| 팀장| 님| 씨|[,.( ]|$)|(?<![가-힣])([가-힣]{2,5})(?= (?:님|씨|선생님|과장|부장|대리|팀장)(?:이|은|가|께|에게|의|과|와)?(?![가-힣]))")
 KO_AFTER = re.compile(r"(?:은|는|이|가|을|를|의|와|과|도|만|에게|에게서|께|께서|님|씨|님이|씨가|씨는|님은|으로|로|이다|입니다)?")
 
 
@@ -216,7 +222,7 @@ class Names:
     @classmethod
     def of(cls, rows) -> "Names":
         """From (token, 'given' or 'family'); rows with a null are left out."""
-        out = cls()
+        out = cls(ko_family=set(KO_COMPOUND))
         for token, part in rows:
             if token and part in ("given", "family"):
                 hangul = "가" <= token[0] <= "힣"
@@ -232,14 +238,14 @@ class Names:
         return sum(map(len, (self.given, self.family, self.ko_given, self.ko_family)))
 
 
-def _tokens(text: str, names: Names) -> list[tuple[int, int, str]]:
-    """(start, end, lower case) of letter runs; runs joined by a hyphen are one where that is a known name."""
+def _tokens(text: str, names: Names, join: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, lower case) of letter runs; runs joined by a hyphen are one where that is a known name, or, with ``join``, where both have capitals."""
     raw = [(m.start(), m.end(), m.group().lower()) for m in TOKEN.finditer(text)]
     out = []
     i = 0
     while i < len(raw):
         a, b, w = raw[i]
-        if i + 1 < len(raw) and text[b : raw[i + 1][0]] == "-" and (j := f"{w}-{raw[i + 1][2]}") in names.family | names.given:
+        if i + 1 < len(raw) and text[b : raw[i + 1][0]] == "-" and ((j := f"{w}-{raw[i + 1][2]}") in names.family or j in names.given or join and text[a].isupper() and text[raw[i + 1][0]].isupper()):
             out.append((a, raw[i + 1][1], j))
             i += 2
         else:
@@ -248,30 +254,28 @@ def _tokens(text: str, names: Names) -> list[tuple[int, int, str]]:
     return out
 
 
+HANGUL = re.compile("[가-힣]+")
+
+
+def _given_in(run: str, names: Names) -> int:
+    """Length of the given name that a run of syllables is, but for a particle; 0 if it is none."""
+    return next((k for k in (4, 3, 2, 1) if run[:k] in names.ko_given and len(run) >= k and KO_AFTER.fullmatch(run[k:])), 0)
+
+
 def _korean(text: str, names: Names) -> list[tuple[int, int]]:
     out = []
-    for m in re.finditer(r"(?<![가-힣])([가-힣]{2,8})|(?<![가-힣])([가-힣]{1,2}) ([가-힣]{1,8})", text):
-        run = m.group()
+    runs = [m.span() for m in HANGUL.finditer(text)]
+    for i, (a, b) in enumerate(runs):
+        run = text[a:b]
         for n in (2, 1):
-            family, rest = run[:n], run[n:]
-            if family not in names.ko_family:
+            if run[:n] not in names.ko_family:
                 continue
-            blank = rest[:1] == " "
-            rest = rest[blank:]
-            for k in (4, 3, 2, 1):
-                if len(rest) >= k and rest[:k] in names.ko_given and KO_AFTER.fullmatch(rest[k:]):
-                    out.append((m.start(), m.start() + n + blank + k))
-                    break
-            else:
-                continue
-            break
-    # a family name of its own before a given name: the first alternative above takes runs of two and more
-    for m in re.finditer(r"(?<![가-힣])([가-힣]{1,2}) ([가-힣]{1,4})", text):
-        if m[1] in names.ko_family:
-            for k in (4, 3, 2, 1):
-                if len(m[2]) >= k and m[2][:k] in names.ko_given and KO_AFTER.match(text, m.start(2) + k) and not re.match(r"[가-힣]{3}", text[m.start(2) + k :]):
-                    out.append((m.start(), m.start(2) + k))
-                    break
+            if len(run) > n and (k := _given_in(run[n:], names)):
+                out.append((a, a + n + k))
+                break
+            if len(run) == n and i + 1 < len(runs) and text[b : runs[i + 1][0]] == " " and (k := _given_in(text[slice(*runs[i + 1])], names)):
+                out.append((a, runs[i + 1][0] + k))
+                break
     return out
 
 
@@ -305,17 +309,27 @@ def candidates(text: str, names: Names) -> Counter:
     words = set(TOKEN.findall(text.lower()))
     west = not (words.isdisjoint(names.given) and words.isdisjoint(names.family) and words.isdisjoint(names.joined))
     text = EMAIL.sub("@", text) if west and "@" in text else text
-    for (a, b, w), (c, d, x) in _near(_tokens(text, names)) if west else ():
+    for (a, b, w), (c, d, x) in _near(_tokens(text, names, True)) if west else ():
         if not (text[a].isupper() and text[c].isupper()) or w in TITLES or x in TITLES:
             continue
         if text[b:c] == ", " and w in names.family and x not in names.given and x not in names.family and len(x) > 2:
-            out["given", x, w] += 1
+            alone = not ((m := _LAST.search(text, max(0, a - 40), a)) and m[1].lower() in names.given)  # else it's what follows a whole name
+            if alone and not text[d : d + 2].strip().isdigit():
+                out["given", x, w] += 1
         if not _FORWARD.fullmatch(text[b:c]):
             continue
         if w in names.given and x not in names.given and len(x) > 2:
             out["family", x, w] += 1
         if x in names.family and w not in names.family and len(w) > 2:
             out["given", w, x] += 1
+    for m in CUE.finditer(text):
+        given, family = (m[3], m[1]) if m[2] else (m[1], m[3])
+        given, family = given.lower(), family.lower()
+        if given not in TITLES and family not in TITLES and len(given) > 2 and len(family) > 2:
+            for kind, word, other in (("given", given, family), ("family", family, given)):
+                if word not in getattr(names, kind):
+                    out[kind, word, other] += 1
+                    out[kind, word, ""] += 1  # the cue is a partner of its own
     for m in KO_BEFORE.finditer(text):
         run = m[1] or m[2]
         for n in (2, 1):
@@ -377,6 +391,10 @@ def completed(texts: DataFrame, names: Names, rounds: int = 3) -> Names:
     return names
 
 
+#: A capitalised word, with a second one joined by a hyphen.
+USED = re.compile(r"[A-ZÀ-ÞА-ЯЁ][^\W\d_]*(?:-[A-ZÀ-ÞА-ЯЁ][^\W\d_]*)?")
+
+
 def _uses(rows: DataFrame, column: str, words: set[str]) -> dict[str, int]:
     """How often each of the words is used with a capital, outside of e-mail addresses."""
 
@@ -384,8 +402,8 @@ def _uses(rows: DataFrame, column: str, words: set[str]) -> dict[str, int]:
         def step(batch: pa.RecordBatch):
             total: Counter = Counter()
             for t, n in Counter(strings(batch.column(0))).items():
-                for w in TOKEN.findall(EMAIL.sub("@", t) if "@" in t else t):
-                    if w[0].isupper() and (low := w.lower()) in words:
+                for w in USED.findall(EMAIL.sub("@", t) if "@" in t else t):
+                    if (low := w.lower()) in words:
                         total[low] += n
             if not total:
                 return None

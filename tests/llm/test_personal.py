@@ -23,6 +23,7 @@ NAMES = p.Names.of([("Edwin", "given"), ("Götz", "given"), ("Tarrowby", "family
         ("Edwin R. Stavely-Orme", "[NAME]"),
         ("담당자 남궁온유 과장에게", "담당자 [NAME] 과장에게"),
         ("김 보라 님이", "[NAME] 님이"),
+        ("681개 남궁온유 님이 어제 남궁 보라 선생님과", "681개 [NAME] 님이 어제 [NAME] 선생님과"),
         ("하늘 보라 가을 색상표", "하늘 보라 가을 색상표"),
         ("주민번호 940704-2760012 확인", "주민번호 [ID_NUMBER] 확인"),
         ("SSN 967-32-9880 was", "SSN [ID_NUMBER] was"),
@@ -55,6 +56,12 @@ def test_offsets_map_back():
     assert [text[a:b] for a, b, _ in spans] == ["０７７００ ９００４０３"]
 
 
+def test_learning_by_cues():
+    seen = p.candidates("Звонить Милица Полынин: 8. Applicant: Stavely-Orme, Fergus / Mieter: Falko Niederloh, Birkenweg 7", NAMES)
+    assert seen["given", "милица", "полынин"] == 1 and seen["family", "полынин", ""] == 1 and seen["given", "fergus", "stavely-orme"] >= 1
+    assert ("given", "birkenweg", "niederloh") not in seen
+
+
 def test_rows_and_learning(spark):
     rows = [(1, "Edwin Fontorge came.", "a"), (2, "Götz Fontorge saw. Tarrowby", "a"), (3, "Silas Fontorge and Silas Tarrowby and Silas Niederloh", "a"), (4, None, "a"), (5, "", "a"), (5, "", "a"), (6, "x " * 150_000 + "Silas Fontorge", "a"), (None, "a@b.example", "a")]
     df = spark.createDataFrame(rows, "file_id long, t string, kinds string")
