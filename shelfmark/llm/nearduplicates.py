@@ -1,7 +1,7 @@
 """All pairs of documents whose sets of words have a Jaccard similarity of at least a threshold, by a token-group matrix.
 
 Similar documents are partitioned twice: into blocks, ranges of (most common word, size), and within a block into groups
-of GROUP documents of like size. Blocks and groups store the union of their documents' tokens as bits. A query of n
+of like size. Blocks and groups store the union of their documents' tokens as bits. A query of n
 words needs at least ceil(t / (1 + t) * (n + m)) words in common with a document of m words, so a block or group whose
 union lacks more of the query's words than that leaves can't hold a partner:
 
@@ -32,7 +32,8 @@ from shelfmark.session import cut
 WORD = re.compile(r"[^\W_]+")
 #: Words (of 64 bits) of a document's and a group's bits, and of a block's union.
 WIDE, UNION = 16, 1024
-GROUP = 16
+#: Documents of a group: the first size whose unions are filled to FULL at most, as a fuller union bounds nothing.
+GROUPS, FULL = (16, 8, 4, 2), 0.5
 #: Documents of a block, blocks at least (for small tables) and at most (their unions are sent to all tasks: 16 MB).
 BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 65_536, 12, 2_048
 #: Documents in the sample that orders common words; it only decides which documents are stored side by side.
@@ -179,10 +180,14 @@ def _candidates(table: pa.Table, threshold: float) -> pa.Table:
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
     if len(rows) and len(mine):
-        starts = np.arange(0, len(rows), GROUP)
-        lacks = ~np.bitwise_or.reduceat(bits[rows], starts, axis=0)
-        smallest, largest = n[rows[starts]], n[rows[np.minimum(starts + GROUP, len(rows)) - 1]]
-        filled = np.concatenate([rows, np.full(-len(rows) % GROUP, -1)]).reshape(-1, GROUP)
+        for size in GROUPS:
+            starts = np.arange(0, len(rows), size)
+            union = np.bitwise_or.reduceat(bits[rows], starts, axis=0)
+            if np.bitwise_count(union).sum() <= FULL * union.size * 64:
+                break
+        lacks = ~union
+        smallest, largest = n[rows[starts]], n[rows[np.minimum(starts + size, len(rows)) - 1]]
+        filled = np.concatenate([rows, np.full(-len(rows) % size, -1)]).reshape(-1, size)
         for q in mine:
             m = n[q]
             first = np.searchsorted(largest, math.ceil(threshold * m - _EPS))
