@@ -21,13 +21,12 @@ from shelfmark.llm.arrow import over_batches, strings
 from shelfmark.session import cut
 
 WORD = re.compile(r"[^\W_]+")
-LETTER = re.compile(r"[^\W_]")
-SPACE = re.compile(r"[ \t\n\r\f]")
+SPACES = " \t\n\r\f"
 STOP = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)")
 LINE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 MARKER = re.compile(r"\s*(?:[-*+•◦▪‣·☐☑✓–—]|\[[ xX]?\]|\(?\d{1,4}[.)]|\(?[a-zA-Z가-힣][.)])\s")
 CELLS = re.compile(r"[|\t;]|,(?=\S)|\S {3,}\S|^\s*[^:.!?]{1,40}: \S[^.!?]{0,24}$")
-DIGIT = re.compile(r"\d")
+DIGITS = re.compile(r"\d+")
 
 #: A common word is in at least this share of a language's documents; languages below RARE_LANG of all documents don't count.
 COMMON_SHARE, RARE_LANG, LEAST_DOCS = 0.25, 0.005, 20
@@ -83,9 +82,12 @@ def _ratio(a: float, b: float) -> float:
 
 def statistics_of(text: str, common: frozenset[str]) -> tuple:
     """The statistics of one text, in the order of STATS."""
-    words = WORD.findall(text.lower())
-    n = len(words)
-    letters, spaces, size = len(LETTER.findall(text)), len(SPACE.findall(text)), len(text)
+    low = text.lower()
+    words = WORD.findall(low)
+    n, size = len(words), len(text)
+    in_words = sum(map(len, words))
+    letters = in_words if len(low) == size else sum(map(len, WORD.findall(text)))
+    spaces = sum(map(text.count, SPACES))
     lines = [x for x in text.split("\n") if x.strip()]
     is_common = [w in common for w in words]
     chunks = [(is_common[i : i + CHUNK], words[i : i + CHUNK]) for i in range(0, n, CHUNK)]
@@ -94,11 +96,11 @@ def statistics_of(text: str, common: frozenset[str]) -> tuple:
     stops = len(STOP.findall(text))
     return (
         n,
-        _ratio(sum(map(len, words)), n),
+        _ratio(in_words, n),
         _ratio(size - letters - spaces, size - spaces),
         _ratio(sum(1 for x in lines if LINE_END.search(x.rstrip())), len(lines)),
         _ratio(sum(is_common), n),
-        _ratio(len(DIGIT.findall(text)), size - spaces),
+        _ratio(sum(map(len, DIGITS.findall(text))), size - spaces),
         _ratio(n, stops) if stops else float(n),
         _ratio(n, len(lines)),
         _ratio(sum(1 for x in lines if MARKER.match(x)), len(lines)),
