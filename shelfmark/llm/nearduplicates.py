@@ -11,7 +11,7 @@ union lacks more of the query's words than that leaves can't hold a partner:
 3. what is left is verified on the exact token sets.
 
 No bound is a sample or a cap: nothing that reaches the threshold is lost. Documents with equal sets are one class and
-enter once. Blocks are equal ranges, so no word, size or cluster makes a large task; a task holds two blocks.
+enter once. Blocks are like numbers of documents, so no word, size or cluster makes a large task; a task holds two blocks.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.arrow import over_batches, strings
 from shelfmark.operators.components import components
-from shelfmark.session import cut
+from shelfmark.session import cut, join_checked
 
 WORD = re.compile(r"[^\W_]+")
 #: Words (of 64 bits) of a document's and a group's bits, and of a block's union.
@@ -53,6 +53,16 @@ def _bits(tokens: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
+def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, or of the whole where it is shorter."""
+    n = max(1, len(hashes) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(min(width, len(hashes))):
+        out = (out ^ hashes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def token_sets(docs: DataFrame, key: str, text: str, shingle: int = 1) -> DataFrame:
     """(key, n, tokens, h1, h2): distinct words, or runs of ``shingle`` words, as sorted 64-bit hashes, and a hash of the set.
 
@@ -76,9 +86,10 @@ def token_sets(docs: DataFrame, key: str, text: str, shingle: int = 1) -> DataFr
                 if not words:
                     continue
                 if shingle > 1:
-                    words = [" ".join(words[j : j + shingle]) for j in range(max(1, len(words) - shingle + 1))]
-                words = set(words)
-                a = np.fromiter((known.get(w) or token(w) for w in words), np.uint64, len(words)).view(np.int64)
+                    a = np.unique(_runs(np.array([known.get(w) or token(w) for w in words], np.uint64), shingle)).view(np.int64)
+                else:
+                    words = set(words)
+                    a = np.fromiter((known.get(w) or token(w) for w in words), np.uint64, len(words)).view(np.int64)
                 a.sort()
                 rows.append(i)
                 sets.append(a)
@@ -106,52 +117,66 @@ def classes_of(sets: DataFrame) -> DataFrame:
     return one.select("id", "n", "tokens")
 
 
-def _ordered_common(classes: DataFrame) -> list[int]:
+def _common(classes: DataFrame) -> list[int]:
     sample = classes.select("id", "tokens").limit(SAMPLE)
     top = sample.select(F.explode("tokens").alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(COMMON)
     return [r["t"] for r in top.collect()]
 
 
-def _blocked(classes: DataFrame) -> tuple[DataFrame, int]:
-    count = classes.count()
+def _coded(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``code``, whose order is that of blocks: most common word, size, and some digits of the id to part the rest."""
+    words = F.array(*[F.lit(t) for t in _common(classes)]).cast("array<bigint>")
+    place = F.coalesce(F.array_position(words, F.try_element_at(F.array_intersect(words, "tokens"), F.lit(1))), F.lit(0))
+    size = F.least(F.col("n"), F.lit((1 << 22) - 1)).cast("bigint")
+    return cut(classes.withColumn("code", F.shiftleft(place.cast("bigint"), 46) + F.shiftleft(size, 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24))))
+
+
+def _bounds(coded: DataFrame) -> np.ndarray:
+    """Codes at which blocks of like numbers of documents begin, but for the first."""
+    count = coded.count()
     blocks = int(min(MOST_BLOCKS, max(LEAST_BLOCKS, math.ceil(count / BLOCK))))
-    common = _ordered_common(classes)
-    place = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in common]), F.try_element_at(F.array_intersect(F.array(*[F.lit(t) for t in common]), "tokens"), F.lit(1))), F.lit(0)) if common else F.lit(0)
-    placed = classes.withColumn("_c", place.cast("int")).repartitionByRange(blocks, "_c", "n", "id")
-    return cut(placed.withColumn("block", F.spark_partition_id()).drop("_c")), blocks
+    if not count:
+        return np.zeros(0)
+    found = coded.select(F.col("code").cast("double").alias("code")).approxQuantile("code", [i / blocks for i in range(1, blocks)], 0.1 / blocks)
+    return np.unique(np.array(found))
 
 
-def _unions(blocked: DataFrame, blocks: int) -> np.ndarray:
-    """Unions of the blocks: each task sends what it has of them, UNION words for each block it saw."""
+def _unions(coded: DataFrame, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks that have documents, their unions, least and greatest sizes: each task sends what it has of each block, UNION words and two numbers."""
 
     def run(batches):
-        own: dict[int, np.ndarray] = {}
+        own: dict[int, list] = {}
         for batch in batches:
-            block = batch.column(0).to_numpy()
-            tokens, ends = batch.column(1).flatten().to_numpy(), np.diff(batch.column(1).offsets.to_numpy())
-            of = np.repeat(block, ends)
+            block = np.searchsorted(bounds, batch.column(0).to_numpy().astype(float), side="right")
+            n, lists = batch.column(1).to_numpy(), batch.column(2)
+            tokens, of = lists.flatten().to_numpy(), np.repeat(block, np.diff(lists.offsets.to_numpy()))
             for b in np.unique(block):
-                bits = _bits(tokens[of == b], UNION)
-                own[int(b)] = own[int(b)] | bits if int(b) in own else bits
+                bits, sizes = _bits(tokens[of == b], UNION), n[block == b]
+                old = own.get(int(b), (np.zeros_like(bits), sizes[0], sizes[0]))
+                own[int(b)] = [old[0] | bits, min(old[1], sizes.min()), max(old[2], sizes.max())]
         if own:
-            yield pa.record_batch([pa.array(list(own), pa.int32()), pa.array([v.tobytes() for v in own.values()], pa.binary())], names=["block", "bits"])
+            bits, low, high = zip(*own.values(), strict=True)
+            yield pa.record_batch([pa.array(list(own), pa.int32()), pa.array([v.tobytes() for v in bits], pa.binary()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["block", "bits", "low", "high"])
 
-    out = np.zeros((blocks, UNION), np.uint64)
-    for r in blocked.select("block", "tokens").mapInArrow(run, "block int, bits binary").toLocalIterator():
-        out[r["block"]] |= np.frombuffer(bytes(r["bits"]), np.uint64)
-    return out
+    whole: dict[int, list] = {}
+    for r in coded.select("code", "n", "tokens").mapInArrow(run, "block int, bits binary, low int, high int").toLocalIterator():
+        bits = np.frombuffer(bytes(r["bits"]), np.uint64)
+        old = whole.get(r["block"], (np.zeros_like(bits), r["low"], r["high"]))
+        whole[r["block"]] = [old[0] | bits, min(old[1], r["low"]), max(old[2], r["high"])]
+    ids = np.array(sorted(whole), np.int64)
+    pick = lambda i: np.array([whole[b][i] for b in ids])
+    return ids, pick(0), pick(1).astype(float), pick(2).astype(float)
 
 
-def _routed(blocked: DataFrame, unions: np.ndarray, ranges: dict[int, tuple[int, int]], threshold: float) -> DataFrame:
+def _routed(coded: DataFrame, bounds: np.ndarray, threshold: float) -> DataFrame:
     """(id, n, bits, block, to): each document's bits and the blocks, at or after its own, that can hold a partner."""
-    ids = np.array(sorted(ranges))
-    low, high = np.array([ranges[b] for b in ids], float).reshape(-1, 2).T
-    table = np.unpackbits(unions[ids].view(np.uint8), axis=1, bitorder="little")
+    ids, unions, low, high = _unions(coded, bounds)
+    table = np.unpackbits(np.ascontiguousarray(unions).view(np.uint8), axis=1, bitorder="little") if len(ids) else None
 
     def run(batches):
         for batch in batches:
             n = batch.column(1).to_numpy().astype(float)
-            lists, block = batch.column(2), batch.column(3).to_numpy()
+            lists, block = batch.column(2), np.searchsorted(bounds, batch.column(3).to_numpy().astype(float), side="right")
             tokens, offsets = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
             at = (tokens % np.uint64(UNION * 64)).astype(np.int64)
             bits, to = [], []
@@ -163,9 +188,9 @@ def _routed(blocked: DataFrame, unions: np.ndarray, ranges: dict[int, tuple[int,
                 near = np.flatnonzero(fits)
                 have = table[near[:, None], at[s:e]].sum(1)
                 to.append(ids[near[have >= least_overlap(n[i], size[near], threshold)]].tolist())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), batch.column(3), pa.array(to, pa.list_(pa.int32()))], names=["id", "n", "bits", "block", "to"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(block, pa.int32()), pa.array(to, pa.list_(pa.int32()))], names=["id", "n", "bits", "block", "to"])
 
-    return blocked.select("id", "n", "tokens", "block").mapInArrow(run, f"id {dict(blocked.dtypes)['id']}, n int, bits binary, block int, to array<int>")
+    return coded.select("id", "n", "tokens", "code").mapInArrow(run, f"id {dict(coded.dtypes)['id']}, n int, bits binary, block int, to array<int>")
 
 
 def _candidates(table: pa.Table, threshold: float) -> pa.Table:
@@ -215,19 +240,18 @@ def similar_classes(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b, similarity), a < b: all pairs of classes of at least ``threshold``; from (id, n, tokens) with unique ids and sets."""
     import pyarrow.compute  # noqa: F401
 
-    blocked, blocks = _blocked(classes)
-    ranges = {r["block"]: (r["low"], r["high"]) for r in blocked.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high")).collect()}
     kind = dict(classes.dtypes)["id"]
-    if not ranges:
-        return classes.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")
-    routed = cut(_routed(blocked, _unions(blocked, blocks), ranges, threshold))
+    coded = _coded(classes)
+    routed = cut(_routed(coded, _bounds(coded), threshold))
     queries = routed.select("id", "n", "bits", F.lit(True).alias("query"), F.col("block").alias("i"), F.explode("to").alias("j"))
     meet = queries.groupBy("i", "j").count()
     rows = routed.select("id", "n", "bits", F.lit(False).alias("query"), F.col("block").alias("j")).join(F.broadcast(meet.select("i", "j")), "j")  # at most MOST_BLOCKS^2 / 2 pairs of small integers
     tasks = queries.unionByName(rows)
     found = tasks.groupBy("i", "j").applyInArrow(lambda t: _candidates(t, threshold), f"a {kind}, b {kind}")
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    sets = blocked.select("id", "n", "tokens")
+    pairs = cut(pairs)
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = join_checked(coded.select("id", "n", "tokens"), needed, "id", "left_semi")  # tokens of candidates only go on
     one, two = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}")) for c in "ab")
     common = F.size(F.array_intersect("t_a", "t_b"))
     checked = pairs.join(one, "a").join(two, "b").select("a", "b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("similarity"))
@@ -244,7 +268,7 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     sets = cut(token_sets(docs.where(F.col(key).isNotNull()), key, text, shingle))
     named = sets.groupBy("h1", "h2").agg(F.min("key").alias("class"))
     members = sets.select("key", "h1", "h2").join(named, ["h1", "h2"]).select("key", "class")
-    return similar_classes(cut(classes_of(sets)), threshold), members
+    return similar_classes(classes_of(sets), threshold), members
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
