@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.arrow import over_batches, strings
-from shelfmark.session import cut
+from shelfmark.session import cut, join_checked
 
 WORD = re.compile(r"[^\W_]+")
 SPACES = " \t\n\r\f"
@@ -187,34 +187,42 @@ def posterior(patterns: np.ndarray, prior: np.ndarray, given: list[np.ndarray])
     return p / p.sum(1, keepdims=True)
 
 
-def fit(stats: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Learns from all documents by the histogram of their answers: at most 5 * 3^7 * 2^5 rows whatever the number of documents."""
-    named = {f"v{i}": e for i, e in enumerate(votes().values())}
-    rows = stats.select(*[e.alias(n) for n, e in named.items()]).groupBy(*named).count().collect()
-    if not rows:
-        return learn(np.zeros((0, len(named)), int), np.zeros(0))
-    return learn(np.array([r[:-1] for r in rows]), np.array([r[-1] for r in rows], float))
+def _pattern() -> Column:
+    """All answers as one number."""
+    code, base = F.lit(0).cast("bigint"), 1
+    for (_, answers), vote in zip(labelling_functions().items(), votes().values(), strict=True):
+        code = code + vote * base
+        base *= len(answers) + 1
+    return code
 
 
-def with_types(stats: DataFrame, model: tuple[np.ndarray, list[np.ndarray]]) -> DataFrame:
+def _unpacked(codes: np.ndarray) -> np.ndarray:
+    out = []
+    for answers in labelling_functions().values():
+        codes, answer = np.divmod(codes, len(answers) + 1)
+        out.append(answer)
+    return np.stack(out, axis=1)
+
+
+def fit(stats: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The patterns of answers that occur, and what is learnt from how often: at most 5 * 3^7 * 2^5 patterns whatever the number of documents."""
+    rows = stats.groupBy(_pattern().alias("p")).count().collect()
+    codes = np.array([r[0] for r in rows], np.int64)
+    return codes, *learn(_unpacked(codes), np.array([r[1] for r in rows], float))
+
+
+def with_types(stats: DataFrame, model: tuple[np.ndarray, np.ndarray, list[np.ndarray]]) -> DataFrame:
     """``stats`` with the posterior of each type (p_prose, ...) and the likeliest as text_type. A text without words is junk."""
-    prior, given = model
-    logs = []
-    for t in range(len(TYPES)):
-        e = F.lit(float(np.log(prior[t])))
-        for v, g in zip(votes().values(), given, strict=True):
-            e = e + F.element_at(F.array(*[F.lit(float(np.log(x))) for x in g[:, t]]), v + 1)
-        logs.append(e)
-    scored = stats.withColumns({f"_l{i}": e for i, e in enumerate(logs)})
-    peak = F.greatest(*[F.col(f"_l{i}") for i in range(len(TYPES))])
-    scored = scored.withColumns({f"_e{i}": F.exp(F.col(f"_l{i}") - peak) for i in range(len(TYPES))})
-    total = sum(F.col(f"_e{i}") for i in range(len(TYPES)))
+    codes, prior, given = model
+    post = posterior(_unpacked(codes), prior, given)
+    rows = [(int(c), *map(float, p)) for c, p in zip(codes, post, strict=True)]
+    table = stats.sparkSession.createDataFrame(rows, "_p bigint, " + ", ".join(f"_{t} double" for t in TYPES))
+    scored = join_checked(stats.withColumn("_p", _pattern()), table, "_p", "left")
     none = F.col("n_words") == 0
-    p = {f"p_{t}": F.when(none, float(t == "junk")).otherwise(F.col(f"_e{i}") / total) for i, t in enumerate(TYPES)}
+    p = {f"p_{t}": F.when(none, float(t == "junk")).otherwise(F.col(f"_{t}")) for t in TYPES}
     best = F.greatest(*[F.col(n) for n in p])
     kind = F.coalesce(*[F.when(F.col(f"p_{t}") == best, t) for t in TYPES])
-    drop = [f"_{x}{i}" for x in "le" for i in range(len(TYPES))]
-    return scored.withColumns(p).drop(*drop).withColumn("text_type", kind)
+    return scored.withColumns(p).withColumn("text_type", kind).drop("_p", *[f"_{t}" for t in TYPES])
 
 
 def text_types(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
