@@ -124,11 +124,12 @@ def _common(classes: DataFrame) -> list[int]:
 
 
 def _coded(classes: DataFrame) -> DataFrame:
-    """``classes`` with ``code``, whose order is that of blocks: most common word, size, and some digits of the id to part the rest."""
+    """``classes``, materialised, with ``code``, whose order is that of blocks: most common word, size, and some digits of the id to part the rest."""
+    classes = cut(classes)
     words = F.array(*[F.lit(t) for t in _common(classes)]).cast("array<bigint>")
     place = F.coalesce(F.array_position(words, F.try_element_at(F.array_intersect(words, "tokens"), F.lit(1))), F.lit(0))
     size = F.least(F.col("n"), F.lit((1 << 22) - 1)).cast("bigint")
-    return cut(classes.withColumn("code", F.shiftleft(place.cast("bigint"), 46) + F.shiftleft(size, 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24))))
+    return classes.withColumn("code", F.shiftleft(place.cast("bigint"), 46) + F.shiftleft(size, 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24)))
 
 
 def _bounds(coded: DataFrame) -> np.ndarray:
