@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.arrow import over_batches, strings
 from shelfmark.llm.canonical import CYRILLIC_LOOKS, fold
-from shelfmark.session import cut
+from shelfmark.session import cut, join_checked
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 
@@ -488,5 +488,7 @@ def personal(df: DataFrame, key: str, fields: list[str], lexicon: Names, learn:
     on = ["field", "h1", "h2"]
     if found_only:
         return hashed.where("text != ''").select("key", *on).join(found, on).select("key", "field", "kinds", "redacted")
-    out = hashed.join(found, on, "left")
-    return out.select("key", "field", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), F.coalesce("redacted", "text").alias("redacted"))
+    none = F.array().cast("array<string>")
+    out = join_checked(hashed.where("text != ''"), cut(found), on, "left").select("key", "field", F.coalesce("kinds", none).alias("kinds"), F.coalesce("redacted", "text").alias("redacted"))
+    bare = hashed.where("text IS NULL OR text = ''")  # of one hash each, and nothing to find
+    return out.unionByName(bare.select("key", "field", none.alias("kinds"), F.col("text").alias("redacted")))
