@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.arrow import over_batches, strings
 from shelfmark.operators.components import components
-from shelfmark.session import cut, join_checked
+from shelfmark.session import cut, is_small, join_checked
 
 WORD = re.compile(r"[^\W_]+")
 #: Words (of 64 bits) of a document's and a group's bits, and of a block's union.
@@ -111,10 +111,17 @@ def token_sets(docs: DataFrame, key: str, text: str, shingle: int = 1) -> DataFr
     return over_batches(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_t", f"key {dict(docs.dtypes)[key]}, n int, tokens array<bigint>, h1 bigint, h2 bigint", make)
 
 
-def classes_of(sets: DataFrame) -> DataFrame:
-    """(id, n, tokens): one row for each distinct set, with the least key that has it."""
-    one = sets.groupBy("h1", "h2").agg(F.min("key").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    return one.select("id", "n", "tokens")
+def members_of(sets: DataFrame) -> DataFrame:
+    """(key, class): the least key with the same set. Only hashes are shuffled."""
+    named = sets.groupBy("h1", "h2").agg(F.min("key").alias("class"))
+    return sets.select("key", "h1", "h2").join(named, ["h1", "h2"]).select("key", "class")
+
+
+def classes_of(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, n, tokens): one row for each distinct set. If few documents are copies, ``sets`` is read again without them; else it's written once more."""
+    copies = members.where("key != class").select("key")
+    rows = join_checked(sets, copies, "key", "left_anti").select(F.col("key").alias("id"), "n", "tokens")
+    return rows if is_small(copies) else cut(rows)
 
 
 def _common(classes: DataFrame) -> list[int]:
@@ -124,8 +131,7 @@ def _common(classes: DataFrame) -> list[int]:
 
 
 def _coded(classes: DataFrame) -> DataFrame:
-    """``classes``, materialised, with ``code``, whose order is that of blocks: most common word, size, and some digits of the id to part the rest."""
-    classes = cut(classes)
+    """``classes`` with ``code``, whose order is that of blocks: most common word, size, and some digits of the id to part the rest."""
     words = F.array(*[F.lit(t) for t in _common(classes)]).cast("array<bigint>")
     place = F.coalesce(F.array_position(words, F.try_element_at(F.array_intersect(words, "tokens"), F.lit(1))), F.lit(0))
     size = F.least(F.col("n"), F.lit((1 << 22) - 1)).cast("bigint")
@@ -238,7 +244,8 @@ def _candidates(table: pa.Table, threshold: float) -> pa.Table:
 
 
 def similar_classes(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, similarity), a < b: all pairs of classes of at least ``threshold``; from (id, n, tokens) with unique ids and sets."""
+    """(a, b, similarity), a < b: all pairs of classes of at least ``threshold``; from (id, n, tokens) with unique ids and
+    sets, which is read several times and should be materialised."""
     import pyarrow.compute  # noqa: F401
 
     kind = dict(classes.dtypes)["id"]
@@ -267,9 +274,8 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     columns aren't read. An empty table gives empty results.
     """
     sets = cut(token_sets(docs.where(F.col(key).isNotNull()), key, text, shingle))
-    named = sets.groupBy("h1", "h2").agg(F.min("key").alias("class"))
-    members = sets.select("key", "h1", "h2").join(named, ["h1", "h2"]).select("key", "class")
-    return similar_classes(classes_of(sets), threshold), members
+    members = cut(members_of(sets))
+    return similar_classes(classes_of(sets, members), threshold), members
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
