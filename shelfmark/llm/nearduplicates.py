@@ -35,7 +35,7 @@ WIDE, UNION = 16, 1024
 #: Documents of a group: the first size whose unions are filled to FULL at most, as a fuller union bounds nothing.
 GROUPS, FULL = (16, 8, 4, 2), 0.5
 #: Documents of a block, blocks at least (for small tables) and at most (their unions are sent to all tasks: 16 MB).
-BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 65_536, 12, 2_048
+BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 65_536, 8, 2_048
 #: Documents in the sample that orders common words; it only decides which documents are stored side by side.
 SAMPLE, COMMON = 2_000, 64
 
