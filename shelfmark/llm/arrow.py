@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shelfmark.session import spread
 
@@ -47,4 +46,4 @@ def strings(column: pa.Array) -> list[str]:
     return ["" if v is None else v for v in column.to_pylist()]
 
 
-__all__ = ["BATCH_CHARS", "F", "over_batches", "slices", "strings"]
+__all__ = ["BATCH_CHARS", "over_batches", "slices", "strings"]

@@ -230,6 +230,14 @@ class Names:
         out.__post_init__()
         return out
 
+    @classmethod
+    def of_table(cls, lexicon: DataFrame) -> "Names":
+        """From a table of (token, name_part); more rows than MOST_NAMES are an error."""
+        rows = lexicon.select("token", "name_part").limit(MOST_NAMES + 1).collect()
+        if len(rows) > MOST_NAMES:
+            raise ValueError("more names than can be held; raise MOST_NAMES")
+        return cls.of(rows)
+
     def __post_init__(self):
         #: First parts of given names of two.
         self.joined = {g.split("-")[0] for g in self.given if "-" in g}

@@ -7,7 +7,7 @@ from shelfmark.session import table
 
 
 def _personal(spark, sf_dir, found_only):
-    lexicon = p.Names.of(table(spark, sf_dir, "name_lexicon").select("token", "name_part").limit(p.MOST_NAMES).collect())
+    lexicon = p.Names.of_table(table(spark, sf_dir, "name_lexicon"))
     return p.personal(table(spark, sf_dir, "files"), "file_id", ["content_excerpt", "filename"], lexicon, found_only=found_only)
 
 
