@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark import schema as s
-from shelfmark.functions import similarity, text
+from shelfmark.functions import similarity
 from shelfmark.operators import cache, dedup, families, placement, planner, seeds
 from shelfmark.plans.adapters import D, E, R, documents, entries, in_list, lit, rooted, rr
-from shelfmark.plans.text_queries import sql_core, sql_decay, sql_distinct, sql_match, sql_nouns, sql_range, sql_sanitize, sql_schema, sql_strip_ext, sql_trim  # noqa: F401
+from shelfmark.plans.text_queries import sql_decay, sql_distinct, sql_mojibake, sql_nouns, sql_range, sql_sanitize, sql_schema, sql_strip_ext, sql_trim
 from shelfmark.session import table
 
 C = F.col
@@ -347,7 +347,6 @@ def _numbered(src, directory, name):
 _PLACED = f"{_A}, {_FO}, pr AS (SELECT a.path, category_id, regexp_extract(a.path, '([^/]*)$', 1) AS name, folder, score, reason FROM a JOIN fo USING (category_id)), {_numbered('pr', 'folder', 'name')}"
 _H = "(CASE WHEN lower(trim(coalesce(duration, ''), ' ')) = 'multiyear' THEN 'multi-year' WHEN lower(trim(coalesce(duration, ''), ' ')) IN ('burst', 'short', 'annual', 'multi-year', 'mixed', '') THEN lower(trim(coalesce(duration, ''), ' ')) ELSE '' END)"
 
-from shelfmark.plans.text_queries import sql_mojibake  # noqa: E402
 
 
 def _near(base, pairs):
