@@ -32,25 +32,40 @@ def folders(categories: DataFrame, tag: Column | None = None) -> DataFrame:
     return rows.select(F.col("id").alias("category_id"), name.alias("folder"), F.row_number().over(order).alias("place"))
 
 
-def reused(wanted: DataFrame, existing: list[str], least: float = Settings().fuzzy_least) -> dict[str, str]:
-    """category_id -> existing directory that is like its folder; each directory once, categories in their order.
-
-    The greedy choice is sequential, so it is made on the driver, on scores that Spark computed and of which only those
-    of at least ``least`` come back; both sides are directory listings.
+def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of one root's scored pairs those taken: categories in their order, each directory once."""
+    keep, done, used = [], set(), set()
+    rows = pairs.sort_values(["place", "score", "dir"], ascending=[True, False, True])
+    for c, d in zip(rows["category_id"], rows["dir"], strict=True):
+        good = c not in done and d not in used
+        keep.append(good)
+        if good:
+            done.add(c)
+            used.add(d)
+    return rows[keep][["root", "category_id", "dir"]]
+
+
+def reused_by_root(wanted: DataFrame, existing: DataFrame, least: float = Settings().fuzzy_least) -> DataFrame:
+    """(root, category_id, dir): in each root the existing directory that is like a category's folder; from (root, folder).
+
+    Each distinct directory name is scored once, by a join on tokens. The greedy choice is sequential within a root, so
+    a task holds the pairs of at least ``least`` of one root's listing; none come to the driver.
     """
-    spark = wanted.sparkSession
-    dirs = spark.createDataFrame([(i, d) for i, d in enumerate(existing)], "i int, dir string")
-    a = wanted.withColumn("ca", text.match_core(F.col("folder"))).withColumn("t", F.explode(text.core_tokens(F.col("ca"))))
-    b = dirs.withColumn("cb", text.match_core(F.col("dir"))).withColumn("t", F.explode(text.core_tokens(F.col("cb"))))
-    pairs = a.join(b, "t").select("category_id", "place", "ca", "i", "dir", "cb").distinct()  # a positive score needs a common token
+    # a positive score needs a common token, or equal cores, which may have no token
+    keys = lambda core: F.explode(F.array_union(text.core_tokens(core), F.array(core)))
+    a = wanted.withColumn("ca", text.match_core(F.col("folder"))).withColumn("t", keys(F.col("ca")))
+    b = existing.select(F.col("folder").alias("dir")).distinct().withColumn("cb", text.match_core(F.col("dir"))).withColumn("t", keys(F.col("cb")))
+    pairs = a.join(b, "t").select("category_id", "place", "ca", "dir", "cb").distinct()
     scored = pairs.withColumn("score", text.fuzzy_score(F.col("cb"), F.col("ca"))).where(F.col("score") >= least)
-    out: dict[str, str] = {}
-    used: set[str] = set()
-    for r in scored.orderBy("place", F.desc("score"), "i").collect():
-        if r["category_id"] not in out and r["dir"] not in used:
-            out[r["category_id"]] = r["dir"]
-            used.add(r["dir"])
-    return out
+    listed = existing.select("root", F.col("folder").alias("dir")).distinct()
+    near = listed.join(scored.select("category_id", "place", "dir", "score"), "dir")
+    return near.groupBy("root").applyInPandas(_greedy, "root string, category_id string, dir string")
+
+
+def reused(wanted: DataFrame, existing: list[str], least: float = Settings().fuzzy_least) -> dict[str, str]:
+    """category_id -> existing directory for the listing of a single root."""
+    dirs = wanted.sparkSession.createDataFrame([("", d) for d in existing], "root string, folder string")
+    return {r["category_id"]: r["dir"] for r in reused_by_root(wanted, dirs, least).collect()}
 
 
 def numbered(rows: DataFrame, directory: str = "folder", name: str = "name", order: str = "path") -> DataFrame:

@@ -239,11 +239,8 @@ def median_stamp(spark, sf_dir):
 
 
 def reuse_folders(spark, sf_dir):
-    """Directories of the first root that the catalogue's folders take over."""
-    f = rooted(spark, sf_dir)
-    names = [r["folder"] for r in seeds.top_folders(f).orderBy("root", "folder").limit(2_000).collect()]
-    got = placement.reused(placement.folders(_catalogue(spark, sf_dir)), names)
-    return spark.createDataFrame(sorted(got.items()), "category_id string, dir string")
+    """In each root the top directories that the catalogue's folders take over."""
+    return placement.reused_by_root(placement.folders(_catalogue(spark, sf_dir)), seeds.top_folders(rooted(spark, sf_dir)))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -90,6 +90,22 @@ def test_tags_and_reuse(spark):
     assert placement.reused(placement.folders(c), ["AVOCA", "etc"]) == {"avoca": "AVOCA"}
 
 
+def test_reuse_in_every_root(spark):
+    c = spark.createDataFrame([("avoca", "AVOCA 시스템", "", "short", 2), ("ф", "Отчёт", "", "", 3)], "id string, name string, time_label string, duration string, `group` int")
+    dirs = [(f"/r{i:04}", d) for i in range(900) for d in ("a b c", "AVOCA", "avoca 시스템", "3. Отчёт")]  # the last root is far beyond 2,000 directories
+    got = placement.reused_by_root(placement.folders(c), spark.createDataFrame(dirs, "root string, folder string")).collect()
+    assert {(r["root"], r["category_id"], r["dir"]) for r in got} == {(f"/r{i:04}", c, d) for i in range(900) for c, d in (("avoca", "AVOCA"), ("ф", "3. Отчёт"))} and len(got) == 1800
+
+
+def test_reuse_query_reads_every_root(spark, tmp_path):
+    from shelfmark.plans.plan_queries import reuse_folders
+
+    spark.createDataFrame([("avoca", "AVOCA", "", "short", 2)], "id string, name string, time_label string, duration string, `group` int").write.parquet(f"{tmp_path}/categories.parquet")
+    spark.createDataFrame([(1, f"/r/dir{i:04}/f") for i in range(2100)] + [(2, "/z/AVOCA/f")], "op_id long, new_path string").write.parquet(f"{tmp_path}/files.parquet")
+    spark.createDataFrame([(1, "/r"), (2, "/z")], "op_id long, target_root string").write.parquet(f"{tmp_path}/operations.parquet")
+    assert [(r["root"], r["category_id"], r["dir"]) for r in reuse_folders(spark, str(tmp_path)).collect()] == [("/z", "avoca", "AVOCA")]
+
+
 def test_bm25_against_sqlite(spark):
     rnd = random.Random(4)
     words = "alpha beta gamma alphabet delta budget budgets été naïve list reading".split()
