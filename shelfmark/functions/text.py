@@ -119,11 +119,18 @@ def looks_mojibake(text: Column, strict: bool = False) -> Column:
 
 
 def repaired_mojibake(text: Column, strict: bool = False) -> Column:
-    """Re-read as UTF-8 where the marks show and the result is sound; else unchanged."""
-    raw = F.encode(text, "ISO-8859-1")
-    latin = ~text.rlike(r"[^\x{00}-\x{FF}]")
-    back = F.when(latin, F.try_validate_utf8(raw.cast("string")))
-    return F.when(looks_mojibake(text, strict) & back.isNotNull() & ~looks_mojibake(back, strict), back).otherwise(text)
+    """Re-read as UTF-8 where the marks show and the result is sound; else unchanged. Strict: characters beyond Latin-1 as '?'."""
+    beyond = r"[^\x{00}-\x{FF}]"
+
+    def sound(c: Column) -> Column:
+        back = F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string"))
+        return F.when(~looks_mojibake(back, strict), back)
+
+    back = F.when(~text.rlike(beyond), sound(text))
+    if strict:  # a lenient decoding without U+FFFD is a valid one
+        relaxed = sound(_drop(text, beyond, "?"))
+        back = back.otherwise(F.when(~relaxed.contains("\ufffd"), relaxed))
+    return F.when(looks_mojibake(text, strict), F.coalesce(back, text)).otherwise(text)
 
 
 def sanitize_name(name: Column, fallback: str = "folder") -> Column:

@@ -98,3 +98,14 @@ def test_recovered_json(text_):
 def test_search_tokens(spark):
     assert value(spark, text.search_tokens(F.col("t")), t="Café_Ünder-x 가나 Ёлка") == ["cafe", "under", "x", "가나", "елка"]
     assert text.query_phrases('reading_list "Ça"') == [["reading", "list"], ["ca"]]
+
+
+def test_repaired_mojibake(spark):
+    garbled = "견적서".encode().decode("latin-1")
+    fixed = lambda t, strict=True: value(spark, text.repaired_mojibake(F.col("t"), strict), t=t)
+    assert fixed(garbled + ".pdf") == "견적서.pdf"
+    assert fixed(garbled + "€ 한😀.pdf") == "견적서? ??.pdf"  # beyond Latin-1: each character as '?'
+    assert fixed(garbled + "€.pdf", False) == garbled + "€.pdf"
+    for kept in (garbled[:-1] + "€.pdf", garbled + "€" + "�".encode().decode("latin-1"), garbled[:4] + "€" + garbled[5:], "plan €.pdf", ""):
+        assert fixed(kept) == kept
+    assert fixed(garbled + "�".encode().decode("latin-1")) == "견적서�"  # the strict reading takes it
