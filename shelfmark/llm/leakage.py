@@ -103,7 +103,10 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def windows(df: DataFrame, key: str, text: str, lexicon: Lexicon, width: int = WIDTH, bits=None, prefix: str = "") -> DataFrame:
-    """(key, pos, hash, words, slots) of the canonical windows; with ``bits`` only of those that pass the filter."""
+    """(key, pos, hash, words, slots) of the canonical windows; with ``bits`` only of those that pass the filter.
+
+    A window that begins with a unit is given twice, with the unit as a slot and as a word.
+    """
 
     def make():
         codes: dict[str, tuple[int, bool, bool]] = {}
@@ -129,25 +132,32 @@ def windows(df: DataFrame, key: str, text: str, lexicon: Lexicon, width: int = W
             doc = np.repeat(np.arange(len(words)), sizes)
             unit[1:] &= number[:-1] & (doc[1:] == doc[:-1])
             unit[0] = False
+            plain, fixed = h.copy(), slot.copy()
             h[unit] = _UNIT_HASH
             slot |= unit
             n = len(flat) - width + 1
             total = np.zeros(n, np.uint64)
             for j in range(width):
                 total += h[j : j + n] * _POWERS[j]
+            # what makes a window's first word a unit lies outside it, so such a window is also given with the word itself
+            bare = total + (plain[:n] - h[:n]) * _POWERS[0]
             total ^= total >> np.uint64(29)
+            bare ^= bare >> np.uint64(29)
             keep = doc[:n] == doc[width - 1 :]
+            also = keep & unit[:n]
             if bits is not None:
                 keep &= _passes(bits, total)
-            at = np.flatnonzero(keep)
+                also &= _passes(bits, bare)
+            whole, again = np.flatnonzero(keep), np.flatnonzero(also)
+            at = np.concatenate([whole, again])
             starts = np.concatenate([[0], np.cumsum(sizes)])
             return pa.record_batch(
                 [
                     batch.column(0).take(pa.array(doc[at])),
                     pa.array(at - starts[doc[at]], pa.int32()),
-                    pa.array(total[at].view(np.int64)),
+                    pa.array(np.concatenate([total[whole], bare[again]]).view(np.int64)),
                     pa.array([[w.lower() for w in flat[i : i + width]] for i in at], pa.list_(pa.string())),
-                    pa.array([slot[i : i + width].tolist() for i in at], pa.list_(pa.bool_())),
+                    pa.array([slot[i : i + width].tolist() for i in whole] + [[bool(fixed[i]), *slot[i + 1 : i + width].tolist()] for i in again], pa.list_(pa.bool_())),
                 ],
                 names=[prefix + c for c in ("key", "pos", "hash", "words", "slots")],
             )
@@ -179,7 +189,7 @@ def template_matches(
     """Windows that a document and an item share up to their slots: (key, pos, words, i_key, i_pos, i_words, slots).
 
     Null and empty texts, and those of fewer than ``width`` words, have no windows. Repeated rows are each matched
-    under their own key. Extra columns aren't read.
+    under their own key. Two windows that begin with the same unit may be given twice. Extra columns aren't read.
     """
     items = items.where(F.col(item_text).isNotNull()).select(item_key, item_text)
     size = items.agg(F.sum(F.size(F.split(item_text, r"\P{Alnum}+")))).first()[0] or 0

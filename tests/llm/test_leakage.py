@@ -30,6 +30,15 @@ def test_inconsistent_slots(spark):
     assert kinds == {(1, 1): "template"}
 
 
+@pytest.mark.parametrize("before", ["some", "14", "9", ""])
+def test_passage_that_begins_with_a_unit(spark, before):
+    ten = "days w2 w3 w4 w5 w6 w7 w8 w9 w10"
+    item = f"alpha beta 14 {ten} gamma"
+    found, kinds = run(spark, [(1, f"{before} {ten} omega"), (2, f"{before} {ten.replace('days', 'roads')} omega")], [(1, item)])
+    assert found == {(1, 1)} and kinds[1, 1] == "verbatim"
+    assert run(spark, [(1, item)], [(1, f"{before} {ten} omega")])[0] == {(1, 1)}
+
+
 def test_empty(spark):
     assert run(spark, [], [(1, ITEM)]) == (set(), {}) and run(spark, [(1, ITEM)], []) == (set(), {})
 
