@@ -45,10 +45,14 @@ _LONG = "|".join(sorted((w for w in DIGIT_WORDS if not "가" <= w <= "힣"), key
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_LONG}|\d)(?:[\s,.\-]+(?:{_LONG}|\d+)){{5,}}(?!\w)")
 _SPELLED_KO = re.compile(r"(?<![가-힣])[공영일이삼사오육칠팔구](?:[\s\-]?[공영일이삼사오육칠팔구]){6,}(?![가-힣])")
 _ONE = re.compile(rf"(?i){_LONG}|[공영일이삼사오육칠팔구]")
-_AT = re.compile(r"(?i)\s?[\[({<]\s?(?:at|a|@|arroba|arobase|chez|собака|골뱅이)\s?[\])}>]\s?|(?<=[\w])\s(?:at|arroba|arobase|собака|골뱅이)\s(?=[\w-]+(?:\s?[\[({]?\s?(?:dot|punkt|point|punto|точка|점)\s?[\])}]?\s?[\w-]+)+)")
-_DOT = re.compile(r"(?i)\s?[\[({<]\s?(?:dot|punkt|point|punto|точка|점|\.)\s?[\])}>]\s?|(?<=[\w])\s(?:dot|punkt|punto|точка)\s(?=[a-z]{2,})")
+#: Words for "at" and "dot": between brackets, between spaces; and "dot" after an "at" between spaces.
+_AT_IN, _AT_OUT = r"at|a|@|arroba|arobase|chez|собака|골뱅이", "at|arroba|arobase|собака|골뱅이"
+_DOT_IN, _DOT_OUT, _DOT_AFTER = r"dot|punkt|point|punto|точка|점|\.", "dot|punkt|punto|точка", "dot|punkt|point|punto|точка|점"
+_AT = re.compile(rf"(?i)\s?[\[({{<]\s?(?:{_AT_IN})\s?[\])}}>]\s?|(?<=[\w])\s(?:{_AT_OUT})\s(?=[\w-]+(?:\s?[\[({{]?\s?(?:{_DOT_AFTER})\s?[\])}}]?\s?[\w-]+)+)")
+_DOT = re.compile(rf"(?i)\s?[\[({{<]\s?(?:{_DOT_IN})\s?[\])}}>]\s?|(?<=[\w])\s(?:{_DOT_OUT})\s(?=[a-z]{{2,}})")
 _DASH = re.compile("[‐-―−﹘﹣]")
-_PLAIN = re.compile(r"(?i)[^ -~\n\t가-힣а-яёß-öø-ÿ«»“”‘’„…]|[\[({<]\s?(?:at|a|@|dot|arroba|arobase|punkt|point|punto)\s?[\])}>]|\s(?:at|arroba|arobase|dot|punkt|punto)\s")
+#: What any match of the above has, or a character that is rewritten.
+_PLAIN = re.compile(rf"(?i)[^ -~\n\t가-힣а-яёß-öø-ÿ«»“”‘’„…]|[\[({{<]\s?(?:{_AT_IN}|{_DOT_IN})\s?[\])}}>]|\s(?:{_AT_OUT}|{_DOT_OUT})\s")
 
 
 @dataclass

@@ -12,6 +12,12 @@ NAMES = p.Names.of([("Edwin", "given"), ("Götz", "given"), ("Tarrowby", "family
         ("write to a.b [at] mail [dot] example [dot] net now", "write to [EMAIL] now"),
         ("ask rufus (at) example.com, please", "ask [EMAIL], please"),
         ("ask rufus at example dot com please", "ask [EMAIL] please"),
+        ("Пишите ivan собака mail точка ru сегодня", "Пишите [EMAIL] сегодня"),
+        ("ivan (собака) mail [точка] ru", "[EMAIL]"),
+        ("문의 kim(골뱅이)mail(점)com", "문의 [EMAIL]"),
+        ("voir luc [chez] mail [point] fr demain", "voir [EMAIL] demain"),
+        ("ask kim@mail[.]com please", "ask [EMAIL] please"),
+        ("ask kim@mail(.)com please", "ask [EMAIL] please"),
         ("ａ．ｂ＠ｅｘａｍｐｌｅ．ｎｅｔ!", "[EMAIL]!"),
         ("mail еdwin@example.net", "mail [EMAIL]"),
         ("Reach Edwin Tarrowby on +1 617 555 0102 after lunch", "Reach [NAME] on [PHONE] after lunch"),
