@@ -363,11 +363,14 @@ PARTNERS, SHARE, USES, HIGH = 2, 0.25, 2, 0.6
 MOST_NAMES = 500_000
 
 
-def completed(texts: DataFrame, names: Names, rounds: int = 3) -> Names:
-    """``names`` with those learnt from all rows of the one-column table; sums are combined in the tasks, candidates only."""
+def completed(texts: DataFrame, names: Names) -> Names:
+    """``names`` with those learnt from all rows of the one-column table; sums are combined in the tasks, candidates only.
+
+    Names learnt help to learn others, so it goes on until a pass adds none; the set only grows, to MOST_NAMES at most.
+    """
     column = texts.columns[0]
     rows = texts.where(F.col(column) != "")
-    for _ in range(rounds):
+    while True:
         known = names
 
         def make(known=known):
@@ -400,7 +403,6 @@ def completed(texts: DataFrame, names: Names, rounds: int = 3) -> Names:
             return names
         new.__post_init__()
         names = new
-    return names
 
 
 #: A capitalised word, with a second one joined by a hyphen.

@@ -68,6 +68,13 @@ def test_learning_by_cues():
     assert ("given", "birkenweg", "niederloh") not in seen
 
 
+def test_learning_goes_on_to_the_end(spark):
+    chain = ["Edwin Aarbon", "Berwin Aarbon", "Berwin Carbon", "Derwin Carbon", "Derwin Earbon", "Ferwin Earbon", "Ferwin Garbon"]
+    texts = spark.createDataFrame([(f"{n} came.",) for i, n in enumerate(chain) for _ in range(128 >> i)], "t string")
+    names = p.completed(texts, NAMES)
+    assert names.given - NAMES.given == {"berwin", "derwin", "ferwin"} and names.family - NAMES.family == {"aarbon", "carbon", "earbon", "garbon"}
+
+
 def test_rows_and_learning(spark):
     rows = [(1, "Edwin Fontorge came.", "a"), (2, "Götz Fontorge saw. Tarrowby", "a"), (3, "Silas Fontorge and Silas Tarrowby and Silas Niederloh", "a"), (4, None, "a"), (5, "", "a"), (5, "", "a"), (6, "x " * 150_000 + "Silas Fontorge", "a"), (None, "a@b.example", "a")]
     df = spark.createDataFrame(rows, "file_id long, t string, kinds string")
