@@ -58,6 +58,9 @@ ODD_FORMS = ((0xA0, 0xA0), (0xAD, 0xAD), (0x300, 0x36F), (0x391, 0x3C9), (0x1100
 RUN = re.compile(r"[^\x00-\x7f]+")
 LOST = "�"
 
+#: Characters that are taken off a piece's start and end: bytes of a sequence that was cut off.
+CUTS = [(a, b) for a in range(4) for b in range(4)]
+
 
 def _decode(data: bytes, encoding: str) -> str:
     """Decoding as lenient software does it: undefined bytes of a single-byte set stay as control characters, others are lost."""
@@ -287,7 +290,21 @@ class Model:
             fixed, whole = restore(span, PAIRS[k])
             if whole and self._clean_score(fixed) > now + 5:
                 return k
-        return state if LOST in span else None
+        return state if LOST in span else self._piece(span, state)
+
+    def _piece(self, span: str, state: int) -> int | None:
+        """The state whose inverse gives likelier clean text for a piece of a span that has none as a whole: one cut off inside a sequence, or with bytes that became spaces."""
+        for k in (state, *range(CLEAN)):
+            if PAIRS[k][0] not in ("utf-8", "utf-8 twice", "cp949") or PAIRS[k][1] == "utf-8":
+                continue
+            for piece in span.split():
+                for a, b in CUTS:
+                    part = piece[a : len(piece) - b]
+                    if len(part) > 1 and not part.isascii():
+                        fixed, whole = restore(part, PAIRS[k])
+                        if whole and self._clean_score(fixed) > self._clean_score(part) + 5:
+                            return k
+        return None
 
     def repaired(self, text: str, spans: list[tuple[int, int, int]]) -> tuple[str, bool]:
         """The text with each span restored, and whether all of them could be without loss."""
