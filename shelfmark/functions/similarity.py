@@ -63,7 +63,7 @@ def path_match(parent: Column, parents: Column) -> Column:
 
 def signals(entries: DataFrame) -> DataFrame:
     """``entries`` (path, name, ext, excerpt, modified) with the struct of a file as ``sig``. Proper nouns need a morphological
-    analyser, which is optional and absent by default; the two sets of nouns are then empty, as they are where it can't be loaded."""
+    analyser, which is left out; the two sets of nouns are always empty, as they are where it can't be loaded."""
     stem = text.strip_ext(F.col("name"))
     none = F.array().cast("array<string>")
     return entries.withColumn(
