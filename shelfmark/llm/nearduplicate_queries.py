@@ -16,23 +16,19 @@ def _texts(spark, sf_dir):
     return one.select("f.file_id", F.concat(F.coalesce("f.filename", F.lit("")), F.lit("\n"), "f.content_excerpt").alias("text"))
 
 
-def _similar(spark, sf_dir):
-    return nd.similar_pairs(_texts(spark, sf_dir), "file_id", "text", THRESHOLD, shingle=1)
-
-
 def p5_found(spark, sf_dir):
-    pairs = nd.expanded(*_similar(spark, sf_dir))
+    pairs = nd.expanded(*nd.similar_pairs(_texts(spark, sf_dir), "file_id", "text", THRESHOLD, shingle=1))
     return pairs.select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"))
 
 
 def p5_groups(spark, sf_dir):
     """Class, group and number of links of each file."""
-    return nd.groups(*_similar(spark, sf_dir)).select(F.col("key").alias("file_id"), F.col("class").alias("class_id"), F.col("group").alias("group_id"), "n_links")
+    return nd.groups(_texts(spark, sf_dir), "file_id", "text", THRESHOLD, shingle=1).select(F.col("key").alias("file_id"), F.col("class").alias("class_id"), F.col("group").alias("group_id"), "n_links")
 
 
 def p5_documents(spark, sf_dir):
     """Groups of documents by runs of five words and a similarity of 0.8."""
-    out = nd.groups(*nd.similar_pairs(table(spark, sf_dir, "documents")))
+    out = nd.groups(table(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), F.col("class").alias("class_id"), F.col("group").alias("group_id"), "n_links")
 
 

@@ -1,26 +1,31 @@
 """All pairs of documents whose sets of words have a Jaccard similarity of at least a threshold, by a token-group matrix.
 
-Similar documents are partitioned twice: into blocks, ranges of (most common word, size), and within a block into groups
-of like size. Blocks and groups store the union of their documents' tokens as bits. A query of n
-words needs at least ceil(t / (1 + t) * (n + m)) words in common with a document of m words, so a block or group whose
-union lacks more of the query's words than that leaves can't hold a partner:
+A query of n tokens and a partner of m have at least ceil(t / (1 + t) * (n + m)) tokens in common, so the first token
+they share, in any order of all tokens, is among the first n - that + 1 of each. With the rarest tokens first:
 
-1. routing: each document is sent, as a query, only to the blocks at or after its own that can hold a partner;
-2. in each (query block, block) task every query is bounded against the block's groups, and only qualifying groups are
-   opened: their documents are bounded by the difference of the two bit sets;
-3. what is left is verified on the exact token sets.
+1. the matrix: each document has a row under each of its first tokens, its prefix. What stands under one token is cut
+   into groups of at most GROUP documents of like size, and each group has its union of tokens, as bits;
+2. queries: every document is bounded against the unions of the groups under the tokens of its prefix; only groups that
+   can hold a partner are opened, and their documents are bounded by the difference of the two bit sets;
+3. what is left is verified on the exact token sets, in tasks of bounded size.
 
 No bound is a sample or a cap: nothing that reaches the threshold is lost. Documents with equal sets are one class and
-enter once. Blocks are like numbers of documents, so no word, size or cluster makes a large task; a task holds two blocks.
+enter once. A document has as many rows as its prefix has tokens that another document has too, whatever the number of
+documents: tokens that are counted once have no partner and no row. Rows under tokens of few documents are small, without
+bits, as they are one group that is opened at once. Bits don't grow with a text: a set of more than PART tokens is parted by
+the tokens' hashes, and a pair that reaches the threshold reaches it in one part at least, so each part is a document.
+A token of more than LIST documents is split into ranges, each pair of ranges being a task of its own.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +35,19 @@ from shelfmark.operators.components import components
 from shelfmark.session import cut, is_small, join_checked
 
 WORD = re.compile(r"[^\W_]+")
-#: Words (of 64 bits) of a document's and a group's bits, and of a block's union.
-WIDE, UNION = 16, 1024
-#: Documents of a group: the first size whose unions are filled to FULL at most, as a fuller union bounds nothing.
-GROUPS, FULL = (16, 8, 4, 2), 0.5
-#: Documents of a block, blocks at least (for small tables) and at most (their unions are sent to all tasks: 16 MB).
-BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 65_536, 8, 2_048
-#: Documents in the sample that orders common words; it only decides which documents are stored side by side.
-SAMPLE, COMMON = 2_000, 64
+#: 64-bit words of the bits of a document or group; documents of a group, and of a list that is opened at once.
+WIDE, GROUP = 8, 16
+#: Tokens of a part: a larger set is parted by the next power of two.
+PART = 192
+#: Rows under one token, and of one range of it beyond that.
+LIST = 65_536
+#: Counters of tokens: 2^COUNTERS at most (32 MB with the documents), twice the number of tokens if that is less.
+COUNTERS, CHUNK = 25, 16
+#: Of a verifying task, as an estimate: pairs and bytes of token sets.
+TASK_PAIRS, TASK_BYTES = 500_000, 64 << 20
 
 _EPS = 1e-9
+_SPLIT = 1 << 16
 
 
 def least_overlap(n, m, threshold: float):
@@ -47,12 +55,6 @@ def least_overlap(n, m, threshold: float):
     return np.ceil(threshold / (1 + threshold) * (n + m) - _EPS)
 
 
-def _bits(tokens: np.ndarray, words: int) -> np.ndarray:
-    out = np.zeros(words * 64, np.uint8)
-    out[(tokens.view(np.uint64) % np.uint64(words * 64)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little")
-
-
 def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words, or of the whole where it is shorter."""
     n = max(1, len(hashes) - width + 1)
@@ -124,146 +126,358 @@ def classes_of(sets: DataFrame, members: DataFrame) -> DataFrame:
     return rows if is_small(copies) else cut(rows)
 
 
-def _common(classes: DataFrame) -> list[int]:
-    sample = classes.select("id", "tokens").limit(SAMPLE)
-    top = sample.select(F.explode("tokens").alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(COMMON)
-    return [r["t"] for r in top.collect()]
+def _levels(classes: DataFrame) -> tuple[np.ndarray, int]:
+    """Counts of tokens over all classes, as 1 + 8 * log2 in a byte, by the low bits of the token; and the number of those bits.
+
+    Each task sends its non-zero chunks of counters compressed, whatever its number of documents; they are added in Spark.
+    A counter saturates at 65,535 within a task. It may count several tokens, but never too few: 1 means a single one.
+    """
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    bits = min(COUNTERS, max(CHUNK, math.ceil(math.log2(2 * total + 1))))
+
+    def count(batches):
+        own = np.zeros(1 << bits, np.uint16)
+        for batch in batches:
+            index, n = np.unique(_index(_flat(batch.column(0)), bits), return_counts=True)
+            own[index] = np.minimum(own[index] + n.astype(np.uint32), 65_535).astype(np.uint16)
+        parts = own.reshape(-1, 1 << CHUNK)
+        used = np.flatnonzero(parts.any(1))
+        if len(used):
+            yield pa.record_batch([pa.array(used, pa.int32()), pa.array([pa.compress(parts[u].tobytes(), "zstd", asbytes=True) for u in used], pa.binary())], names=["chunk", "counts"])
 
+    def add(table: pa.Table) -> pa.Table:
+        sums = np.zeros(1 << CHUNK, np.uint64)
+        for x in table.column("counts"):
+            sums += np.frombuffer(pa.decompress(x.as_py(), 2 << CHUNK, "zstd"), np.uint16)
+        level = np.zeros(1 << CHUNK, np.uint8)
+        some = sums > 0
+        level[some] = np.minimum(255, 1 + np.rint(8 * np.log2(sums[some].astype(float))))
+        return pa.table({"chunk": table.column("chunk")[:1], "level": pa.array([pa.compress(level.tobytes(), "zstd", asbytes=True)], pa.binary())})
 
-def _coded(classes: DataFrame) -> DataFrame:
-    """``classes`` with ``code``, whose order is that of blocks: most common word, size, and some digits of the id to part the rest."""
-    words = F.array(*[F.lit(t) for t in _common(classes)]).cast("array<bigint>")
-    place = F.coalesce(F.array_position(words, F.try_element_at(F.array_intersect(words, "tokens"), F.lit(1))), F.lit(0))
-    size = F.least(F.col("n"), F.lit((1 << 22) - 1)).cast("bigint")
-    return classes.withColumn("code", F.shiftleft(place.cast("bigint"), 46) + F.shiftleft(size, 24) + F.pmod(F.xxhash64("id"), F.lit(1 << 24)))
+    sums = classes.select("tokens").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary")
+    out = np.zeros((1 << (bits - CHUNK), 1 << CHUNK), np.uint8)
+    for r in sums.collect():  # at most 2^(COUNTERS - CHUNK) rows of 2^CHUNK bytes
+        out[r["chunk"]] = np.frombuffer(pa.decompress(bytes(r["level"]), 1 << CHUNK, "zstd"), np.uint8)
+    return out.ravel(), bits
 
 
-def _bounds(coded: DataFrame) -> np.ndarray:
-    """Codes at which blocks of like numbers of documents begin, but for the first."""
-    count = coded.count()
-    blocks = int(min(MOST_BLOCKS, max(LEAST_BLOCKS, math.ceil(count / BLOCK))))
-    if not count:
-        return np.zeros(0)
-    found = coded.select(F.col("code").cast("double").alias("code")).approxQuantile("code", [i / blocks for i in range(1, blocks)], 0.1 / blocks)
-    return np.unique(np.array(found))
+def _flat(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy().view(np.uint64)
 
 
-def _unions(coded: DataFrame, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks that have documents, their unions, least and greatest sizes: each task sends what it has of each block, UNION words and two numbers."""
+def _index(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens & np.uint64((1 << bits) - 1)).astype(np.int64)
 
-    def run(batches):
-        own: dict[int, list] = {}
-        for batch in batches:
-            block = np.searchsorted(bounds, batch.column(0).to_numpy().astype(float), side="right")
-            n, lists = batch.column(1).to_numpy(), batch.column(2)
-            tokens, of = lists.flatten().to_numpy(), np.repeat(block, np.diff(lists.offsets.to_numpy()))
-            for b in np.unique(block):
-                bits, sizes = _bits(tokens[of == b], UNION), n[block == b]
-                old = own.get(int(b), (np.zeros_like(bits), sizes[0], sizes[0]))
-                own[int(b)] = [old[0] | bits, min(old[1], sizes.min()), max(old[2], sizes.max())]
-        if own:
-            bits, low, high = zip(*own.values(), strict=True)
-            yield pa.record_batch([pa.array(list(own), pa.int32()), pa.array([v.tobytes() for v in bits], pa.binary()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["block", "bits", "low", "high"])
-
-    whole: dict[int, list] = {}
-    for r in coded.select("code", "n", "tokens").mapInArrow(run, "block int, bits binary, low int, high int").toLocalIterator():
-        bits = np.frombuffer(bytes(r["bits"]), np.uint64)
-        old = whole.get(r["block"], (np.zeros_like(bits), r["low"], r["high"]))
-        whole[r["block"]] = [old[0] | bits, min(old[1], r["low"]), max(old[2], r["high"])]
-    ids = np.array(sorted(whole), np.int64)
-    pick = lambda i: np.array([whole[b][i] for b in ids])
-    return ids, pick(0), pick(1).astype(float), pick(2).astype(float)
-
-
-def _routed(coded: DataFrame, bounds: np.ndarray, threshold: float) -> DataFrame:
-    """(id, n, bits, block, to): each document's bits and the blocks, at or after its own, that can hold a partner."""
-    ids, unions, low, high = _unions(coded, bounds)
-    table = np.unpackbits(np.ascontiguousarray(unions).view(np.uint8), axis=1, bitorder="little") if len(ids) else None
+
+def _level(count: int) -> int:
+    return min(255, 1 + round(8 * math.log2(count)))
+
+
+def _parting(n: int) -> int:
+    """Into 2^this parts a set of n tokens is parted."""
+    return min(16, max(0, math.ceil(math.log2(max(1, n) / PART))))
+
+
+def _parts(tokens: np.ndarray, threshold: float) -> Iterator[tuple[int, int, bool, np.ndarray]]:
+    """(parting, part, whether only to meet smaller sets, its tokens): a pair meets in the parting of its smaller set."""
+    own = _parting(len(tokens))
+    for parting in range(_parting(math.ceil(threshold * len(tokens) - _EPS)), own + 1):
+        if not parting:
+            yield 0, 0, own > 0, tokens
+            continue
+        part = (tokens >> np.uint64(64 - parting)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        for s, e in zip(starts, [*starts[1:], len(order)], strict=True):
+            yield parting, int(part[order[s]]), parting < own, tokens[order[s:e]]
+
+
+def _matrix(classes: DataFrame, threshold: float) -> DataFrame:
+    """(key, task, id, meta, blob): a row under each token of the prefix of each (part of a) class that isn't alone in having it.
+
+    ``key`` is the token, or, where it is one of more than GROUP classes, its counter; ``task`` 0 for the former, else
+    the pair of ranges. ``meta`` packs sizes and place (see _unpacked); ``blob``, of the latter only, has the bits and
+    the counters of such tokens before this one.
+    """
+    levels, bits = _levels(classes)
+    shared = classes.sparkSession.sparkContext.broadcast(levels)  # 32 MB at most
+    many, alone, longest = _level(GROUP), 1, _level(LIST)
 
     def run(batches):
+        level_of = shared.value
         for batch in batches:
-            n = batch.column(1).to_numpy().astype(float)
-            lists, block = batch.column(2), np.searchsorted(bounds, batch.column(3).to_numpy().astype(float), side="right")
-            tokens, offsets = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
-            at = (tokens % np.uint64(UNION * 64)).astype(np.int64)
-            bits, to = [], []
-            for i in range(batch.num_rows):
-                s, e = offsets[i] - offsets[0], offsets[i + 1] - offsets[0]
-                bits.append(_bits(tokens[s:e].view(np.int64), WIDE).tobytes())
-                size = np.maximum(low, threshold * n[i])
-                fits = (ids >= block[i]) & (high >= threshold * n[i] - _EPS) & (low <= n[i] / threshold + _EPS)
-                near = np.flatnonzero(fits)
-                have = table[near[:, None], at[s:e]].sum(1)
-                to.append(ids[near[have >= least_overlap(n[i], size[near], threshold)]].tolist())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(block, pa.int32()), pa.array(to, pa.list_(pa.int32()))], names=["id", "n", "bits", "block", "to"])
-
-    return coded.select("id", "n", "tokens", "code").mapInArrow(run, f"id {dict(coded.dtypes)['id']}, n int, bits binary, block int, to array<int>")
-
-
-def _candidates(table: pa.Table, threshold: float) -> pa.Table:
-    """(a, b) of the pairs of one (query block, block) task that no bound excludes."""
-    query = table.column("query").to_numpy()
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, WIDE)
-    n = table.column("n").to_numpy().astype(np.int64)
-    ids = table.column("id").combine_chunks()
-    rows, mine = np.flatnonzero(~query), np.flatnonzero(query)
-    rows = rows[np.argsort(n[rows], kind="stable")]
-    same = bool(len(rows)) and table.column("i")[0] == table.column("j")[0]
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    if len(rows) and len(mine):
-        for size in GROUPS:
-            starts = np.arange(0, len(rows), size)
-            union = np.bitwise_or.reduceat(bits[rows], starts, axis=0)
-            if np.bitwise_count(union).sum() <= FULL * union.size * 64:
-                break
-        lacks = ~union
-        smallest, largest = n[rows[starts]], n[rows[np.minimum(starts + size, len(rows)) - 1]]
-        filled = np.concatenate([rows, np.full(-len(rows) % size, -1)]).reshape(-1, size)
-        for q in mine:
-            m = n[q]
-            first = np.searchsorted(largest, math.ceil(threshold * m - _EPS))
-            last = np.searchsorted(smallest, math.floor(m / threshold + _EPS), side="right")
-            if first >= last:
-                continue
-            missing = np.bitwise_count(lacks[first:last] & bits[q]).sum(1, dtype=np.int64)
-            least = least_overlap(m, np.maximum(smallest[first:last], threshold * m), threshold)
-            open_ = first + np.flatnonzero(missing <= m - least)
-            if not len(open_):
-                continue
-            docs = filled[open_].ravel()
-            docs = docs[docs >= 0]
-            differ = np.bitwise_count(bits[docs] ^ bits[q]).sum(1, dtype=np.int64)
-            ok = docs[differ <= m + n[docs] - 2 * least_overlap(m, n[docs], threshold)]
-            a.append(np.full(len(ok), q))
-            b.append(ok)
-    left, right = (ids.take(pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (a, b))
-    out = pa.table({"a": left, "b": right})
-    # within one block both ends are queries: each pair comes twice and each document with itself
-    return out.filter(pa.compute.less(out["a"], out["b"])) if same else out
+            lists = batch.column(2)
+            flat, offsets = _flat(lists), lists.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            subs = [(i, *x) for i in range(batch.num_rows) for x in _parts(flat[offsets[i] : offsets[i + 1]], threshold)]
+            sizes = np.array([len(x[4]) for x in subs], np.int64)
+            tokens = np.concatenate([np.zeros(0, np.uint64), *[x[4] for x in subs]])
+            sub = np.repeat(np.arange(len(subs)), sizes)
+            index = _index(tokens, bits)
+            level = level_of[index].astype(np.int64)
+            order = np.argsort(sub << 40 | level << 32 | index, kind="stable")
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(len(order)) - first[sub]
+            tokens, index, level = tokens[order], index[order], level[order]
+            prefix = sizes - np.ceil(threshold * sizes - _EPS).astype(np.int64) + 1
+            again = np.zeros(len(order), bool)  # two tokens of one counter
+            again[1:] = (index[1:] == index[:-1]) & (sub[1:] == sub[:-1]) & (level[1:] > many)
+            at = np.flatnonzero((place < prefix[sub]) & (level > alone) & ~again)
+            set_ = np.zeros((len(subs), WIDE * 64), np.uint8)
+            set_[sub, (tokens >> np.uint64(COUNTERS) & np.uint64(WIDE * 64 - 1)).astype(np.int64)] = 1
+            packed = np.packbits(set_, axis=1, bitorder="little")
+            rows, keys, tasks, metas, blobs = [], [], [], [], []
+            last, before = -1, b""
+            for t in at.tolist():
+                s = int(sub[t])
+                i, parting, part, visits, _ = subs[s]
+                if s != last:
+                    last, before, own = s, packed[s].tobytes(), b""
+                meta = (int(sizes[s]) << 44) | (int(place[t]) << 24) | (min(int(offsets[i + 1] - offsets[i]), (1 << 22) - 1) << 2) | visits << 1
+                if level[t] <= many:
+                    rows.append(i)
+                    keys.append(int(tokens[t] ^ np.uint64(parting * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+                    tasks.append(0)
+                    metas.append(meta)
+                    blobs.append(b"")
+                    continue
+                blob = before + own
+                own += int(index[t]).to_bytes(4, "little")
+                key = int(index[t]) | parting << 26 | part << 32
+                ranges = 1 if level[t] <= longest else math.ceil(2 ** ((int(level[t]) - 0.5) / 8) / LIST)
+                mine = xxhash.xxh3_64_intdigest(subs[s][4].tobytes()) % ranges if ranges > 1 else 0
+                for other in range(ranges):
+                    rows.append(i)
+                    keys.append(key)
+                    tasks.append(1 + min(mine, other) * _SPLIT + max(mine, other))
+                    metas.append(meta | (mine > other))
+                    blobs.append(blob)
+            yield pa.record_batch(
+                [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(tasks, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(metas, pa.int64()), pa.array(blobs, pa.binary())],
+                names=["key", "task", "id", "meta", "blob"],
+            )
+
+    return classes.select("id", "n", "tokens").mapInArrow(run, f"key bigint, task bigint, id {dict(classes.dtypes)['id']}, meta bigint, blob binary")
+
+
+class _Rows:
+    """Rows of whole lists, sorted by list and size."""
+
+    def __init__(self, table: pa.Table):
+        key, task, meta = (table.column(c).to_numpy() for c in ("key", "task", "meta"))
+        run = np.cumsum((np.diff(key, prepend=key[:1]) != 0) | (np.diff(task, prepend=task[:1]) != 0))
+        order = np.lexsort((meta >> 44, run))
+        self.run, task, meta = run[order], task[order], meta[order]
+        self.ids = table.column("id").combine_chunks().take(pa.array(order))
+        self.n, self.place, self.whole = meta >> 44, meta >> 24 & ((1 << 20) - 1), meta >> 2 & ((1 << 22) - 1)
+        self.visits, self.side = (meta >> 1 & 1).astype(bool), meta & 1
+        self.across = np.where(task > 0, (task - 1) // _SPLIT != (task - 1) % _SPLIT, False)
+        blobs = table.column("blob").take(pa.array(order)).to_pylist()
+        self.before = [b[WIDE * 8 :] for b in blobs]
+        self.many = task > 0
+        self.bits = np.zeros((len(order), WIDE), np.uint64)
+        if self.many.any():
+            self.bits[self.many] = np.frombuffer(b"".join(b[: WIDE * 8] for b in blobs if b), np.uint64).reshape(-1, WIDE)
+        self.starts = np.flatnonzero(np.diff(self.run, prepend=-1))
+        self.ends = np.append(self.starts[1:], len(order))
+
+    def near(self, i: np.ndarray, j: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of rows of one list, the first of no greater size, those that no bound excludes."""
+        least = least_overlap(self.n[i], self.n[j], t)
+        ok = (self.n[i] >= t * self.n[j] - _EPS) & (self.place[i] + least <= self.n[i]) & (self.place[j] + least <= self.n[j]) & ~(self.visits[i] & self.visits[j])
+        ok &= (np.minimum(self.whole[i], self.whole[j]) >= t * np.maximum(self.whole[i], self.whole[j]) - _EPS) & (~self.across[i] | (self.side[i] != self.side[j]))
+        i, j, least = i[ok], j[ok], least[ok]
+        ok = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int64) <= self.n[i] + self.n[j] - 2 * least
+        return i[ok], j[ok]
+
+    def first(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of one list whose first common token, of those of many classes, is the list's own; the others stand in an earlier list too."""
+        if len(i) < 256:
+            sets = {r: set(np.frombuffer(self.before[r], np.uint32).tolist()) for r in {*i.tolist(), *j.tolist()}}
+            ok = np.array([sets[a].isdisjoint(sets[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+            return i[ok], j[ok]
+        rows = np.unique(np.concatenate([i, j]))
+        sizes = np.array([len(self.before[r]) // 4 for r in rows])
+        token, of = np.frombuffer(b"".join(self.before[r] for r in rows), np.uint32), np.repeat(np.arange(len(rows)), sizes)
+        known, code, n = np.unique(token, return_inverse=True, return_counts=True)
+        rank = np.empty(len(known), np.int64)
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(known))
+        code = rank[code]
+        # the 64 most frequent tokens have a bit of their own, which decides; the rest shares 64 bits, which only clear
+        own, rest = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
+        np.bitwise_or.at(own, of[code < 64], np.uint64(1) << code[code < 64].astype(np.uint64))
+        np.bitwise_or.at(rest, of[code >= 64], np.uint64(1) << (code[code >= 64] % 64).astype(np.uint64))
+        a, b = np.searchsorted(rows, i), np.searchsorted(rows, j)
+        ok = (own[a] & own[b]) == 0
+        i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+        open_ = np.flatnonzero(rest[a] & rest[b])
+        if len(open_):
+            sets: dict[int, set] = {}
+            get = lambda r: sets.get(r) or sets.setdefault(r, set(np.frombuffer(self.before[r], np.uint32).tolist()))
+            ok = np.ones(len(i), bool)
+            ok[open_] = [get(x).isdisjoint(get(y)) for x, y in zip(i[open_].tolist(), j[open_].tolist(), strict=True)]
+            i, j = i[ok], j[ok]
+        return i, j
+
+
+def _within(rows: _Rows, s: int, e: int, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one list, by groups of like size and their unions."""
+    n, bits = rows.n[s:e], rows.bits[s:e]
+    size = e - s
+    starts = np.arange(0, size, GROUP)
+    lacks = ~np.bitwise_or.reduceat(bits, starts, axis=0)
+    low, high = n[starts], n[np.minimum(starts + GROUP, size) - 1]
+    step = max(1, min(64, (1 << 18) // len(starts)))
+    for q in range(0, size, step):
+        m, own = n[q : q + step, None], bits[q : q + step]
+        first, last = q // GROUP, int(np.searchsorted(low, m[-1, 0] / t + _EPS, side="right"))
+        missing = np.bitwise_count(lacks[None, first:last] & own[:, None]).sum(2, dtype=np.int64)
+        least = least_overlap(m, np.maximum(low[first:last], m), t)  # partners before the query in the order have it as theirs
+        query, group = np.nonzero((missing <= m - least) & (low[first:last] <= m / t + _EPS) & (high[first:last] >= m))
+        i = np.repeat(query + q, GROUP)
+        j = ((group + first)[:, None] * GROUP + np.arange(GROUP)).ravel()
+        ok = (j > i) & (j < size)
+        if ok.any():
+            yield rows.near(i[ok] + s, j[ok] + s, t)
+
+
+def _candidates(table: pa.Table, t: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, size) of the pairs in whole lists that no bound excludes; size is the tokens of both."""
+    rows = _Rows(table)
+    counts = rows.ends - rows.starts
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out():
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        found.clear()
+        return pa.record_batch([rows.ids.take(pa.array(i)), rows.ids.take(pa.array(j)), pa.array(rows.whole[i] + rows.whole[j], pa.int64())], names=["a", "b", "size"])
+
+    few = np.repeat(counts <= GROUP, counts)
+    for d in range(1, min(GROUP, int(counts.max(initial=0)))):
+        i = np.flatnonzero(few[:-d] & (rows.run[:-d] == rows.run[d:]))
+        i, j = rows.near(i, i + d, t)
+        many = rows.many[i]
+        found += [(i[~many], j[~many]), rows.first(i[many], j[many])]
+    yield out()
+    waiting = 0
+    for s, e in zip(rows.starts[counts > GROUP], rows.ends[counts > GROUP], strict=True):
+        for i, j in _within(rows, int(s), int(e), t):
+            found.append(rows.first(i, j) if rows.many[s] else (i, j))
+            waiting += len(found[-1][0])
+            if waiting > TASK_PAIRS:
+                yield out()
+                waiting = 0
+    yield out()
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by list, as tables of whole lists."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, task = batch.column("key").to_numpy(), batch.column("task").to_numpy()
+        new = np.flatnonzero((np.diff(key) != 0) | (np.diff(task) != 0))
+        if held and (held[-1].column("key")[-1].as_py(), held[-1].column("task")[-1].as_py()) != (int(key[0]), int(task[0])):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(new):
+            last = int(new[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, size), a < b: the pairs of classes that the matrix doesn't exclude, once each, materialised."""
+    kind = dict(classes.dtypes)["id"]
+    matrix = _matrix(classes, threshold).repartition("key", "task").sortWithinPartitions("key", "task")
+    found = matrix.mapInArrow(lambda batches: (x for table in _lists(batches) for x in _candidates(table, threshold)), f"a {kind}, b {kind}, size bigint")
+    return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "size").distinct())
+
+
+def _overlaps(pairs: pa.Table, sets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two sets of each pair, and their similarity."""
+    a, b = (pc.index_in(pairs.column(c), sets.column("id").combine_chunks()).to_numpy() for c in ("a", "b"))
+    lists = sets.column("tokens").combine_chunks()
+    offsets = lists.offsets.to_numpy()
+    _, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    offsets, n = offsets - offsets[0], np.diff(offsets)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    common = np.zeros(len(a), np.int64)
+    mark = np.zeros(len(code) + 1, bool)
+    starts = np.flatnonzero(np.diff(a, prepend=-1))
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(a)], strict=True):
+        own = code[offsets[a[s]] : offsets[a[s] + 1]]
+        mark[own] = True
+        for p in range(s, e, 4096):
+            some = b[p : min(p + 4096, e)]
+            sizes = n[some]
+            ends = np.cumsum(sizes)
+            at = np.repeat(offsets[some] - (ends - sizes), sizes) + np.arange(ends[-1])
+            common[p : p + len(some)] = np.add.reduceat(mark[code[at]].astype(np.int64), ends - sizes)
+        mark[own] = False
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return a[back], b[back], (common / (n[a] + n[b] - common))[back]
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least row that each of n rows is linked to, directly or over others."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        for end in (a, b):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _checked(classes: DataFrame, threshold: float, links: bool) -> DataFrame:
+    """Candidates on their exact sets, in tasks of a bounded number of pairs and tokens: (a, b, similarity); with ``links``
+    (id, to, n_links) instead: a task's links of a class are counted, and its groups given as links to their first."""
+    kind = dict(classes.dtypes)["id"]
+    pairs = candidate_pairs(classes, threshold)
+    total = pairs.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    side = max(4, math.ceil(math.sqrt(max(total["n"] / TASK_PAIRS, 8 * (total["size"] or 0) / TASK_BYTES))))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    tasks = pairs.select("a", "b", (place("a") * side + place("b")).alias("task"))
+    needed = tasks.select("task", F.col("a").alias("id")).unionByName(tasks.select("task", F.col("b").alias("id"))).distinct()
+    sets = join_checked(classes.select("id", "tokens"), cut(needed), "id")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, likeness = _overlaps(left, right)
+        ok = likeness >= threshold - _EPS
+        if not links:
+            return left.select(["a", "b"]).append_column("similarity", pa.array(likeness)).filter(pa.array(ok))
+        a, b = a[ok], b[ok]
+        n = np.bincount(a, minlength=right.num_rows) + np.bincount(b, minlength=right.num_rows)
+        to, some = _forest(a, b, right.num_rows), pa.array(np.flatnonzero(n))
+        ids = right.column("id").combine_chunks()
+        return pa.table({"id": ids.take(some), "to": ids.take(pa.array(to)).take(some), "n_links": pa.array(n, pa.int64()).take(some)})
+
+    out = f"id {kind}, to {kind}, n_links bigint" if links else f"a {kind}, b {kind}, similarity double"
+    return tasks.groupBy("task").cogroup(sets.groupBy("task")).applyInArrow(check, out)
 
 
 def similar_classes(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b, similarity), a < b: all pairs of classes of at least ``threshold``; from (id, n, tokens) with unique ids and
     sets, which is read several times and should be materialised."""
-    import pyarrow.compute  # noqa: F401
+    return _checked(classes, threshold, links=False)
 
-    kind = dict(classes.dtypes)["id"]
-    coded = _coded(classes)
-    routed = cut(_routed(coded, _bounds(coded), threshold))
-    queries = routed.select("id", "n", "bits", F.lit(True).alias("query"), F.col("block").alias("i"), F.explode("to").alias("j"))
-    meet = queries.groupBy("i", "j").count()
-    rows = routed.select("id", "n", "bits", F.lit(False).alias("query"), F.col("block").alias("j")).join(F.broadcast(meet.select("i", "j")), "j")  # at most MOST_BLOCKS^2 / 2 pairs of small integers
-    tasks = queries.unionByName(rows)
-    found = tasks.groupBy("i", "j").applyInArrow(lambda t: _candidates(t, threshold), f"a {kind}, b {kind}")
-    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs)
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = join_checked(coded.select("id", "n", "tokens"), needed, "id", "left_semi")  # tokens of candidates only go on
-    one, two = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}")) for c in "ab")
-    common = F.size(F.array_intersect("t_a", "t_b"))
-    checked = pairs.join(one, "a").join(two, "b").select("a", "b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("similarity"))
-    return checked.where(F.col("similarity") >= threshold - _EPS)
+
+def _classes(docs: DataFrame, key: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    sets = cut(token_sets(docs.where(F.col(key).isNotNull()), key, text, shingle))
+    members = cut(members_of(sets))
+    return classes_of(sets, members), members
 
 
 def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -273,9 +487,8 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     are left out, as a class couldn't be named by them. Repeated texts are members of one class, not pairs. Extra
     columns aren't read. An empty table gives empty results.
     """
-    sets = cut(token_sets(docs.where(F.col(key).isNotNull()), key, text, shingle))
-    members = cut(members_of(sets))
-    return similar_classes(classes_of(sets, members), threshold), members
+    classes, members = _classes(docs, key, text, shingle)
+    return similar_classes(classes, threshold), members
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -286,9 +499,16 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(within).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
 
 
-def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(key, class, group, n_links): one row for each document; group is the least class linked to its own, directly or over others."""
-    linked = components(pairs, "a", "b").select(F.col("node").alias("class"), "component")
-    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
-    out = members.join(linked, "class", "left").join(ends, "class", "left")
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(key, class, group, n_links): one row for each document that has words; group is the least class linked to its own,
+    directly or over others, n_links the number of classes its own is linked to.
+
+    Links are counted where they are found: between tasks go a count for each class, and a link to the first of each
+    task's group, but no list of links. As for similar_pairs otherwise.
+    """
+    classes, members = _classes(docs, key, text, shingle)
+    links = cut(_checked(classes, threshold, links=True))
+    linked = components(links.where("id != to"), "id", "to").select(F.col("node").alias("class"), "component")
+    counts = links.groupBy(F.col("id").alias("class")).agg(F.sum("n_links").alias("n_links"))
+    out = members.join(linked, "class", "left").join(counts, "class", "left")
     return out.select("key", "class", F.coalesce("component", "class").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
