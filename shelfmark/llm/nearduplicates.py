@@ -11,8 +11,8 @@ they share, in any order of all tokens, is among the first n - that + 1 of each.
 
 No bound is a sample or a cap: nothing that reaches the threshold is lost. Documents with equal sets are one class and
 enter once. A document has as many rows as its prefix has tokens that another document has too, whatever the number of
-documents: tokens that are counted once have no partner and no row. Rows under tokens of few documents are small, without
-bits, as they are one group that is opened at once. Bits don't grow with a text: a set of more than PART tokens is parted by
+documents: tokens that are counted once have no partner and no row. Tokens of few documents are one group that is opened
+at once, so rows under them have no bits for a union, only a few for the difference. Bits don't grow with a text: a set of more than PART tokens is parted by
 the tokens' hashes, and a pair that reaches the threshold reaches it in one part at least, so each part is a document.
 A token of more than LIST documents is split into ranges, each pair of ranges being a task of its own.
 """
@@ -35,8 +35,8 @@ from shelfmark.operators.components import components
 from shelfmark.session import cut, is_small, join_checked
 
 WORD = re.compile(r"[^\W_]+")
-#: 64-bit words of the bits of a document or group; documents of a group, and of a list that is opened at once.
-WIDE, GROUP = 8, 16
+#: 64-bit words of the bits of a document or group, and of the parities of its tokens; documents of a group.
+WIDE, ODD, GROUP = 8, 2, 16
 #: Tokens of a part: a larger set is parted by the next power of two.
 PART = 192
 #: Rows under one token, and of one range of it beyond that.
@@ -126,8 +126,8 @@ def classes_of(sets: DataFrame, members: DataFrame) -> DataFrame:
     return rows if is_small(copies) else cut(rows)
 
 
-def _levels(classes: DataFrame) -> tuple[np.ndarray, int]:
-    """Counts of tokens over all classes, as 1 + 8 * log2 in a byte, by the low bits of the token; and the number of those bits.
+def _levels(classes: DataFrame) -> tuple[np.ndarray, int, float]:
+    """Counts of tokens over all classes, as 1 + 8 * log2 in a byte, by the low bits of the token; the number of those bits; the mean count.
 
     Each task sends its non-zero chunks of counters compressed, whatever its number of documents; they are added in Spark.
     A counter saturates at 65,535 within a task. It may count several tokens, but never too few: 1 means a single one.
@@ -158,7 +158,7 @@ def _levels(classes: DataFrame) -> tuple[np.ndarray, int]:
     out = np.zeros((1 << (bits - CHUNK), 1 << CHUNK), np.uint8)
     for r in sums.collect():  # at most 2^(COUNTERS - CHUNK) rows of 2^CHUNK bytes
         out[r["chunk"]] = np.frombuffer(pa.decompress(bytes(r["level"]), 1 << CHUNK, "zstd"), np.uint8)
-    return out.ravel(), bits
+    return out.ravel(), bits, total / (1 << bits)
 
 
 def _flat(lists: pa.ListArray) -> np.ndarray:
@@ -195,13 +195,13 @@ def _parts(tokens: np.ndarray, threshold: float) -> Iterator[tuple[int, int, boo
 def _matrix(classes: DataFrame, threshold: float) -> DataFrame:
     """(key, task, id, meta, blob): a row under each token of the prefix of each (part of a) class that isn't alone in having it.
 
-    ``key`` is the token, or, where it is one of more than GROUP classes, its counter; ``task`` 0 for the former, else
-    the pair of ranges. ``meta`` packs sizes and place (see _unpacked); ``blob``, of the latter only, has the bits and
-    the counters of such tokens before this one.
+    ``key`` is the token, or, where its count stands out (above GROUP and what a counter has of other tokens), its
+    counter; ``task`` 0 for the former, else the pair of ranges. ``meta`` packs sizes and place (see _Rows); ``blob`` has
+    the parities of the former, and of the latter the bits and the counters of such tokens before this one.
     """
-    levels, bits = _levels(classes)
+    levels, bits, load = _levels(classes)
     shared = classes.sparkSession.sparkContext.broadcast(levels)  # 32 MB at most
-    many, alone, longest = _level(GROUP), 1, _level(LIST)
+    many, alone, longest = _level(GROUP + 3 * load if load > 1 else GROUP), 1, _level(LIST)
 
     def run(batches):
         level_of = shared.value
@@ -226,20 +226,22 @@ def _matrix(classes: DataFrame, threshold: float) -> DataFrame:
             set_ = np.zeros((len(subs), WIDE * 64), np.uint8)
             set_[sub, (tokens >> np.uint64(COUNTERS) & np.uint64(WIDE * 64 - 1)).astype(np.int64)] = 1
             packed = np.packbits(set_, axis=1, bitorder="little")
+            odd = np.bincount(sub * (ODD * 64) + (tokens >> np.uint64(40) & np.uint64(ODD * 64 - 1)).astype(np.int64), minlength=len(subs) * ODD * 64) & 1
+            odd = np.packbits(odd.astype(np.uint8).reshape(len(subs), -1), axis=1, bitorder="little")
             rows, keys, tasks, metas, blobs = [], [], [], [], []
-            last, before = -1, b""
+            last = -1
             for t in at.tolist():
                 s = int(sub[t])
                 i, parting, part, visits, _ = subs[s]
                 if s != last:
-                    last, before, own = s, packed[s].tobytes(), b""
+                    last, before, own, parity = s, packed[s].tobytes(), b"", odd[s].tobytes()
                 meta = (int(sizes[s]) << 44) | (int(place[t]) << 24) | (min(int(offsets[i + 1] - offsets[i]), (1 << 22) - 1) << 2) | visits << 1
                 if level[t] <= many:
                     rows.append(i)
                     keys.append(int(tokens[t] ^ np.uint64(parting * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
                     tasks.append(0)
                     metas.append(meta)
-                    blobs.append(b"")
+                    blobs.append(parity)
                     continue
                 blob = before + own
                 own += int(index[t]).to_bytes(4, "little")
@@ -276,8 +278,9 @@ class _Rows:
         self.before = [b[WIDE * 8 :] for b in blobs]
         self.many = task > 0
         self.bits = np.zeros((len(order), WIDE), np.uint64)
-        if self.many.any():
-            self.bits[self.many] = np.frombuffer(b"".join(b[: WIDE * 8] for b in blobs if b), np.uint64).reshape(-1, WIDE)
+        self.odd = np.zeros((len(order), ODD), np.uint64)
+        self.bits[self.many] = np.frombuffer(b"".join(b[: WIDE * 8] for b in blobs if len(b) > ODD * 8), np.uint64).reshape(-1, WIDE)
+        self.odd[~self.many] = np.frombuffer(b"".join(b for b in blobs if len(b) == ODD * 8), np.uint64).reshape(-1, ODD)
         self.starts = np.flatnonzero(np.diff(self.run, prepend=-1))
         self.ends = np.append(self.starts[1:], len(order))
 
@@ -287,7 +290,8 @@ class _Rows:
         ok = (self.n[i] >= t * self.n[j] - _EPS) & (self.place[i] + least <= self.n[i]) & (self.place[j] + least <= self.n[j]) & ~(self.visits[i] & self.visits[j])
         ok &= (np.minimum(self.whole[i], self.whole[j]) >= t * np.maximum(self.whole[i], self.whole[j]) - _EPS) & (~self.across[i] | (self.side[i] != self.side[j]))
         i, j, least = i[ok], j[ok], least[ok]
-        ok = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int64) <= self.n[i] + self.n[j] - 2 * least
+        differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int64) + np.bitwise_count(self.odd[i] ^ self.odd[j]).sum(1, dtype=np.int64)
+        ok = differ <= self.n[i] + self.n[j] - 2 * least  # each differing bit is a token that one of them lacks; a row has one kind of bits
         return i[ok], j[ok]
 
     def first(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
