@@ -126,8 +126,8 @@ def classes_of(sets: DataFrame, members: DataFrame) -> DataFrame:
     return rows if is_small(copies) else cut(rows)
 
 
-def _levels(classes: DataFrame) -> tuple[np.ndarray, int, float]:
-    """Counts of tokens over all classes, as 1 + 8 * log2 in a byte, by the low bits of the token; the number of those bits; the mean count.
+def _levels(classes: DataFrame) -> tuple[dict[int, bytes], int, float]:
+    """Counts of tokens over all classes, as 1 + 8 * log2 in a byte, by the low bits of the token, in compressed chunks; the number of those bits; the mean count.
 
     Each task sends its non-zero chunks of counters compressed, whatever its number of documents; they are added in Spark.
     A counter saturates at 65,535 within a task. It may count several tokens, but never too few: 1 means a single one.
@@ -155,10 +155,15 @@ def _levels(classes: DataFrame) -> tuple[np.ndarray, int, float]:
         return pa.table({"chunk": table.column("chunk")[:1], "level": pa.array([pa.compress(level.tobytes(), "zstd", asbytes=True)], pa.binary())})
 
     sums = classes.select("tokens").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary")
+    rows = sums.collect()  # at most 2^(COUNTERS - CHUNK) rows of 2^CHUNK bytes
+    return {r["chunk"]: bytes(r["level"]) for r in rows}, bits, total / (1 << bits)
+
+
+def _unpacked(chunks: dict[int, bytes], bits: int) -> np.ndarray:
     out = np.zeros((1 << (bits - CHUNK), 1 << CHUNK), np.uint8)
-    for r in sums.collect():  # at most 2^(COUNTERS - CHUNK) rows of 2^CHUNK bytes
-        out[r["chunk"]] = np.frombuffer(pa.decompress(bytes(r["level"]), 1 << CHUNK, "zstd"), np.uint8)
-    return out.ravel(), bits, total / (1 << bits)
+    for chunk, level in chunks.items():
+        out[chunk] = np.frombuffer(pa.decompress(level, 1 << CHUNK, "zstd"), np.uint8)
+    return out.ravel()
 
 
 def _flat(lists: pa.ListArray) -> np.ndarray:
@@ -204,7 +209,7 @@ def _matrix(classes: DataFrame, threshold: float) -> DataFrame:
     many, alone, longest = _level(GROUP + 3 * load if load > 1 else GROUP), 1, _level(LIST)
 
     def run(batches):
-        level_of = shared.value
+        level_of = _unpacked(shared.value, bits)
         for batch in batches:
             lists = batch.column(2)
             flat, offsets = _flat(lists), lists.offsets.to_numpy()
