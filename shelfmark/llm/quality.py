@@ -1,7 +1,8 @@
 """Text statistics of documents, and text types learnt from thresholds on them.
 
 One pass counts in how many documents of each language a word occurs; words of at least COMMON_SHARE of a language's
-documents are its common words. A second pass gives each document its statistics. Thresholds on the statistics are
+documents are its common words. Of a language with fewer than KNOWN documents nothing can be said of its common words:
+what depends on them abstains for its documents, so that they are neither held against them nor for them. A second pass gives each document its statistics. Thresholds on the statistics are
 labelling functions: each says which text types a document may be, or abstains. How far each can be trusted is learnt
 by expectation-maximisation from how they agree, on the histogram of their answers over all documents, whose size is
 bounded by the number of answers, not of documents. The posterior type is then an expression in Spark's columns.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,10 @@ MARKER = re.compile(r"\s*(?:[-*+•◦▪‣·☐☑✓–—]|\[[ xX]?\]|\(?\d{
 CELLS = re.compile(r"[|\t;]|,(?=\S)|\S {3,}\S|^\s*[^:.!?]{1,40}: \S[^.!?]{0,24}$")
 DIGITS = re.compile(r"\d+")
 
-#: A common word is in at least this share of a language's documents; languages below RARE_LANG of all documents don't count.
-COMMON_SHARE, RARE_LANG, LEAST_DOCS = 0.25, 0.005, 20
+#: A common word is in at least this share of a language's documents; of how many documents at least that can be told.
+COMMON_SHARE, KNOWN = 0.25, 8
+#: A language's code; at most 26^2 + 26^3 of them. All else is UNKNOWN, whose documents are held against the words of all languages.
+LANG, UNKNOWN = "^[a-z]{2,3}$", "und"
 #: Words of a chunk, for the statistics that are means over chunks.
 CHUNK = 20
 
@@ -37,14 +41,28 @@ TYPES = ("prose", "list", "table", "junk")
 OTHERS = ("list", "table", "junk")
 
 
+class Common(NamedTuple):
+    """Common words of all languages, and the languages that have some."""
+
+    words: frozenset[str]
+    langs: frozenset[str]
+
+    def known(self, lang: str) -> bool:
+        return lang in self.langs or lang == UNKNOWN
+
+
+def _lang(lang: str) -> Column:
+    return F.when(F.col(lang).rlike(LANG), F.col(lang)).otherwise(UNKNOWN)
+
+
 def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, word, n_docs): documents of a language with the word; word '' counts all its documents. A null language is 'und'."""
+    """(lang, word, n_docs): documents of a language with the word; word '' counts all its documents. What is no code is 'und'."""
 
     def make():
         def step(batch: pa.RecordBatch):
             counts: dict[str, Counter] = {}
             for t, code in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                c = counts.setdefault(code or "und", Counter())
+                c = counts.setdefault(code, Counter())
                 c.update(set(WORD.findall(t.lower())))
                 c[""] += 1
             rows = [(code, w, n) for code, c in counts.items() for w, n in c.items()]
@@ -52,27 +70,21 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 
         return step
 
-    parts = over_batches(docs.select(F.col(text).alias("_t"), F.col(lang).alias("_l")), "_t", "lang string, word string, n_docs bigint", make)
+    parts = over_batches(docs.select(F.col(text).alias("_t"), _lang(lang).alias("_l")), "_t", "lang string, word string, n_docs bigint", make)
     return parts.groupBy("lang", "word").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> frozenset[str]:
-    """Common words of all languages. At most (mean distinct words of a document) / COMMON_SHARE words a language, and 1 / RARE_LANG languages."""
+def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> Common:
+    """Common words of all languages. At most (mean distinct words of a document) / COMMON_SHARE words for each code of a language."""
     counts = cut(word_counts(docs, text, lang))
-    sizes = {r["lang"]: r["n_docs"] for r in counts.where("word = ''").orderBy(F.desc("n_docs")).limit(int(1 / RARE_LANG)).collect()}
-    total = counts.where("word = ''").agg(F.sum("n_docs")).first()[0] or 0
-    least = {code: n for code, n in sizes.items() if n >= max(LEAST_DOCS, RARE_LANG * total)}
-    if not least:
-        return frozenset()
-    enough = F.lit(False)
-    for code, n in least.items():
-        enough |= (F.col("lang") == code) & (F.col("n_docs") >= COMMON_SHARE * n)
-    return frozenset(r[0] for r in counts.where((F.col("word") != "") & enough).select("word").distinct().collect())
+    sizes = counts.where((F.col("word") == "") & (F.col("n_docs") >= KNOWN)).select("lang", F.col("n_docs").alias("n"))
+    often = counts.where("word != ''").join(F.broadcast(sizes), "lang").where(F.col("n_docs") >= COMMON_SHARE * F.col("n"))  # a row for each code
+    return Common(frozenset(r[0] for r in often.select("word").distinct().collect()), frozenset(r[0] for r in sizes.select("lang").collect()))
 
 
 STATS = (
     "n_words bigint, mean_word_length double, symbol_share double, line_stop_share double, common_share double, digit_share double, "
-    "words_per_stop double, words_per_line double, marker_share double, cell_share double, distinct_share double, prose_share double, single_share double"
+    "words_per_stop double, words_per_line double, marker_share double, cell_share double, distinct_share double, prose_share double, single_share double, common_known boolean"
 )
 
 
@@ -80,7 +92,7 @@ def _ratio(a: float, b: float) -> float:
     return a / b if b else 0.0
 
 
-def statistics_of(text: str, common: frozenset[str]) -> tuple:
+def statistics_of(text: str, common: Common, lang: str = UNKNOWN) -> tuple:
     """The statistics of one text, in the order of STATS."""
     low = text.lower()
     words = WORD.findall(low)
@@ -89,7 +101,7 @@ def statistics_of(text: str, common: frozenset[str]) -> tuple:
     letters = in_words if len(low) == size else sum(map(len, WORD.findall(text)))
     spaces = sum(map(text.count, SPACES))
     lines = [x for x in text.split("\n") if x.strip()]
-    is_common = [w in common for w in words]
+    is_common = [w in common.words for w in words]
     chunks = [(is_common[i : i + CHUNK], words[i : i + CHUNK]) for i in range(0, n, CHUNK)]
     if len(chunks) > 1 and len(chunks[-1][0]) < CHUNK // 2:
         chunks[-1] = (is_common[-CHUNK:], words[-CHUNK:])
@@ -108,29 +120,32 @@ def statistics_of(text: str, common: frozenset[str]) -> tuple:
         _ratio(sum(len(set(w)) / len(w) for _, w in chunks), len(chunks)),
         _ratio(sum(1 for c, _ in chunks if sum(c) >= len(c) / 4), len(chunks)),
         _ratio(sum(1 for w in words if len(w) == 1), n),
+        common.known(lang),
     )
 
 
-def with_statistics(docs: DataFrame, common: frozenset[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, statistics). Null and empty texts, and texts without words, have 0 for what would be divided by nothing."""
+def with_statistics(docs: DataFrame, common: Common, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(key, statistics). ``common_known`` tells whether the language has common words to count. Null and empty texts, and texts without words, have 0 for what would be divided by nothing."""
 
     def make():
         def step(batch: pa.RecordBatch):
-            columns = zip(*[statistics_of(t, common) for t in strings(batch.column(1))], strict=True)
+            columns = zip(*[statistics_of(t, common, code) for t, code in zip(strings(batch.column(1)), batch.column(2).to_pylist(), strict=True)], strict=True)
             return pa.record_batch([batch.column(0), *[pa.array(c) for c in columns]], names=["_k", *[x.split()[0] for x in STATS.split(", ")]])
 
         return step
 
-    out = over_batches(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_t", f"_k {dict(docs.dtypes)[key]}, {STATS}", make)
+    out = over_batches(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), _lang(lang).alias("_l")), "_t", f"_k {dict(docs.dtypes)[key]}, {STATS}", make)
     return out.withColumnRenamed("_k", key)
 
 
 def labelling_functions() -> dict[str, list[tuple[Column, tuple[str, ...]]]]:
     """Name -> answers in order of precedence: a condition, and the types it speaks for. No condition met: it abstains."""
     c = F.col
+    known = lambda name: F.when(c("common_known"), c(name))
+    share, chunks = known("common_share"), known("prose_share")
     return {
-        "common words": [(c("common_share") >= 0.45, ("prose",)), (c("common_share") >= 0.28, ("prose",)), (c("common_share") < 0.05, OTHERS), (c("common_share") < 0.13, OTHERS)],
-        "chunks of prose": [(c("prose_share") >= 0.5, ("prose",)), (c("prose_share") < 0.5, OTHERS)],
+        "common words": [(share >= 0.45, ("prose",)), (share >= 0.28, ("prose",)), (share < 0.05, OTHERS), (share < 0.13, OTHERS)],
+        "chunks of prose": [(chunks >= 0.5, ("prose",)), (chunks < 0.5, OTHERS)],
         "words to a stop": [(c("words_per_stop").between(5, 45), ("prose",)), (c("n_words") > 0, OTHERS)],
         "words to a line": [(c("words_per_line") >= 8, ("prose",)), (c("words_per_line") < 5, ("list", "table"))],
         "lines that end in a stop": [(c("line_stop_share") >= 0.5, ("prose",)), (c("line_stop_share") < 0.1, OTHERS)],
@@ -205,7 +220,7 @@ def _unpacked(codes: np.ndarray) -> np.ndarray:
 
 
 def fit(stats: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The patterns of answers that occur, and what is learnt from how often: at most 5 * 3^7 * 2^5 patterns whatever the number of documents."""
+    """The patterns of answers that occur, and what is learnt from how often: at most 5 * 3^6 * 2^5 patterns whatever the number of documents."""
     rows = stats.groupBy(_pattern().alias("p")).count().collect()
     codes = np.array([r[0] for r in rows], np.int64)
     return codes, *learn(_unpacked(codes), np.array([r[1] for r in rows], float))
@@ -227,5 +242,5 @@ def with_types(stats: DataFrame, model: tuple[np.ndarray, np.ndarray, list[np.nd
 
 def text_types(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Statistics, posteriors and text type of each row of ``docs``; repeated rows each get theirs. Extra columns aren't read."""
-    stats = cut(with_statistics(docs, common_words(docs, text, lang), key, text))
+    stats = cut(with_statistics(docs, common_words(docs, text, lang), key, text, lang))
     return with_types(stats, fit(stats))

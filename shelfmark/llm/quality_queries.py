@@ -23,8 +23,8 @@ def p8_stats(spark, sf_dir):
 QUERIES = {"p8_found": p8_found, "p8_types": p8_types, "p8_stats": p8_stats}
 ORACLE = {
     "p8_stats": r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(nullif(lang, ''), 'und') AS lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
-n AS (SELECT lang, count(*) AS n FROM d GROUP BY lang HAVING count(*) >= greatest(20, 0.005 * (SELECT count(*) FROM d))),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN regexp_matches(lang, '^[a-z]{2,3}$') THEN lang ELSE 'und' END AS lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+n AS (SELECT lang, count(*) AS n FROM d GROUP BY lang HAVING count(*) >= 8),
 c AS (SELECT DISTINCT word FROM (SELECT lang, word, count(*) AS k FROM (SELECT lang, unnest(list_distinct(w)) AS word FROM d) GROUP BY lang, word) JOIN n USING (lang) WHERE k >= 0.25 * n.n),
 s AS (SELECT doc_id, count(*) FILTER (word IN (SELECT word FROM c)) AS k FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY doc_id),
 e AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM d)

@@ -29,7 +29,7 @@ def test_edges(spark):
 
 
 def test_statistics():
-    got = dict(zip([x.split()[0] for x in q.STATS.split(", ")], q.statistics_of("One two three.\n\n- a b: 12", frozenset({"one", "two"})), strict=True))
+    got = dict(zip([x.split()[0] for x in q.STATS.split(", ")], q.statistics_of("One two three.\n\n- a b: 12", q.Common(frozenset({"one", "two"}), frozenset())), strict=True))
     assert got["n_words"] == 6 and got["line_stop_share"] == 0.5 and abs(got["common_share"] - 2 / 6) < 1e-12 and got["marker_share"] == 0.5
     assert abs(got["mean_word_length"] - 15 / 6) < 1e-12 and abs(got["symbol_share"] - 3 / 18) < 1e-12
 
@@ -48,3 +48,16 @@ def test_learns_accuracies():
     prior, given = q.learn(patterns, counts.astype(float))
     assert abs(prior[0] - 0.8) < 0.05
     assert np.mean((q.posterior(votes, prior, given)[:, 0] > 0.5) == true) > 0.97
+
+
+def test_prose_of_a_language_with_few_documents(spark):
+    # whether 500, 20 or 3 documents share its language, prose is prose
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = {r["doc_id"]: r["p_prose"] >= 0.5 for r in q.text_types(df).select("doc_id", "p_prose").collect()}
+    for lang, n in (("es", 19), ("es", 3), ("ru", 5)):
+        few = df.where(f"lang = '{lang}'").orderBy("doc_id").limit(n)
+        part = q.text_types(df.where(f"lang IS DISTINCT FROM '{lang}'").unionByName(few))
+        got = {r["doc_id"]: r["p_prose"] >= 0.5 for r in part.select("doc_id", "p_prose").collect()}
+        ids = [r["doc_id"] for r in few.collect()]
+        flips = [i for i in ids if got[i] != whole[i]]
+        assert not [i for i in flips if whole[i]], (lang, n, flips)
