@@ -41,6 +41,10 @@ PAIRS = (
     ("koi8_r", "cp1251"),
 )
 CLEAN = len(PAIRS)
+#: Pairs of single-byte sets: each of their characters reads as some letter in the other, so a likelier reading alone proves nothing.
+LETTER_FOR_LETTER = frozenset({("cp1252", "cp1251"), ("cp1251", "cp1252"), ("koi8_r", "cp1251")})
+#: Letters that a stretch of such a pair has at least in whole words, and the share of its words that may be otherwise.
+LETTERS, OTHERWISE = 3, 0.2
 
 #: Texts that the model is learnt from: bounded, as any fitted model's sample may be; detection reads all texts.
 SAMPLE = 1_200
@@ -56,6 +60,8 @@ RARER = 0.02
 ODD_FORMS = ((0xA0, 0xA0), (0xAD, 0xAD), (0x300, 0x36F), (0x391, 0x3C9), (0x1100, 0x11FF), (0x2000, 0x200F), (0x202F, 0x202F), (0x2060, 0x2060), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E))
 
 RUN = re.compile(r"[^\x00-\x7f]+")
+WORDLIKE = re.compile(r"(?:[^\W\d_]|[^\x00-\x7f])+")
+_LATIN, _CYRILLIC = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]"), re.compile("[Ѐ-ӿ]")
 LOST = "�"
 
 #: Characters that are taken off a piece's start and end: bytes of a sequence that was cut off.
@@ -121,6 +127,27 @@ def restore(text: str, pair: tuple[str, str]) -> tuple[str, bool]:
     return re.sub(f"{LOST}+", LOST, out), whole
 
 
+def in_words(text: str, start: int, stop: int, pair: tuple[str, str]) -> tuple[int, int] | None:
+    """The part of a stretch whose words look like the work of a pair of LETTER_FOR_LETTER, or None.
+
+    Cyrillic is garbled in whole words, without a letter of ASCII in them, so a stretch loses what reaches into another
+    word at its ends. Latin letters garbled to Cyrillic stand beside those of ASCII and give words of one script again.
+    An accent in a word, or a sign by itself, is neither.
+    """
+    runs = [m for m in WORDLIKE.finditer(text, max(0, start - 64), min(len(text), stop + 64)) if m.start() < stop and m.end() > start and not m.group().isascii()]
+    if pair[0] != "cp1252":
+        whole = [m.start() >= start and m.end() <= stop and not any(c < "\x80" for c in m.group()) for m in runs]
+        if not any(whole):
+            return None
+        first, last = whole.index(True), len(whole) - whole[::-1].index(True)
+        runs, whole = runs[first:last], whole[first:last]
+        fits = sum(len(m.group()) for m, ok in zip(runs, whole, strict=True) if ok and len(m.group()) > 1) >= LETTERS and whole.count(False) <= OTHERWISE * len(runs)
+        return (runs[0].start(), runs[-1].end()) if fits else None
+    mixed = lambda w: _LATIN.search(w) is not None and _CYRILLIC.search(w) is not None
+    again = [text[m.start() : max(m.start(), start)] + restore(text[max(m.start(), start) : min(m.end(), stop)], pair)[0] + text[min(m.end(), stop) : m.end()] for m in runs]
+    return (start, stop) if any(mixed(m.group()) for m in runs) and sum(map(mixed, again)) <= OTHERWISE * len(runs) else None
+
+
 def presumed_clean(text: str) -> bool:
     """Whether a text may teach the clean state: nothing lost, no control characters, no run that another reading makes shorter text of."""
     if LOST in text or re.search("[\x80-\x9f─-▟-豈-﫿一-鿿]", text):
@@ -167,6 +194,7 @@ class Model:
         self.totals = [sum(s[1].values()) for s in self.states]
         self.cache: dict[tuple[str, str], np.ndarray] = {}
         ratio = {c: max(self._one(k, "", c, False) for k in range(CLEAN)) - self._one(CLEAN, "", c, False) for k in range(CLEAN) for c in self.states[k][1]}
+        self.known = frozenset(c for run in plain for c in run) | {chr(i) for i in range(128)}
         self.suspects = frozenset(c for c, r in ratio.items() if r > np.log(SUSPECT) and c)
 
     @staticmethod
@@ -225,7 +253,7 @@ class Model:
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, state) of the stretches that the likeliest path doesn't call clean."""
-        if self.suspects.isdisjoint(text):
+        if self.suspects.isdisjoint(text) and self.known.issuperset(text):
             return []
         at: list[int] = []
         steps: list[np.ndarray] = []
@@ -269,8 +297,8 @@ class Model:
                 out_[-1] = (out_[-1][0], i + 1, s)
             else:
                 out_.append((i, i + 1, s))
-        checked = [(start, stop, self._reading(text[start:stop], state)) for start, stop, state in out_ if state != CLEAN]
-        return [x for x in checked if x[2] is not None]
+        checked = [self._reading(text, start, stop, state) for start, stop, state in out_ if state != CLEAN]
+        return [x for x in checked if x is not None]
 
     def _clean_score(self, text: str) -> float:
         total = 0.0
@@ -281,16 +309,20 @@ class Model:
                 previous = c
         return total
 
-    def _reading(self, span: str, state: int) -> int | None:
-        """The state whose inverse gives likelier clean text, the labelled one first; the labelled one if characters are lost; else None."""
-        now = self._clean_score(span)
+    def _reading(self, text: str, start: int, stop: int, state: int) -> tuple[int, int, int] | None:
+        """A stretch and its state: the labelled one if its inverse gives likelier clean text, else, as states may read alike, the first whose does;
+        the labelled one if characters are lost; else None."""
+        span = text[start:stop]
         for k in (state, *range(CLEAN)):
             if PAIRS[k][1] == "utf-8" and LOST not in span:
                 continue  # what UTF-8 reads without loss was UTF-8
-            fixed, whole = restore(span, PAIRS[k])
-            if whole and self._clean_score(fixed) > now + 5:
-                return k
-        return state if LOST in span else self._piece(span, state)
+            part = in_words(text, start, stop, PAIRS[k]) if PAIRS[k] in LETTER_FOR_LETTER else (start, stop)
+            if part:
+                fixed, whole = restore(text[slice(*part)], PAIRS[k])
+                if whole and self._clean_score(fixed) > self._clean_score(text[slice(*part)]) + 5:
+                    return *part, k
+        k = state if LOST in span else self._piece(span, state)
+        return None if k is None else (start, stop, k)
 
     def _piece(self, span: str, state: int) -> int | None:
         """The state whose inverse gives likelier clean text for a piece of a span that has none as a whole: one cut off inside a sequence, or with bytes that became spaces."""
