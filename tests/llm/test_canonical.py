@@ -11,7 +11,7 @@ ODD = "aééㅎ각ᆨ가​­ 　Ａｂ１ﬁﬂΟοаеСРt\t /_-.²½№
 
 def whole(value):
     """Every character folded and the whole text composed."""
-    out = ud.normalize("NFC", "".join(map(c.fold, value)))
+    out = c._HYPHENS.sub("-", ud.normalize("NFC", c.folded(value)))
     return c.WORD.sub(lambda m: c.one_script(m.group()), out)
 
 
@@ -28,6 +28,7 @@ def test_splicing_equals_normalising_the_whole(value):
         ("résumé", "résumé"), ("Ｓｕmaror ｖ２", "Sumaror v2"), ("Mor​eldal", "Moreldal"), ("a b　c", "a b c"), ("ﬁle", "file"), ("한글", "한글"),
         ("Sоlortov", "Solortov"), ("набрoсoк", "набросок"), ("Übеrblісk", "Überblick"), ("Relophgo의", "Relophgo의"), ("билет Sulosu", "билет Sulosu"),
         ("x² № ½ 〈2024〉·", "x² № ½ 〈2024〉·"), ("", ""), ("e​́", "é"), ("AЕ́", "AÉ"),
+        ("𝐑𝐞𝐩𝐨𝐫𝐭", "Report"), ("re‑port, re‐port, re−port", "re-port, re-port, re-port"), ("5 − 3", "5 − 3"), ("नि‍क", "नि‍क"), ("👨‍👩‍👧", "👨‍👩‍👧"), ("می‌خواهم", "می‌خواهم"), ("a∕b", "a∕b"),
     ],
 )
 def test_forms(value, form):
@@ -45,3 +46,14 @@ def test_rows(spark):
     skipped = c.forms(df, "file_id", ["filename"], {"filename": lambda: lambda v: v == "Ａ"}, True).collect()
     assert {r["key"] for r in skipped} == {None}
     assert c.forms(df.limit(0), "file_id", ["filename"]).count() == 0
+
+
+@pytest.mark.parametrize("value, form", [("Ꭱeport", "Report"), ("օffice", "office"), ("ꓑaper", "Paper"), ("ԁata", "data"), ("ᏒЕport", "REport"), ("Հայաստան", "Հայաստան"), ("ᎠᏂ", "ᎠᏂ")])
+def test_look_alikes_of_other_alphabets(spark, value, form):
+    c.learn_looks(c.looks(spark))
+    assert c.canonical(value) == form and c.is_canonical(form)
+
+
+@pytest.mark.parametrize("value, words", [("сору of report", ["сору"]), ("report РАСА 2", ["РАСА"]), ("сору", []), ("копия сору", []), ("report отчёт сору", []), ("plain", [])])
+def test_words_wholly_in_look_alikes_are_told(value, words):
+    assert c.spoofed(value) == words and c.canonical(value) == value
