@@ -6,20 +6,27 @@ characters it stands for: odd widths, look-alike letters and invisible character
 the plain form. Their spans are mapped back to the source, where placeholders replace them and all else stays as it was.
 
 The lexicon of names is completed from all texts first: a word is a family name if it follows several of the known
-given names and is hardly met elsewhere, and the other way round.
+given names and is hardly met elsewhere, and the other way round. Which words announce a name is learnt as well: those
+that stand before two words with capitals of which, often enough, one is a known name. Names are tables that are joined,
+of any size; Python workers see them as filters of a bounded size, and what a filter lets through is joined with the table.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.arrow import over_batches, strings
+from shelfmark.llm.arrow import Filter, filter_of, over_batches, strings
 from shelfmark.llm.canonical import CYRILLIC_LOOKS, fold
 from shelfmark.session import cut, join_checked
 
@@ -144,6 +151,12 @@ PHONE = re.compile(
         ]
     )
 )
+#: Words for a telephone. Any number of seven digits or more right after one is a phone number.
+CALLED = re.compile(
+    rf"(?i)(?<!\w)(?:tel|telephone|phone|mobile|cell|call|fax|telefon|handy|mobil|téléphone|tél|portable|teléfono|móvil|тел|телефон|моб|전화|휴대폰|연락처)(?:[.:]| no\.?| nr\.?)?:? ?(\+?\(?\d(?:[ .\-/()]{{0,2}}\d){{6,14}}){_FE}"
+)
+#: Digits of a number that is spelled out as words.
+SPELLED_DIGITS = range(7, 16)
 #: Words before a number that make it a number of something else. Fixed values.
 _NOT_PHONE = re.compile(r"(?i)(?:artikel|article|art|version|fassung|versión|версия|버전|build|ref|reference|order|po|invoice|rechnung|facture|factura|счёт|주문번호|part|lot|lote|nr|no)[.:#\- ]{0,3}$")
 
@@ -205,12 +218,13 @@ _FORWARD = re.compile(r" (?:[A-ZÀ-ÞА-ЯЁ]\. )?$")
 _LAST = re.compile(r"([^\W\d_]+)(?: [A-ZÀ-ÞА-ЯЁ]\.)? $")
 #: Titles; words before a given and a family name; family names of two syllables; words around Korean names.
 TITLES = frozenset("mr mrs ms miss dr prof sir madam madame monsieur mme mlle herr frau herrn fräulein don doña señor señora sr sra г господин госпожа тов".split())
-CUE = re.compile(
-    r"(?:Signed by|Contact|Applicant:|Tenant|cc|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Herrn?|Frau|Mieter(?:in)?:|Antragsteller(?:in)?:?|Monsieur|Madame|Mme|M\.|Locataire\s?:|Don|Doña|Señora?|Sra?\.|solicitante|"
-    r"Inquilin[oa]:|заявитель|Звонить|господин|госпожа|арендатор:?) ([A-ZÀ-ÞА-ЯЁ][^\W\d_]+(?:-[A-ZÀ-ÞА-ЯЁ][^\W\d_]+)?)(?: [A-ZÀ-ÞА-ЯЁ]\.)?(,?) (?:[A-ZÀ-ÞА-ЯЁ]\. )?([A-ZÀ-ÞА-ЯЁ][^\W\d_]+(?:-[A-ZÀ-ÞА-ЯЁ][^\W\d_]+)?)"
-)
+_WORD = r"[A-ZÀ-ÞА-ЯЁ][^\W\d_]+(?:-[A-ZÀ-ÞА-ЯЁ][^\W\d_]+)?"
+#: A word, and after it two with capitals, with a comma between them if the family name comes first.
+ANNOUNCED = re.compile(rf"(?<!\w)([^\W\d_]+\s?[.:]?) (?=({_WORD})(?: [A-ZÀ-ÞА-ЯЁ]\.)?(,?) (?:[A-ZÀ-ÞА-ЯЁ]\. )?({_WORD}))")
 KO_COMPOUND = frozenset("남궁 황보 제갈 사공 선우 서문 독고 동방".split())
-KO_BEFORE = re.compile(r"(?:작성자|신청인|담당자|성명|이름|대표자?|수신인?|발신인?|고객|환자)[: ]{1,2}([가-힣]{2,5})(?= 과장| 부장| 대리| 팀장| 님| 씨|[,.( ]|$)|(?<![가-힣])([가-힣]{2,5})(?= (?:님|씨|선생님|과장|부장|대리|팀장)(?:이|은|가|께|에게|의|과|와)?(?![가-힣]))")
+#: A run of syllables that may be a name, with the word before and the one after; the latter without its particle.
+KO_RUN = re.compile(r"(?:(?<![가-힣])([가-힣]+[: ]{1,2}))?(?<![가-힣])([가-힣]{2,5})(?=[ ,.(]|$)(?= ?([가-힣]*))")
+KO_PARTICLE = re.compile("(?:이|은|는|가|을|를|께|에게|의|과|와)$")
 KO_AFTER = re.compile(r"(?:은|는|이|가|을|를|의|와|과|도|만|에게|에게서|께|께서|님|씨|님이|씨가|씨는|님은|으로|로|이다|입니다)?")
 
 
@@ -234,20 +248,67 @@ class Names:
         out.__post_init__()
         return out
 
-    @classmethod
-    def of_table(cls, lexicon: DataFrame) -> "Names":
-        """From a table of (token, name_part); more rows than MOST_NAMES are an error."""
-        rows = lexicon.select("token", "name_part").limit(MOST_NAMES + 1).collect()
-        if len(rows) > MOST_NAMES:
-            raise ValueError("more names than can be held; raise MOST_NAMES")
-        return cls.of(rows)
-
     def __post_init__(self):
         #: First parts of given names of two.
         self.joined = {g.split("-")[0] for g in self.given if "-" in g}
 
-    def size(self) -> int:
-        return sum(map(len, (self.given, self.family, self.ko_given, self.ko_family)))
+    def rows(self) -> list[tuple[str, str]]:
+        return [(kind, w) for kind in PARTS for w in sorted(getattr(self, kind))]
+
+
+#: Kinds of names, and what each stands with.
+PARTS = {"given": "family", "family": "given", "ko_given": "ko_family", "ko_family": "ko_given"}
+#: Bits of a filter for each name in it, and log2 of bits at least and at most (16 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 24, 20, 27
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def _filter(words: DataFrame) -> Filter:
+    """Of a table's one column of words."""
+
+    def hashes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array(np.fromiter(map(_hash, batch.column(0).to_pylist()), np.uint64, batch.num_rows).view(np.int64))], names=["h"])
+
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(BITS_EACH * (words.count() + 1)))))
+    return filter_of(words.mapInArrow(hashes, "h bigint"), bits)
+
+
+def _passing(found: Filter, words: Iterable[str], kind: str = "") -> set[str]:
+    words = list(words)
+    ok = found.has(np.fromiter((_hash(kind + w) for w in words), np.uint64, len(words)))
+    return {w for w, y in zip(words, ok, strict=True) if y}
+
+
+_HYPHENED = re.compile(r"[^\W\d_]+-[^\W\d_]+")
+
+
+@dataclass
+class Lexicon:
+    """Names as a filter of kinds and words."""
+
+    names: Filter
+
+    @classmethod
+    def of(cls, names: DataFrame) -> "Lexicon":
+        return cls(_filter(names.select(F.concat("kind", "word"))))
+
+    def within(self, texts: list[str]) -> Names:
+        """Names that the texts can hold; a filter may let another word pass."""
+        west, korean = set(), set()
+        for t in texts:
+            low = t.lower()
+            west.update(TOKEN.findall(low))
+            if "-" in low:
+                west.update(_HYPHENED.findall(low))
+        for w in west:
+            if "가" <= w[0] <= "힣" or "가" <= w[-1] <= "힣":
+                for run in HANGUL.findall(w):
+                    korean.update(run[a : a + k] for a in (0, 1, 2) for k in (1, 2, 3, 4) if a + k <= len(run))
+        return Names(*(_passing(self.names, korean if kind.startswith("ko_") else west, kind) for kind in ("given", "family", "ko_given", "ko_family")))
 
 
 def _tokens(text: str, names: Names, join: bool = False) -> list[tuple[int, int, str]]:
@@ -274,39 +335,46 @@ def _given_in(run: str, names: Names) -> int:
     return next((k for k in (4, 3, 2, 1) if run[:k] in names.ko_given and len(run) >= k and KO_AFTER.fullmatch(run[k:])), 0)
 
 
-def _korean(text: str, names: Names) -> list[tuple[int, int]]:
+def _korean(text: str, names: Names) -> list[tuple]:
     out = []
     runs = [m.span() for m in HANGUL.finditer(text)]
+    claim = lambda family, given: (("ko_family", family), ("ko_given", given))
     for i, (a, b) in enumerate(runs):
         run = text[a:b]
         for n in (2, 1):
             if run[:n] not in names.ko_family:
                 continue
             if len(run) > n and (k := _given_in(run[n:], names)):
-                out.append((a, a + n + k))
+                out.append((a, a + n + k, claim(run[:n], run[n : n + k])))
                 break
             if len(run) == n and i + 1 < len(runs) and text[b : runs[i + 1][0]] == " " and (k := _given_in(text[slice(*runs[i + 1])], names)):
-                out.append((a, runs[i + 1][0] + k))
+                out.append((a, runs[i + 1][0] + k, claim(run, text[runs[i + 1][0] :][:k])))
                 break
     return out
 
 
-def find_names(text: str, names: Names, words: set[str]) -> list[tuple[int, int]]:
-    """Spans of a given and a family name together, in either order."""
+def find_names(text: str, names: Names, words: set[str]) -> list[tuple]:
+    """Spans of a given and a family name together, in either order, and what they are taken for: two of (kind, word)."""
     out = []
     if not words.isdisjoint(names.given) or names.joined and not words.isdisjoint(names.joined):
         used = -1
         for (a, b, w), (c, d, x) in _near(_tokens(text, names)):
             if a < used:
                 continue
-            if ((w in names.given and x in names.family) or (w in names.family and x in names.given)) and _BETWEEN.fullmatch(text[b:c]) and (text[a].isupper() or text[a:b].islower()):
-                out.append((a, d))
+            forward = w in names.given and x in names.family
+            if (forward or (w in names.family and x in names.given)) and _BETWEEN.fullmatch(text[b:c]) and (text[a].isupper() or text[a:b].islower()):
+                if text[a - 1 : a] == "-" and a > 1 and (m := _JOINED.search(text, max(used, 0), a)):
+                    a = m.start()  # the first of two given names
+                out.append((a, d, (("given", w), ("family", x)) if forward else (("family", w), ("given", x))))
                 used = d
     if names.ko_family and (len(names.ko_given) > 300 or any(g in text for g in names.ko_given)):
         out += _korean(text, names)
     return out
 
 
+_JOINED = re.compile(r"(?<!\w)[A-ZÀ-ÞА-ЯЁ][^\W\d_]+-$")
+
+
 def _near(tokens):
     """Neighbouring tokens, and those with a single letter between them."""
     for i in range(len(tokens) - 1):
@@ -315,8 +383,25 @@ def _near(tokens):
             yield tokens[i], tokens[i + 2]
 
 
-def candidates(text: str, names: Names) -> Counter:
-    """(kind, word, partner): words next to a known name where its other part would be. Names in addresses don't count."""
+def announcements(text: str, names: Names) -> Counter:
+    """(words, whether a name follows): what stands before two words with capitals; and before and after runs of syllables that begin as a family name."""
+    out: Counter = Counter()
+    for m in ANNOUNCED.finditer(text):
+        given, family = (m[4], m[2]) if m[3] else (m[2], m[4])
+        out[m[1].lower(), given.lower() in names.given or family.lower() in names.family] += 1
+    if names.ko_family:
+        for before, run, after in KO_RUN.findall(text):
+            known = [n for n in (2, 1) if run[:n] in names.ko_family and len(run) > n]
+            if known:
+                named = any(run[n:] in names.ko_given for n in known)
+                for words in (before, ">" + KO_PARTICLE.sub("", after) if after else ""):
+                    if words:
+                        out[words, named] += 1
+    return out
+
+
+def candidates(text: str, names: Names, cues: set[str] = frozenset()) -> Counter:
+    """(kind, word, partner): words next to a known name where its other part would be, and those that a cue announces. Names in addresses don't count."""
     out: Counter = Counter()
     words = set(TOKEN.findall(text.lower()))
     west = not (words.isdisjoint(names.given) and words.isdisjoint(names.family) and words.isdisjoint(names.joined))
@@ -334,16 +419,18 @@ def candidates(text: str, names: Names) -> Counter:
             out["family", x, w] += 1
         if x in names.family and w not in names.family and len(w) > 2:
             out["given", w, x] += 1
-    for m in CUE.finditer(text):
-        given, family = (m[3], m[1]) if m[2] else (m[1], m[3])
-        given, family = given.lower(), family.lower()
+    for m in ANNOUNCED.finditer(text) if cues else ():
+        if m[1].lower() not in cues:
+            continue
+        given, family = (m[4].lower(), m[2].lower()) if m[3] else (m[2].lower(), m[4].lower())
         if given not in TITLES and family not in TITLES and len(given) > 2 and len(family) > 2:
             for kind, word, other in (("given", given, family), ("family", family, given)):
                 if word not in getattr(names, kind):
                     out[kind, word, other] += 1
                     out[kind, word, ""] += 1  # the cue is a partner of its own
-    for m in KO_BEFORE.finditer(text):
-        run = m[1] or m[2]
+    for before, run, after in KO_RUN.findall(text) if cues and names.ko_family else ():
+        if before not in cues and (not after or ">" + KO_PARTICLE.sub("", after) not in cues):
+            continue
         for n in (2, 1):
             family, given = run[:n], run[n:]
             if not 1 <= len(given) <= 3 or (n == 2 and family not in names.ko_family):
@@ -357,93 +444,120 @@ def candidates(text: str, names: Names) -> Counter:
 
 
 #: A word becomes a name with so many partners, if at least this share of its uses with a capital stand next to one; or
-#: with one partner, so many uses and the higher share.
+#: with one partner, so many uses and the higher share. Without so many partners that are known names, most uses have a capital.
 PARTNERS, SHARE, USES, HIGH = 2, 0.25, 2, 0.6
-#: Most names that are held; beyond it those with the fewest partners are an error, not left out.
-MOST_NAMES = 500_000
+#: Words announce names if at least so many known ones follow them, in this share of their uses before two words with capitals.
+ANNOUNCES, OFTEN = 5, 0.5
 
 
-def completed(texts: DataFrame, names: Names) -> Names:
-    """``names`` with those learnt from all rows of the one-column table; sums are combined in the tasks, candidates only.
+def _tallied(rows: DataFrame, lexicon: Lexicon, of, kinds: str) -> DataFrame:
+    """Sums of the counters that ``of`` gives for each text and the names it can hold; (kinds, n)."""
+    column = rows.columns[0]
+    names = [x.split()[0] for x in kinds.split(", ")]
 
-    Names learnt help to learn others, so it goes on until a pass adds none; the set only grows, to MOST_NAMES at most.
+    def make():
+        def step(batch: pa.RecordBatch):
+            total: Counter = Counter()
+            texts = Counter(strings(batch.column(0)))
+            known = lexicon.within(list(texts))
+            for t, n in texts.items():
+                for k, v in of(t, known).items():
+                    total[k] += v * n
+            if not total:
+                return None
+            return pa.record_batch([*map(pa.array, zip(*total, strict=True)), pa.array(list(total.values()), pa.int64())], names=[*names, "n"])
+
+        return step
+
+    return over_batches(rows, column, f"{kinds}, n bigint", make).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def completed(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``names`` (kind, word) with those learnt from all rows of the one-column table; sums are combined in the tasks.
+
+    Names learnt help to learn others, so it goes on until a pass adds none; the set only grows. Candidates, their uses
+    and the names are tables; nothing of them comes to the driver.
     """
     column = texts.columns[0]
     rows = texts.where(F.col(column) != "")
+    names = cut(names)
+    lexicon = Lexicon.of(names)
+    said = _tallied(rows, lexicon, announcements, "words string, named boolean").groupBy("words").agg(F.sum(F.when(F.col("named"), F.col("n")).otherwise(0)).alias("named"), F.sum("n").alias("n"))
+    cue_filter = _filter(cut(said.where((F.col("named") >= ANNOUNCES) & (F.col("named") >= OFTEN * F.col("n"))).select("words")))
+    other = F.create_map(*[F.lit(x) for pair in PARTS.items() for x in pair])
+
+    class Cues:
+        """Membership in the filter, asked once for each word in a task."""
+
+        def __init__(self):
+            self.known: dict[str, bool] = {}
+
+        def __contains__(self, words: str) -> bool:
+            if words not in self.known:
+                if len(self.known) > 200_000:
+                    self.known.clear()
+                self.known[words] = bool(words) and bool(_passing(cue_filter, [words]))
+            return self.known[words]
+
+    cues = Cues()
     while True:
-        known = names
-
-        def make(known=known):
-            def step(batch: pa.RecordBatch):
-                total: Counter = Counter()
-                for t, n in Counter(strings(batch.column(0))).items():
-                    for k, v in candidates(t, known).items():
-                        total[k] += v * n
-                if not total:
-                    return None
-                kinds, words, partners = zip(*total, strict=True)
-                return pa.record_batch([pa.array(kinds), pa.array(words), pa.array(partners), pa.array(list(total.values()), pa.int64())], names=["kind", "word", "partner", "n"])
-
-            return step
-
-        found = over_batches(rows, column, "kind string, word string, partner string, n bigint", make)
-        pairs = found.groupBy("kind", "word", "partner").agg(F.sum("n").alias("n"))
-        likely = pairs.groupBy("kind", "word").agg(F.count("*").alias("partners"), F.sum("n").alias("n")).where((F.col("partners") >= PARTNERS) | (~F.col("kind").startswith("ko_") & (F.col("n") >= USES))).limit(MOST_NAMES + 1).collect()
-        if len(likely) + names.size() > MOST_NAMES:
-            raise ValueError("more names than can be held; raise MOST_NAMES")
-        if not likely:
+        pairs = _tallied(rows, lexicon, lambda t, known: candidates(t, known, cues), "kind string, word string, partner string")
+        # partners are names, or found beside a cue; words aren't names yet: both by the table, as filters may err
+        partners = names.select(F.col("kind").alias("_k"), F.col("word").alias("partner"), F.lit(True).alias("_known"))
+        pairs = cut(pairs.withColumn("_k", other[F.col("kind")]).join(partners, ["_k", "partner"], "left").join(names, ["kind", "word"], "left_anti"))
+        cued = pairs.where("partner = ''").select("kind", "word").distinct().withColumn("_cued", F.lit(True))
+        pairs = pairs.join(cued, ["kind", "word"], "left").where("_known OR _cued")
+        likely = pairs.groupBy("kind", "word").agg(F.count("*").alias("partners"), F.count("_known").alias("known"), F.sum("n").alias("n")).where((F.col("partners") >= PARTNERS) | (~F.col("kind").startswith("ko_") & (F.col("n") >= USES)))
+        likely = cut(likely)
+        seen = _uses(rows, likely.where(~F.col("kind").startswith("ko_")).select("word").distinct())
+        share = F.when(F.col("partners") >= PARTNERS, SHARE).otherwise(HIGH)
+        new = cut(likely.join(seen, "word", "left").where(F.col("kind").startswith("ko_") | ((F.col("n") >= share * F.coalesce("uses", F.lit(0))) & ((F.col("known") >= PARTNERS) | (F.coalesce("small", F.lit(0)) <= F.coalesce("uses", F.lit(0)))))).select("kind", "word"))
+        if not new.limit(1).count():
             return names
-        seen = _uses(rows, column, {r["word"] for r in likely if not r["kind"].startswith("ko_")})
-        new = Names(set(names.given), set(names.family), set(names.ko_given), set(names.ko_family))
-        for r in likely:
-            share = SHARE if r["partners"] >= PARTNERS else HIGH
-            if r["kind"].startswith("ko_") or r["n"] >= share * seen.get(r["word"], 0):
-                getattr(new, r["kind"]).add(r["word"])
-        if new.size() == names.size():
-            return names
-        new.__post_init__()
-        names = new
+        names = cut(names.unionByName(new))
+        lexicon = Lexicon.of(names)
 
 
-#: A capitalised word, with a second one joined by a hyphen.
-USED = re.compile(r"[A-ZÀ-ÞА-ЯЁ][^\W\d_]*(?:-[A-ZÀ-ÞА-ЯЁ][^\W\d_]*)?")
+#: A word, with a second one joined by a hyphen if both have a capital.
+USED = re.compile(r"[A-ZÀ-ÞА-ЯЁ][^\W\d_]*(?:-[A-ZÀ-ÞА-ЯЁ][^\W\d_]*)?|[^\W\d_]+")
 
 
-def _uses(rows: DataFrame, column: str, words: set[str]) -> dict[str, int]:
-    """How often each of the words is used with a capital, outside of e-mail addresses."""
+def _uses(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, uses, small): how often each of the words is used with a capital and without, outside of e-mail addresses."""
+    wanted = _filter(words)
 
-    def make():
-        def step(batch: pa.RecordBatch):
-            total: Counter = Counter()
-            for t, n in Counter(strings(batch.column(0))).items():
-                for w in USED.findall(EMAIL.sub("@", t) if "@" in t else t):
-                    if (low := w.lower()) in words:
-                        total[low] += n
-            if not total:
-                return None
-            return pa.record_batch([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+    def count(text: str, known: set[str]) -> Counter:
+        return Counter((low, w[0] != low[0]) for w in USED.findall(EMAIL.sub("@", text) if "@" in text else text) if (low := w.lower()) in known)
 
-        return step
+    class Wanted:
+        @staticmethod
+        def within(texts: list[str]) -> set[str]:
+            found = {w for t in texts for w in USED.findall(t)} | {w for t in texts if "@" in t for w in USED.findall(EMAIL.sub("@", t))}
+            return _passing(wanted, {w.lower() for w in found})
 
-    return {r[0]: r[1] for r in over_batches(rows, column, "word string, n bigint", make).groupBy("word").agg(F.sum("n")).collect()}
+    out = _tallied(rows, Wanted, count, "word string, capital boolean").join(words, "word", "left_semi")
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return out.groupBy("word").agg(of(F.col("capital")).alias("uses"), of(~F.col("capital")).alias("small"))
 
 
 # --- whole -----------------------------------------------------------------------------------------------------
 
 
-def find(text: str, names: Names) -> list[tuple[int, int, str]]:
+def find(text: str, names: Names, p: Plain | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) in the source text, in order, without overlap: earlier kinds of KINDS take precedence."""
-    words = set(TOKEN.findall(text.lower()))
-    p = plain(text, words)
+    return [x[:3] for x in _found(text, names, p or plain(text))]
+
+
+def _found(text: str, names: Names, p: Plain) -> list[tuple]:
+    """(start, end, kind, claims): the latter of names only."""
     t = p.text
-    if p.starts is not None:
-        words = set(TOKEN.findall(t.lower()))
-    spans: list[tuple[int, int, str]] = []
+    words = set(TOKEN.findall(t.lower()))
+    spans: list[tuple] = []
 
     def take(kind: str, found) -> None:
         nonlocal t
-        for a, b in found:
-            spans.append((a, b, kind))
+        for a, b, *claims in found:
+            spans.append((a, b, kind, *claims))
             t = t[:a] + "\x00" * (b - a) + t[b:]
 
     if "@" in t:
@@ -451,17 +565,30 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
     if _NUMERIC.search(t):
         take("id_number", [m.span() for m in ID_NUMBER.finditer(t)])
         take("phone", [m.span() for m in PHONE.finditer(t) if not _NOT_PHONE.search(t[max(0, m.start() - 16) : m.start()])])
+        take("phone", [m.span(1) for m in CALLED.finditer(t)])
+        if p.starts is not None:
+            take("phone", [x for x in _spelled(text, p) if "\x00" not in t[slice(*x)]])
     for least, form in ADDRESSES:
         if any(k in t for k in least):
             take("address", [m.span() for m in form.finditer(t)])
     take("name", find_names(t, names, words))
-    return sorted((*p.source(a, b), k) for a, b, k in spans)
+    return sorted((*p.source(a, b), kind, *rest) for a, b, kind, *rest in spans)
+
 
+def _spelled(text: str, p: Plain) -> list[tuple[int, int]]:
+    """Where numbers of a phone number's length stand in the plain form that are words in the source."""
+    out = []
+    for m in _SPELLED.finditer(text):
+        a, b = bisect_left(p.starts, m.start()), bisect_left(p.starts, m.end())
+        if _ONE.search(m.group()) and p.text[a:b].isdigit() and len(p.text[a:b]) in SPELLED_DIGITS:
+            out.append((a, b))
+    return out
 
-def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
+
+def redacted(text: str, spans: list[tuple]) -> str:
     """The text with each span replaced by the placeholder of its kind."""
     out, at = [], 0
-    for a, b, kind in spans:
+    for a, b, kind, *_ in spans:
         if a < at:
             continue
         out += [text[at:a], f"[{kind.upper()}]"]
@@ -469,40 +596,82 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def personal(df: DataFrame, key: str, fields: list[str], lexicon: Names, learn: bool = True, found_only: bool = False) -> DataFrame:
+def name_table(lexicon: DataFrame) -> DataFrame:
+    """(kind, word) from (token, 'given' or 'family'), with the compound family names of Korean; rows with a null are left out."""
+    spark = lexicon.sparkSession
+    korean = F.when(F.col("token").rlike("^[가-힣]"), F.lit("ko_")).otherwise(F.lit(""))
+    rows = lexicon.where("token != '' AND name_part IN ('given', 'family')").select(F.concat(korean, "name_part").alias("kind"), F.lower("token").alias("word"))
+    return rows.unionByName(spark.createDataFrame([("ko_family", w) for w in sorted(KO_COMPOUND)], "kind string, word string")).distinct()
+
+
+_PIECES = "array<struct<before string, found string, kind string, one string, two string>>"
+
+
+def personal(df: DataFrame, key: str, fields: list[str], lexicon: DataFrame | Names, learn: bool = True, found_only: bool = False) -> DataFrame:
     """(key, field, kinds, redacted) of each row and field; ``kinds`` are those found, sorted, without repeats.
 
-    Texts are looked at once each, however often they're repeated, and joined back to their rows by two 64-bit hashes.
-    ``learn``: whether these texts complete the lexicon first. A null text stays null, and an empty one empty, with no
-    kinds; with ``found_only`` rows without kinds are left out. Repeated rows each come out. Whole texts are read, of
-    any length. Extra columns aren't.
+    ``lexicon``: a table of (token, name_part), or some Names. Texts are looked at once each, however often they're
+    repeated, and joined back to their rows by two 64-bit hashes. ``learn``: whether these texts complete the lexicon
+    first. A null text stays null, and an empty one empty, with no kinds; with ``found_only`` rows without kinds are left
+    out. Repeated rows each come out. Whole texts are read, of any length. Extra columns aren't.
     """
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
     rows = df.select(F.col(key).alias("key"), each.alias("_e")).select("key", "_e.field", F.col("_e.text").alias("text"))
     hashed = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))})
     texts = cut(hashed.where("text != ''").groupBy("field", "h1", "h2").agg(F.first("text").alias("text")))
-    names = completed(texts.select("text"), lexicon) if learn else lexicon
-    shared = df.sparkSession.sparkContext.broadcast(names)  # at most MOST_NAMES
+    spark = df.sparkSession
+    names = spark.createDataFrame(lexicon.rows(), "kind string, word string") if isinstance(lexicon, Names) else name_table(lexicon)
+    names = completed(texts.select("text"), names) if learn else cut(names)
+    shared = spark.sparkContext.broadcast(Lexicon.of(names))  # of at most 16 MB
 
     def make():
         def step(batch: pa.RecordBatch):
+            source = strings(batch.column(3))
+            plains = [plain(t) for t in source]
+            known = shared.value.within([p.text for p in plains])
             got = []
-            for i, t in enumerate(strings(batch.column(3))):
-                if spans := find(t, shared.value):
-                    got.append((i, sorted({k for _, _, k in spans}), redacted(t, spans)))
+            for i, (t, p) in enumerate(zip(source, plains, strict=True)):
+                pieces, at = [], 0
+                for a, b, kind, *claims in _found(t, known, p):
+                    if a >= at:
+                        one, two = ("\x00".join(c) for c in claims[0]) if claims else (None, None)
+                        pieces.append((t[at:a], t[a:b], kind, one, two))
+                        at = b
+                if pieces:
+                    got.append((i, pieces, t[at:]))
             if not got:
                 return None
-            at, kinds, new = zip(*got, strict=True)
+            at, pieces, tails = zip(*got, strict=True)
             at = pa.array(at, pa.int64())
-            return pa.record_batch([*[c.take(at) for c in batch.columns[:3]], pa.array(kinds, pa.list_(pa.string())), pa.array(new, pa.string())], names=["field", "h1", "h2", "kinds", "redacted"])
+            kind = pa.list_(pa.struct([(c, pa.string()) for c in ("before", "found", "kind", "one", "two")]))
+            pieces = pa.array([[dict(zip(("before", "found", "kind", "one", "two"), x, strict=True)) for x in row] for row in pieces], kind)
+            return pa.record_batch([*[c.take(at) for c in batch.columns[:3]], pieces, pa.array(tails, pa.string())], names=["field", "h1", "h2", "pieces", "tail"])
 
         return step
 
-    found = over_batches(texts.select("field", "h1", "h2", "text"), "text", "field string, h1 bigint, h2 bigint, kinds array<string>, redacted string", make)
     on = ["field", "h1", "h2"]
+    found = over_batches(texts.select("field", "h1", "h2", "text"), "text", f"field string, h1 bigint, h2 bigint, pieces {_PIECES}, tail string", make)
+    found = _confirmed(cut(found), names, on)
+    shown = F.transform("pieces", lambda x: F.concat(x["before"], F.when(x["kind"].isNull(), x["found"]).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))))
+    kinds = F.array_sort(F.array_distinct(F.filter(F.transform("pieces", lambda x: x["kind"]), lambda k: k.isNotNull())))
+    found = found.select(*on, kinds.alias("kinds"), F.concat(F.array_join(shown, ""), "tail").alias("redacted")).where(F.size("kinds") > 0)
     if found_only:
         return hashed.where("text != ''").select("key", *on).join(found, on).select("key", "field", "kinds", "redacted")
     none = F.array().cast("array<string>")
     out = join_checked(hashed.where("text != ''"), cut(found), on, "left").select("key", "field", F.coalesce("kinds", none).alias("kinds"), F.coalesce("redacted", "text").alias("redacted"))
     bare = hashed.where("text IS NULL OR text = ''")  # of one hash each, and nothing to find
     return out.unionByName(bare.select("key", "field", none.alias("kinds"), F.col("text").alias("redacted")))
+
+
+def _confirmed(found: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
+    """``found`` without the kind of names of which a word isn't in the table, but only passed a filter."""
+    piece = F.explode(F.filter("pieces", lambda x: x["one"].isNotNull())).alias("p")
+    claims = found.select(*on, piece).select(*on, F.explode(F.array("p.one", "p.two")).alias("claim")).distinct()
+    known = names.select(F.concat("kind", F.lit("\x00"), "word").alias("claim"))
+    wrong = cut(claims.select("claim").distinct().join(known, "claim", "left_anti"))
+    if not wrong.limit(1).count():
+        return found
+    bad = claims.join(wrong, "claim", "left_semi").groupBy(*on).agg(F.collect_set("claim").alias("_bad"))  # of one text
+    is_bad = lambda x: F.coalesce(F.array_contains("_bad", x["one"]) | F.array_contains("_bad", x["two"]), F.lit(False))
+    checked = F.transform("pieces", lambda x: F.struct(x["before"].alias("before"), x["found"].alias("found"), F.when(~is_bad(x), x["kind"]).alias("kind"), x["one"].alias("one"), x["two"].alias("two")))
+    return found.join(bad, on, "left").withColumn("pieces", checked).drop("_bad")

@@ -7,8 +7,7 @@ from shelfmark.session import table
 
 
 def _personal(spark, sf_dir, found_only):
-    lexicon = p.Names.of_table(table(spark, sf_dir, "name_lexicon"))
-    return p.personal(table(spark, sf_dir, "files"), "file_id", ["content_excerpt", "filename"], lexicon, found_only=found_only)
+    return p.personal(table(spark, sf_dir, "files"), "file_id", ["content_excerpt", "filename"], table(spark, sf_dir, "name_lexicon"), found_only=found_only)
 
 
 def p4_found(spark, sf_dir):

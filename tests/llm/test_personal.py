@@ -49,6 +49,12 @@ NAMES = p.Names.of([("Edwin", "given"), ("Götz", "given"), ("Tarrowby", "family
         ("calle cortada por obras; Road works near the Lane project", "calle cortada por obras; Road works near the Lane project"),
         ("edwin.tarrowby@example.net", "[EMAIL]"),
         ("budget_Edwin_Tarrowby.docx", "budget_[NAME].docx"),
+        ("call six one seven five five five zero one zero two now", "call [PHONE] now"),
+        ("Dial sechs eins sieben fünf fünf fünf null eins null zwei bitte", "Dial [PHONE] bitte"),
+        ("phone 6175550102 today", "phone [PHONE] today"),
+        ("tel 555.0102, 전화 0212345678", "tel [PHONE], 전화 [PHONE]"),
+        ("order 6175550102 and one two three", "order 6175550102 and one two three"),
+        ("Jean-Edwin Tarrowby came", "[NAME] came"),
         ("", ""),
     ],
 )
@@ -62,17 +68,49 @@ def test_offsets_map_back():
     assert [text[a:b] for a, b, _ in spans] == ["０７７００ ９００４０３"]
 
 
-def test_learning_by_cues():
-    seen = p.candidates("Звонить Милица Полынин: 8. Applicant: Stavely-Orme, Fergus / Mieter: Falko Niederloh, Birkenweg 7", NAMES)
+def table(spark, names):
+    return spark.createDataFrame(names.rows(), "kind string, word string")
+
+
+def learnt(spark, texts, names=NAMES):
+    return {tuple(r) for r in p.completed(texts, table(spark, names)).collect()} - set(names.rows())
+
+
+def test_candidates_beside_cues():
+    text = "Звонить Милица Полынин: 8. Applicant: Stavely-Orme, Fergus / Mieter: Falko Niederloh, Birkenweg 7"
+    seen = p.candidates(text, NAMES, {"звонить", "applicant:", "mieter:"})
     assert seen["given", "милица", "полынин"] == 1 and seen["family", "полынин", ""] == 1 and seen["given", "fergus", "stavely-orme"] >= 1
     assert ("given", "birkenweg", "niederloh") not in seen
+    assert not any("милица" in k for k in p.candidates(text, NAMES))
+
+
+def test_cues_are_learnt(spark):
+    # 'Vexed' announces names that are known, and so tells those that aren't; 'Blue' stands before anything
+    texts = [(f"Vexed Edwin Tarrowby {i}",) for i in range(8)] + [(f"Blue House Garden {i}; blue Edwin Tarrowby",) for i in range(8)] + [("Vexed Mirabel Quorne",), ("So vexed Mirabel Quorne was",), ("Blue Lemon Tree",), ("Blue Lemon Tree again",)]
+    got = learnt(spark, spark.createDataFrame(texts, "t string"))
+    assert {("given", "mirabel"), ("family", "quorne")} <= got and not any(w in ("lemon", "tree", "house", "garden") for _, w in got)
+
+
+def test_what_only_passes_a_filter_is_no_name(spark, monkeypatch):
+    # a filter of so few bits lets every word pass
+    monkeypatch.setattr(p, "_filter", lambda words: p.Filter(p.LEAST_BITS, {i: p.pa.compress(b"\xff" * (1 << 16), "zstd", asbytes=True) for i in range(2)}))
+    df = spark.createDataFrame([(1, "Edwin Tarrowby met Blue Garden and Kind Regards at 10"), (2, "Kind Regards")], "file_id long, t string")
+    got = {r["key"]: r["redacted"] for r in p.personal(df, "file_id", ["t"], NAMES, learn=False).collect()}
+    assert got == {1: "[NAME] met Blue Garden and Kind Regards at 10", 2: "Kind Regards"}
+
+
+def test_more_names_than_fit_a_worker(spark):
+    # 600,000 names: tables and filters, no set of them
+    many = spark.range(300_000).selectExpr("concat('gx', id) AS token", "'given' AS name_part").unionByName(spark.range(300_000).selectExpr("concat('fx', id) AS token", "'family' AS name_part"))
+    names = many.selectExpr("translate(initcap(token), '0123456789', 'abcdefghij') AS token", "name_part")
+    df = spark.createDataFrame([(1, "Then Gxcde Fxjjj wrote, and Gxcde Other did not.")], "file_id long, t string")
+    assert p.personal(df, "file_id", ["t"], names, learn=False).first()["redacted"] == "Then [NAME] wrote, and Gxcde Other did not."
 
 
 def test_learning_goes_on_to_the_end(spark):
     chain = ["Edwin Aarbon", "Berwin Aarbon", "Berwin Carbon", "Derwin Carbon", "Derwin Earbon", "Ferwin Earbon", "Ferwin Garbon"]
     texts = spark.createDataFrame([(f"{n} came.",) for i, n in enumerate(chain) for _ in range(128 >> i)], "t string")
-    names = p.completed(texts, NAMES)
-    assert names.given - NAMES.given == {"berwin", "derwin", "ferwin"} and names.family - NAMES.family == {"aarbon", "carbon", "earbon", "garbon"}
+    assert learnt(spark, texts) == {("given", w) for w in ("berwin", "derwin", "ferwin")} | {("family", w) for w in ("aarbon", "carbon", "earbon", "garbon")}
 
 
 def test_rows_and_learning(spark):
