@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.arrow import Filter, filter_of, over_batches, strings
 from shelfmark.llm.canonical import CYRILLIC_LOOKS, fold
-from shelfmark.session import cut, join_checked
+from shelfmark.session import cut, is_small, join_checked
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 
@@ -298,12 +298,8 @@ class Lexicon:
 
     def within(self, texts: list[str]) -> Names:
         """Names that the texts can hold; a filter may let another word pass."""
-        west, korean = set(), set()
-        for t in texts:
-            low = t.lower()
-            west.update(TOKEN.findall(low))
-            if "-" in low:
-                west.update(_HYPHENED.findall(low))
+        low, korean = "\n".join(texts).lower(), set()
+        west = {*TOKEN.findall(low), *_HYPHENED.findall(low)}
         for w in west:
             if "가" <= w[0] <= "힣" or "가" <= w[-1] <= "힣":
                 for run in HANGUL.findall(w):
@@ -524,18 +520,21 @@ USED = re.compile(r"[A-ZÀ-ÞА-ЯЁ][^\W\d_]*(?:-[A-ZÀ-ÞА-ЯЁ][^\W\d_]*)?|[
 
 def _uses(rows: DataFrame, words: DataFrame) -> DataFrame:
     """(word, uses, small): how often each of the words is used with a capital and without, outside of e-mail addresses."""
-    wanted = _filter(words)
+    wanted, column = _filter(words), rows.columns[0]
 
-    def count(text: str, known: set[str]) -> Counter:
-        return Counter((low, w[0] != low[0]) for w in USED.findall(EMAIL.sub("@", text) if "@" in text else text) if (low := w.lower()) in known)
+    def make():
+        def step(batch: pa.RecordBatch):
+            total: Counter = Counter()
+            for t in strings(batch.column(0)):
+                total.update(USED.findall(EMAIL.sub("@", t) if "@" in t else t))
+            low = {w: w.lower() for w in total}
+            known = _passing(wanted, set(low.values()))
+            found = [(low[w], w[0] != low[w][0], n) for w, n in total.items() if low[w] in known]
+            return pa.record_batch([*map(pa.array, zip(*found, strict=True))], names=["word", "capital", "n"]) if found else None
 
-    class Wanted:
-        @staticmethod
-        def within(texts: list[str]) -> set[str]:
-            found = {w for t in texts for w in USED.findall(t)} | {w for t in texts if "@" in t for w in USED.findall(EMAIL.sub("@", t))}
-            return _passing(wanted, {w.lower() for w in found})
+        return step
 
-    out = _tallied(rows, Wanted, count, "word string, capital boolean").join(words, "word", "left_semi")
+    out = over_batches(rows, column, "word string, capital boolean, n bigint", make).join(F.broadcast(words) if is_small(words) else words, "word", "left_semi")
     of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     return out.groupBy("word").agg(of(F.col("capital")).alias("uses"), of(~F.col("capital")).alias("small"))
 
