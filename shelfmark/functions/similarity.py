@@ -1,16 +1,17 @@
-"""Column functions on likeness: sets, strings, and the seven axes between a file and a category.
+"""Likeness: sets, strings, and the seven axes between a file and a category.
 
-A file is described by a struct of (parent, stem, schema, ext, name_nouns, body_nouns, day); a category by (nouns,
-name_nouns, body_nouns, schemas, exts, stems, parents, period, duration), each an array or struct.
+A file is described by a struct of (parent, stem, schema, ext, name_nouns, body_nouns, day). What the members of a category
+have in common is a table of (category, kind, value) that is joined, never an array: a category may be a third of all files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark import schema as s
 from shelfmark.functions import dates, text
+from shelfmark.session import cut, join_checked
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -54,18 +55,15 @@ def parent_of(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
-def path_match(parent: Column, parents: Column) -> Column:
-    """1 in the same directory, 0.5 next to it, above or below it, else 0."""
-    grand = parent_of(parent)
-    near = F.exists(parents, lambda p: (parent_of(p) == grand) | (parent_of(p) == parent) | (p == grand))
-    return F.when(F.coalesce(F.array_contains(parents, parent), F.lit(False)), 1.0).when(F.coalesce(near, F.lit(False)), 0.5).otherwise(0.0)
+def signals(entries: DataFrame, name_nouns: Column | None = None, body_nouns: Column | None = None) -> DataFrame:
+    """``entries`` (path, name, ext, excerpt, modified) with the struct of a file as ``sig``.
 
-
-def signals(entries: DataFrame) -> DataFrame:
-    """``entries`` (path, name, ext, excerpt, modified) with the struct of a file as ``sig``. Proper nouns need a morphological
-    analyser, which is left out; the two sets of nouns are always empty, as they are where it can't be loaded."""
+    ``name_nouns`` and ``body_nouns``: columns of arrays, as a morphological analyser gives them; without them the two sets
+    are empty, as they are where no analyser can be loaded.
+    """
     stem = text.strip_ext(F.col("name"))
     none = F.array().cast("array<string>")
+    given = lambda c: none if c is None else F.coalesce(F.array_distinct(c), none)
     return entries.withColumn(
         "sig",
         F.struct(
@@ -73,46 +71,76 @@ def signals(entries: DataFrame) -> DataFrame:
             stem.alias("stem"),
             text.schema_sequence(stem).alias("schema"),
             F.col("ext").alias("ext"),
-            none.alias("name_nouns"),
-            none.alias("body_nouns"),
+            given(name_nouns).alias("name_nouns"),
+            given(body_nouns).alias("body_nouns"),
             F.col("modified").cast("date").alias("day"),
         ),
     )
 
 
-def profiles(members: DataFrame, categories: DataFrame) -> DataFrame:
-    """(category_id, profile): what the members of each category have in common; ``members`` has category_id and sig.
+#: Kinds of what members have: nouns of names and bodies, schemas, extensions, parents, parents of parents, stems.
+NAME, BODY, SCHEMA, EXT, PARENT, ABOVE, STEM = "name", "body", "schema", "ext", "parent", "above", "stem"
+
+
+def features(members: DataFrame) -> DataFrame:
+    """(category_id, kind, value), each once, of ``members`` (category_id, sig); materialised."""
+    sig = F.col("sig")
+    one = lambda kind, c: F.array(F.struct(F.lit(kind).alias("kind"), c.alias("value")))
+    many = lambda kind, c: F.transform(c, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    each = F.concat(
+        many(NAME, sig["name_nouns"]), many(BODY, sig["body_nouns"]), one(SCHEMA, sig["schema"]), one(EXT, sig["ext"]),
+        one(PARENT, sig["parent"]), one(ABOVE, parent_of(sig["parent"])), one(STEM, sig["stem"]),
+    )
+    rows = members.select("category_id", F.explode(each).alias("f")).select("category_id", "f.kind", "f.value").where("value IS NOT NULL AND NOT (kind IN ('ext', 'stem') AND value = '')")
+    return cut(rows.distinct())
 
-    Sets of schemas, extensions and parents are small beside their members. Stems are needed one by one for the longest
-    common start, so only distinct ones are kept.
+
+def _longest_start(pairs: DataFrame, feats: DataFrame) -> DataFrame:
+    """(category_id, stem, start): the longest common start of a stem with a member's, of two characters at least.
+
+    In the order of stems the member with the longest one is the last before or the first after; only stems that share
+    two characters are looked at together.
     """
-    per = members.groupBy("category_id").agg(
-        F.array_distinct(F.flatten(F.collect_set("sig.name_nouns"))).alias("name_nouns"),
-        F.array_distinct(F.flatten(F.collect_set("sig.body_nouns"))).alias("body_nouns"),
-        F.collect_set("sig.schema").alias("schemas"),
-        F.array_remove(F.collect_set("sig.ext"), "").alias("exts"),
-        F.collect_set("sig.stem").alias("stems"),
-        F.collect_set("sig.parent").alias("parents"),
-        F.min(F.nullif(F.length("sig.stem"), F.lit(0))).alias("shortest"),
-        F.count("*").alias("n_members"),
-    )
-    wide = per.join(categories.select(F.col("id").alias("category_id"), dates.label_range(F.col("time_label")).alias("period"), F.coalesce("duration", F.lit("")).alias("duration")), "category_id", "left")
-    return wide.select("category_id", "n_members", F.struct("name_nouns", "body_nouns", "schemas", "exts", "stems", "parents", "period", "duration", "shortest").alias("profile"))
-
-
-def axes(sig: Column, profile: Column, reclassify: bool = True) -> list[Column]:
-    """The seven axes, in order."""
-    near = F.coalesce(F.array_max(F.transform(profile["schemas"], lambda t: edit_similarity(sig["schema"], t))), F.lit(0.0))
-    schema = F.when(F.array_contains(profile["schemas"], sig["schema"]), 1.0).otherwise(near)
-    return [
-        jaccard(sig["name_nouns"], profile["name_nouns"]),
-        schema,
-        dates.decay(sig["day"], profile["period"], profile["duration"]),
-        F.lit(0.0) if reclassify else path_match(sig["parent"], profile["parents"]),
-        jaccard(sig["body_nouns"], profile["body_nouns"]),
-        extension_match(sig["ext"], profile["exts"]),
-        prefix_share(sig["stem"], profile["stems"], profile["shortest"]),
-    ]
+    head = F.left("stem", F.lit(2))
+    asked = pairs.select("category_id", F.col("sig.stem").alias("stem")).where("length(stem) >= 2").distinct().withColumn("own", F.lit(False))
+    members = feats.where(F.col("kind") == STEM).select("category_id", F.col("value").alias("stem")).where("length(stem) >= 2").withColumn("own", F.lit(True))
+    both = asked.unionByName(members).withColumn("head", head)
+    at = Window.partitionBy("category_id", "head").rowsBetween(Window.unboundedPreceding, 0)
+    near = lambda *order: F.last(F.when(F.col("own"), F.col("stem")), ignorenulls=True).over(at.orderBy(*order))
+    rows = both.withColumn("before", near("stem", F.desc("own"))).withColumn("after", near(F.desc("stem"), "own")).where("NOT own")
+    start = lambda c: F.when(F.col(c).isNull(), 0).otherwise(common_prefix(F.col("stem"), F.col(c)))
+    return rows.withColumn("start", F.greatest(start("before"), start("after"))).where("start >= 2").select("category_id", "stem", "start")
+
+
+def axes(pairs: DataFrame, members: DataFrame, categories: DataFrame, reclassify: bool = True) -> DataFrame:
+    """``pairs`` (path, category_id, sig), each once, with the seven axes s1 to s7 between the file and the category's ``members``."""
+    feats = features(members)
+    sig = F.col("sig")
+    probe = lambda axis, kind, c: F.struct(F.lit(axis).alias("axis"), F.lit(kind).alias("kind"), c.alias("value"))
+    nouns = lambda axis, kind, c: F.transform(c, lambda v: probe(axis, kind, v))
+    above = parent_of(sig["parent"])
+    places = [] if reclassify else [probe("same", PARENT, sig["parent"]), probe("near", PARENT, above), probe("near", ABOVE, above), probe("near", ABOVE, sig["parent"])]
+    asked = F.concat(nouns("name", NAME, sig["name_nouns"]), nouns("body", BODY, sig["body_nouns"]), F.array(probe("schema", SCHEMA, sig["schema"]), probe("ext", EXT, sig["ext"]), *places))
+    hits = pairs.select("path", "category_id", F.explode(asked).alias("a")).select("path", "category_id", "a.*").join(feats, ["category_id", "kind", "value"])
+    n = lambda axis: F.count(F.when(F.col("axis") == axis, 1)).alias(f"_{axis}")
+    counts = hits.groupBy("path", "category_id").agg(*map(n, ("name", "body", "schema", "ext", "same", "near")))
+    # schemas that no member has: the most like one, for each schema and category once
+    schemas = pairs.select("category_id", F.col("sig.schema").alias("schema")).distinct()
+    theirs = feats.where(F.col("kind") == SCHEMA).select("category_id", F.col("value").alias("other"))
+    like = schemas.join(theirs, "category_id").groupBy("category_id", "schema").agg(F.max(edit_similarity(F.col("schema"), F.col("other"))).alias("_like"))
+    size = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(f"_n_{kind}")
+    known = feats.groupBy("category_id").agg(size(NAME), size(BODY), F.min(F.when(F.col("kind") == STEM, F.length("value"))).alias("_shortest"))
+    known = known.join(categories.select(F.col("id").alias("category_id"), dates.label_range(F.col("time_label")).alias("_period"), F.coalesce("duration", F.lit("")).alias("_duration")), "category_id", "left")
+    own = pairs.withColumns({"schema": sig["schema"], "stem": sig["stem"]})
+    rows = own.join(counts, ["path", "category_id"], "left").join(like, ["category_id", "schema"], "left").join(_longest_start(pairs, feats), ["category_id", "stem"], "left")
+    rows = join_checked(rows, cut(known), "category_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    overlap = lambda axis, kind: F.coalesce(zero(f"_{axis}") / F.nullif(F.size(sig[f"{axis}_nouns"]) + zero(f"_n_{kind}") - zero(f"_{axis}"), F.lit(0)), F.lit(0.0))
+    place = F.lit(0.0) if reclassify else F.when(zero("_same") > 0, 1.0).when(zero("_near") > 0, 0.5).otherwise(0.0)
+    ext = F.when(zero("_ext") == 0, 0.0).when(sig["ext"].isin(s.GENERIC_EXTENSIONS), 0.5).otherwise(1.0)
+    start = F.when(F.col("start").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("start") / F.greatest(F.least(F.length("stem"), F.col("_shortest")), F.lit(1))))
+    parts = [overlap("name", NAME), F.coalesce("_like", F.lit(0.0)), dates.decay(sig["day"], F.col("_period"), F.col("_duration")), place, overlap("body", BODY), ext, start]
+    return rows.select(*pairs.columns, *[p.alias(f"s{i + 1}") for i, p in enumerate(parts)])
 
 
 def _weighed(parts: list[Column], reclassify: bool, weights: s.Weights) -> Column:
@@ -121,9 +149,9 @@ def _weighed(parts: list[Column], reclassify: bool, weights: s.Weights) -> Colum
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
 
 
-def compatibility(sig: Column, profile: Column, reclassify: bool = True, weights: s.Weights = s.Weights()) -> Column:
-    """Weighed sum of the axes, within 0 and 1."""
-    return _weighed(axes(sig, profile, reclassify), reclassify, weights)
+def compatibility(reclassify: bool = True, weights: s.Weights = s.Weights()) -> Column:
+    """Weighed sum of the axes s1 to s7, within 0 and 1."""
+    return _weighed([F.lit(0.0) if reclassify and i == 4 else F.col(f"s{i}") for i in range(1, 8)], reclassify, weights)
 
 
 def pair_compatibility(a: Column, b: Column, reclassify: bool = True, weights: s.Weights = s.Weights()) -> Column:

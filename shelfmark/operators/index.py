@@ -115,9 +115,10 @@ def purged(files: DataFrame, moved: DataFrame) -> DataFrame:
     return files.join(stale, files["new_path"] == stale["p"], "left_anti")
 
 
-def orphans(files: DataFrame, listing: DataFrame, newest: int = 5_000) -> DataFrame:
-    """Of the newest rows those whose path no longer exists: the sweep's bounded look-back."""
-    return files.orderBy(F.desc("file_id")).limit(newest).join(listing.select(F.col("path").alias("new_path")), "new_path", "left_anti")
+def orphans(files: DataFrame, listing: DataFrame, newest: int | None = 5_000) -> DataFrame:
+    """Of the newest rows those whose path no longer exists: the sweep's bounded look-back; of all rows if ``newest`` is None."""
+    seen = files if newest is None else files.orderBy(F.desc("file_id")).limit(newest)
+    return seen.join(listing.select(F.col("path").alias("new_path")), "new_path", "left_anti")
 
 
 def reindexed(listing: DataFrame, op_id: int) -> DataFrame:

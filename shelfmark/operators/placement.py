@@ -13,7 +13,7 @@ from shelfmark import schema as s
 from shelfmark.functions import dates, text
 from shelfmark.operators.ranks import ranked_within
 from shelfmark.schema import Settings
-from shelfmark.session import join_checked
+from shelfmark.session import cut, join_checked
 
 
 @F.pandas_udf(T.StringType())
@@ -71,17 +71,22 @@ def reused(wanted: DataFrame, existing: list[str], least: float = Settings().fuz
 def numbered(rows: DataFrame, directory: str = "folder", name: str = "name", order: str = "path") -> DataFrame:
     """``rows`` with a free name as ``new_name``: the first of a name keeps it, others get ' (2)', ' (3)' before the extension.
 
-    A number that some file of the directory already has as its own name is skipped: its place in the row of free
-    numbers is found by counting the taken ones up to it. A name that a third of all files share is numbered by ranges.
+    A number that some file of the directory already has as its own name is skipped. Places and taken numbers are ranked
+    together by ranges of the rows, so neither a name that a third of all files share nor a long row of numbers is one task.
     """
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    base = ranked_within(rows, [directory, name], [order], "_k")
-    own = rows.select(directory, F.regexp_extract(name, r"^(.*) \((\d+)\)(\.[^.]*)?$", 1).alias("_s"), F.regexp_extract(name, r"^(.*) \((\d+)\)(\.[^.]*)?$", 2).try_cast("int").alias("_n"), F.regexp_extract(name, r"^(.*) \((\d+)\)(\.[^.]*)?$", 3).alias("_e")).where("_n >= 2")
-    taken = own.groupBy(directory, "_s", "_e").agg(F.array_sort(F.collect_set("_n")).alias("_taken"))  # numbered copies of one name in one directory
-    joined = base.withColumns({"_s": stem, "_e": ext}).join(taken, [directory, "_s", "_e"], "left")
-    # the k-th free number from 2 on: k plus the taken ones passed
-    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_k"), lambda acc, n: F.when(n <= acc, acc + 1).otherwise(acc))
-    new = F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat("_s", F.lit(" ("), free.cast("string"), F.lit(")"), "_e"))
+    base = cut(ranked_within(rows, [directory, name], [order], "_k").withColumns({"_s": stem, "_e": ext}))
+    part = lambda i: F.regexp_extract(name, r"^(.*) \((\d+)\)(\.[^.]*)?$", i)
+    group = [directory, "_s", "_e"]
+    own = rows.select(directory, part(1).alias("_s"), part(3).alias("_e"), part(2).try_cast("int").alias("_n")).where("_n >= 2").distinct()
+    taken = own.join(base.where("_k = 2").select(*group), group, "left_semi")  # only names that two files have need a number
+    taken = cut(ranked_within(taken, group, ["_n"], "_i"))
+    # a number n that is the i-th taken one moves all from n - i + 1 on: in the order of those and of the places k, a place's own place is its free number
+    asked = base.where("_k > 1").join(taken.select(*group).distinct(), group, "left_semi").select(*group, F.col("_k").alias("_at"), F.lit(1).alias("_who"))
+    moved = taken.select(*group, (F.col("_n") - F.col("_i") + 1).alias("_at"), F.lit(0).alias("_who"))
+    placed = ranked_within(asked.unionByName(moved), group, ["_at", "_who"], "_free").where("_who = 1").select(*group, F.col("_at").alias("_k"), (F.col("_free") + 1).alias("_free"))
+    joined = base.join(placed, [*group, "_k"], "left")
+    new = F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat("_s", F.lit(" ("), F.coalesce("_free", "_k").cast("string"), F.lit(")"), "_e"))
     return joined.withColumn("new_name", new).select(*rows.columns, "new_name")
 
 
@@ -110,7 +115,10 @@ def adopted(listing: DataFrame, placed: DataFrame, folder_of: DataFrame) -> Data
 
 def stamps(placed: DataFrame, categories: DataFrame) -> DataFrame:
     """(category_id, stamp): median time of a folder's files in epoch seconds, else the middle of its period."""
-    median = placed.where(F.col("mtime").isNotNull()).groupBy("category_id").agg(F.median("mtime").alias("m"))
+    timed = ranked_within(placed.where(F.col("mtime").isNotNull()).select("category_id", "mtime"), ["category_id"], ["mtime"], "_at")
+    size = timed.groupBy("category_id").agg(F.max("_at").alias("_n"))
+    middle = join_checked(timed, size, "category_id").where("_at IN (floor((_n + 1) / 2), ceil((_n + 1) / 2))")
+    median = middle.groupBy("category_id").agg(F.avg("mtime").alias("m"))
     point = F.unix_timestamp(dates.label_point(F.col("time_label")).cast("timestamp")).cast("double")
     rows = categories.select(F.col("id").alias("category_id"), point.alias("p")).join(median, "category_id", "left")
     return rows.select("category_id", F.coalesce("m", "p").alias("stamp"))

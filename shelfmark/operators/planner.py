@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import schema as s
 from shelfmark.functions import dates, similarity
 from shelfmark.schema import Settings
-from shelfmark.session import is_small, join_checked
+from shelfmark.session import cut, is_small, join_checked
 
 
 def by_rules(entries: DataFrame) -> DataFrame:
@@ -86,14 +86,13 @@ def cleaned_categories(categories: DataFrame) -> DataFrame:
 def coerced(assigned: DataFrame, categories: DataFrame) -> DataFrame:
     """Assignments (path, category_id, score, secondary, reason) with unknown categories as the catch-all, and secondary
     ones dropped where unknown or the same as the first; reasons are cut at 140 characters; the first row of a path counts."""
-    known = categories.select("id")
+    known = categories.select(F.col("id").alias("category_id"), F.lit(True).alias("_k")).distinct()
     one = assigned.groupBy("path").agg(F.min_by(F.struct("category_id", "score", "secondary", "reason"), "pos").alias("a")).select("path", "a.*")
-    ids = known.agg(F.collect_set("id").alias("ids")).first()["ids"]  # a catalogue: as many ids as directories
-    first = join_checked(one, known.select(F.col("id").alias("category_id"), F.lit(True).alias("_k")), "category_id", "left")
-    cid = F.when(F.col("_k"), F.col("category_id")).otherwise(s.CATCH_ALL)
-    all_ids = F.array(*[F.lit(i) for i in ids]).cast("array<string>")
-    second = F.filter(F.coalesce("secondary", F.array().cast(dict(assigned.dtypes)["secondary"])), lambda x: F.array_contains(all_ids, x["category_id"]) & (x["category_id"] != cid))
-    return first.select("path", cid.alias("category_id"), "score", second.alias("secondary"), F.substring(F.coalesce("reason", F.lit("")), 1, 140).alias("reason"))
+    first = join_checked(one, known, "category_id", "left").withColumn("category_id", F.when(F.col("_k"), F.col("category_id")).otherwise(s.CATCH_ALL))
+    each = first.select("path", F.col("category_id").alias("_c"), F.posexplode("secondary").alias("_at", "_s")).withColumn("category_id", F.col("_s.category_id")).where("category_id != _c")
+    kept = join_checked(each, known, "category_id").groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_s"))), lambda x: x["_s"]).alias("_kept"))  # a file's own few
+    none = F.array().cast(dict(assigned.dtypes)["secondary"])
+    return first.join(kept, "path", "left").select("path", "category_id", "score", F.coalesce("_kept", none).alias("secondary"), F.substring(F.coalesce("reason", F.lit("")), 1, 140).alias("reason"))
 
 
 def merged(assigned: DataFrame, merges: DataFrame) -> DataFrame:
@@ -107,45 +106,70 @@ def time_rescued(entries: DataFrame, categories: DataFrame, members: DataFrame |
     """(path, category_id, compat): for each file the category whose period has its day and which fits it best.
 
     Files are joined with the periods' days, not with all categories: each period is unrolled to the months it touches,
-    so the join has an equality and a catalogue of any size. Ties go to the narrower period, then the id.
+    so the join has an equality and a catalogue of any size. What members have is joined by value. Ties go to the
+    narrower period, then the id. ``entries`` may have a ``sig`` with nouns; ``members`` (category_id, sig) may be None.
     ``need_nouns``: decline files without proper nouns, as happens wherever no analyser for them is present.
     """
-    sigs = similarity.signals(entries)
+    sigs = (entries if "sig" in entries.columns else similarity.signals(entries)).select("path", "sig")
+    if need_nouns:
+        sigs = sigs.where((F.size("sig.name_nouns") > 0) | (F.size("sig.body_nouns") > 0))
     period = dates.label_range(F.col("time_label"))
-    cats = categories.where(F.col("id") != s.CATCH_ALL).withColumn("period", period).where("period IS NOT NULL")
-    none = F.array().cast("array<string>")
+    cats = categories.where(F.col("id") != s.CATCH_ALL).select(F.col("id").alias("category_id"), period.alias("period")).where("period IS NOT NULL")
     if members is None:
-        profile = cats.select(F.col("id").alias("category_id"), "period", F.struct(*[none.alias(c) for c in ("name_nouns", "body_nouns", "schemas", "exts", "stems", "parents")], "period", F.coalesce("duration", F.lit("")).alias("duration"), F.lit(None).cast("int").alias("shortest")).alias("profile"))
+        members = sigs.limit(0).select(F.lit("").alias("category_id"), "sig")
     else:
-        profile = cats.select(F.col("id").alias("category_id"), "period").join(similarity.profiles(members, categories), "category_id").select("category_id", "period", "profile")
+        members = members.select("category_id", "sig")
+        cats = cats.join(members.select("category_id").distinct(), "category_id", "left_semi")
     month = lambda d: F.trunc(d, "month")
-    spread = profile.withColumn("_month", F.explode(F.sequence(month(F.col("period.start")), month(F.col("period.end")), F.expr("interval 1 month"))))
+    spread = cats.withColumn("_month", F.explode(F.sequence(month(F.col("period.start")), month(F.col("period.end")), F.expr("interval 1 month"))))
     day = F.col("sig.day")
-    near = join_checked(sigs.withColumn("_month", month(day)), spread, "_month").where(day.between(F.col("period.start"), F.col("period.end")))
-    scored = near.withColumn("compat", similarity.compatibility(F.col("sig"), F.col("profile"), reclassify)).where(F.col("compat") >= settings.rescue_least)
-    if need_nouns:
-        scored = scored.where((F.size("sig.name_nouns") > 0) | (F.size("sig.body_nouns") > 0))
+    near = join_checked(sigs.withColumn("_month", month(day)), cut(spread), "_month").where(day.between(F.col("period.start"), F.col("period.end")))
+    scored = similarity.axes(cut(near.select("path", "category_id", "sig", "period")), members, categories, reclassify)
+    scored = scored.withColumn("compat", similarity.compatibility(reclassify)).where(F.col("compat") >= settings.rescue_least)
     span = F.datediff(F.col("period.end"), F.col("period.start"))
     best = scored.groupBy("path").agg(F.min(F.struct((-F.round("compat", 6)).alias("k"), span.alias("span"), "category_id", "compat")).alias("b"))
     return best.select("path", "b.category_id", "b.compat")
 
 
+def covered(assigned: DataFrame, entries: DataFrame, categories: DataFrame, settings: Settings = Settings(), reclassify: bool = True) -> DataFrame:
+    """Assignments (path, category_id, score, reason) of all entries: those without one, and those in the catch-all, go where
+    their period says; else they are the catch-all's.
+
+    Members of a category are the files that are assigned to it. A file that was in the catch-all keeps a higher score.
+    """
+    entries = entries if "sig" in entries.columns else similarity.signals(entries)
+    sigs = entries.select("path", "sig")
+    assigned = assigned.select("path", "category_id", "score", "reason")
+    members = sigs.join(assigned.where(F.col("category_id") != s.CATCH_ALL).select("path", "category_id"), "path").select("category_id", "sig")
+    all_ = entries.select("path").join(assigned, "path", "left")
+    open_ = all_.where(F.col("category_id").isNull() | (F.col("category_id") == s.CATCH_ALL))
+    found = time_rescued(sigs.join(open_.select("path"), "path", "left_semi"), categories, members, settings, reclassify=reclassify)
+    out = all_.join(found.select("path", F.col("category_id").alias("_to")), "path", "left")
+    lost = F.col("category_id").isNull()
+    return out.select(
+        "path",
+        F.coalesce("_to", "category_id", F.lit(s.CATCH_ALL)).alias("category_id"),
+        F.when(F.col("_to").isNotNull(), F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(s.RESCUE_SCORE))).when(lost, s.LOST_SCORE).otherwise(F.col("score")).alias("score"),
+        F.when(F.col("_to").isNotNull(), s.RESCUE_REASON).when(lost, s.LOST_REASON).otherwise(F.col("reason")).alias("reason"),
+    )
+
+
 def absorbed(assigned: DataFrame, entries: DataFrame, categories: DataFrame, settings: Settings = Settings(), reclassify: bool = True) -> DataFrame:
     """(small_id, large_id, compat): where the files of each category of fewer than min_category_size go.
 
     Each small category has at most that many files, so the pairs are (small categories x their few files x large
-    categories): a catalogue squared, not the corpus. Profiles of the large ones hold distinct values only. The best
-    mean compatibility wins, ties by id; below ``absorb_least`` it is the catch-all.
+    categories): a stated set against the catalogue's ids, without what their members have, which is joined by value.
+    The best mean compatibility wins, ties by id; below ``absorb_least`` it is the catch-all.
     """
     counts = assigned.groupBy("category_id").agg(F.count("*").alias("n"))
     known = counts.join(categories.select(F.col("id").alias("category_id")), "category_id", "left_semi")
     small = counts.where((F.col("n") < settings.min_category_size) & (F.col("category_id") != s.CATCH_ALL)).select("category_id")
-    large = known.where((F.col("n") >= settings.min_category_size) & (F.col("category_id") != s.CATCH_ALL)).select("category_id")
-    sigs = similarity.signals(entries).select("path", "sig").join(assigned.select("path", "category_id"), "path")
-    profile = similarity.profiles(sigs.join(large, "category_id", "left_semi"), categories)
-    few = sigs.join(small, "category_id", "left_semi").select(F.col("category_id").alias("small_id"), "sig")
-    scored = few.crossJoin(F.broadcast(profile) if is_small(profile, 10_000) else profile)  # a stated set against the catalogue
-    means = scored.groupBy("small_id", "category_id").agg(F.avg(similarity.compatibility(F.col("sig"), F.col("profile"), reclassify)).alias("m"))
+    large = cut(known.where((F.col("n") >= settings.min_category_size) & (F.col("category_id") != s.CATCH_ALL)).select("category_id"))
+    sigs = (entries if "sig" in entries.columns else similarity.signals(entries)).select("path", "sig").join(assigned.select("path", "category_id"), "path")
+    few = sigs.join(small, "category_id", "left_semi").select("path", F.col("category_id").alias("small_id"), "sig")
+    pairs = few.crossJoin(F.broadcast(large) if is_small(large) else large)
+    scored = similarity.axes(cut(pairs), sigs.join(large, "category_id", "left_semi").select("category_id", "sig"), categories, reclassify)
+    means = scored.groupBy("small_id", "category_id").agg(F.avg(similarity.compatibility(reclassify)).alias("m"))
     best = means.groupBy("small_id").agg(F.min(F.struct((-F.round("m", 6)).alias("k"), "category_id", "m")).alias("b"))
     out = small.select(F.col("category_id").alias("small_id")).join(best, "small_id", "left")
     fits = F.coalesce(F.col("b.m") >= settings.absorb_least, F.lit(False))
@@ -168,10 +192,12 @@ def suffix_matched(assigned: DataFrame, entries: DataFrame) -> DataFrame:
     last = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
     endings = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, F.length(c))))
     loose = assigned.select(F.col("path").alias("assigned_path")).distinct().join(entries.select(F.col("path").alias("assigned_path")), "assigned_path", "left_anti")
-    named = entries.where("name != ''").select("path", "name")
+    # whichever entry has the name will do, so the first path of each name is enough
+    named = entries.where("name != ''").groupBy("name").agg(F.min("path").alias("path"))
+    ends = entries.groupBy(last("path").alias("end")).agg(F.min("path").alias("path")).where("end != ''")
     within = loose.withColumn("name", endings(last("assigned_path"))).join(named, "name")
-    bare = loose.where(~F.col("assigned_path").contains("/") & (F.col("assigned_path") != ""))
-    around = named.withColumn("assigned_path", endings(F.col("name"))).join(bare, "assigned_path")
-    both = within.select("assigned_path", "path", "name").unionByName(around.select("assigned_path", "path", "name"))
-    ok = both.where(F.col("path").endswith(F.col("assigned_path")) | F.col("assigned_path").endswith(F.col("name")))
-    return ok.groupBy("assigned_path").agg(F.min("path").alias("path"))
+    bare = cut(loose.where(~F.col("assigned_path").contains("/") & (F.col("assigned_path") != "")))
+    sizes = bare.agg(F.collect_set(F.length("assigned_path")).alias("sizes")).first()["sizes"]  # lengths of names
+    around = ends.withColumn("assigned_path", endings(F.col("end"))).where(F.length("assigned_path").isin(sizes or [0]))
+    both = within.select("assigned_path", "path").unionByName(join_checked(around, bare, "assigned_path").select("assigned_path", "path"))
+    return both.groupBy("assigned_path").agg(F.min("path").alias("path"))

@@ -84,8 +84,10 @@ def stale_purge(spark, sf_dir):
 
 
 def orphan_sweep(spark, sf_dir):
+    """All recorded rows whose file is gone: the listing lacks new paths of an odd length."""
     f = _files(spark, sf_dir)
-    return index.orphans(f, f.select(C("original_path").alias("path")).distinct()).select("file_id")
+    listing = f.select(C("new_path").alias("path")).where("length(path) % 2 = 0").distinct()
+    return index.orphans(f, listing, None).select("file_id")
 
 
 def reindex(spark, sf_dir):
@@ -199,7 +201,7 @@ ORACLE = {
     "op_history_top": _hist + " ORDER BY op_id DESC LIMIT 50",
     "latest_op": "SELECT max(op_id) AS op_id FROM operations",
     "stale_purge": "WITH l AS (SELECT max(op_id) AS m FROM files), p AS (SELECT original_path AS p FROM files, l WHERE op_id = m UNION SELECT new_path FROM files, l WHERE op_id = m) SELECT file_id FROM files, l WHERE op_id < m AND (new_path IS NULL OR new_path NOT IN (SELECT p FROM p WHERE p IS NOT NULL))",
-    "orphan_sweep": "SELECT file_id FROM (SELECT * FROM files ORDER BY file_id DESC LIMIT 5000) WHERE new_path IS NULL OR new_path NOT IN (SELECT original_path FROM files)",
+    "orphan_sweep": "SELECT file_id FROM files WHERE new_path IS NULL OR length(new_path) % 2 != 0",
     "reindex": "SELECT 0::BIGINT AS op_id, p AS original_path, p AS new_path, regexp_extract(p, '([^/]*)$', 1) AS filename, regexp_replace(p, '/[^/]*$', '') AS folder, regexp_extract(regexp_replace(p, '/[^/]*$', ''), '([^/]*)$', 1) AS category, '' AS reason, 1.0::DOUBLE AS score, '' AS content_excerpt FROM (SELECT DISTINCT new_path AS p FROM files WHERE new_path IS NOT NULL)",
     "backfill_names": "SELECT file_id, coalesce(c.name, '') AS category_name FROM files f LEFT JOIN categories c ON f.category = c.id",
     "stats_backfill": """WITH j AS (SELECT op_id, unnest(CAST(json_extract(CASE WHEN json_valid(stats_json) THEN stats_json END, '$.categories') AS JSON[])) AS c FROM operations),

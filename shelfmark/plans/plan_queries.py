@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark import schema as s
-from shelfmark.functions import similarity
+from shelfmark.functions import similarity, text
 from shelfmark.operators import cache, dedup, families, placement, planner, seeds
+from shelfmark.operators.ranks import with_rank
 from shelfmark.plans.adapters import D, E, R, documents, entries, in_list, lit, rooted, rr
 from shelfmark.plans.text_queries import sql_decay, sql_distinct, sql_mojibake, sql_nouns, sql_range, sql_sanitize, sql_schema, sql_strip_ext, sql_trim
-from shelfmark.session import table
+from shelfmark.session import cut, table
 
 C = F.col
 
@@ -49,7 +50,9 @@ def cache_hits(spark, sf_dir):
 
 
 def cache_upsert(spark, sf_dir):
-    fresh = _scan(spark, sf_dir).withColumn("excerpt", F.lit("again"))
+    """Half of the cached paths parsed again, and new ones beside each."""
+    seen = _scan(spark, sf_dir).where(F.length("path") % 2 == 0).withColumn("excerpt", F.lit("again"))
+    fresh = seen.unionByName(seen.withColumn("path", F.concat("path", F.lit(".new"))))
     return cache.upserted(table(spark, sf_dir, "parser_cache"), fresh)
 
 
@@ -101,45 +104,65 @@ def _by_ext(spark, sf_dir):
     return e, e.select("path", C("category").alias("category_id"), "score", "reason")
 
 
-def axes(spark, sf_dir):
-    """The seven axes of each file against its own category."""
+def _signals(spark, sf_dir):
+    """Files with nouns by patterns, where an analyser would give its own."""
     e, assigned = _by_ext(spark, sf_dir)
-    members = similarity.signals(e).select("path", "sig").join(assigned, "path")
-    rows = members.join(similarity.profiles(members, table(spark, sf_dir, "categories")), "category_id")
-    parts = similarity.axes(C("sig"), C("profile"), reclassify=False)
-    return rows.select("path", *[F.round(p, 6).alias(f"s{i + 1}") for i, p in enumerate(parts)])
+    sig = similarity.signals(e, text.nouns(text.strip_ext(C("name"))), text.nouns(F.substring("excerpt", 1, 500), 8))
+    return sig.select("path", "sig").join(assigned, "path")
+
+
+def _beside(spark, sf_dir):
+    """Files against the category after their own, of those that have files; and the members."""
+    from pyspark.sql import Window
+
+    members = cut(_signals(spark, sf_dir))
+    used = members.select("category_id").distinct()
+    nxt = used.withColumn("to", F.coalesce(F.lead("category_id").over(Window.orderBy("category_id")), F.min("category_id").over(Window.partitionBy())))  # ids of a catalogue
+    pairs = members.join(F.broadcast(nxt), "category_id").select("path", C("to").alias("category_id"), "sig")
+    return pairs, members.select("category_id", "sig"), table(spark, sf_dir, "categories")
+
+
+def axes(spark, sf_dir):
+    """The seven axes of each file against another category than its own."""
+    out = similarity.axes(*_beside(spark, sf_dir), reclassify=False)
+    return out.select("path", *[F.round(f"s{i}", 6).alias(f"s{i}") for i in range(1, 8)])
 
 
 def compatibility(spark, sf_dir):
-    """Of each file with its own category, the present directory counted and not."""
-    e, assigned = _by_ext(spark, sf_dir)
-    members = similarity.signals(e).select("path", "sig").join(assigned, "path")
-    rows = members.join(similarity.profiles(members, table(spark, sf_dir, "categories")), "category_id")
-    score = lambda again: F.round(similarity.compatibility(C("sig"), C("profile"), again), 6)
-    return rows.select("path", score(False).alias("kept"), score(True).alias("again"))
+    """Of each file with another category, the present directory counted and not."""
+    out = similarity.axes(*_beside(spark, sf_dir), reclassify=False)
+    return out.select("path", F.round(similarity.compatibility(False), 6).alias("kept"), F.round(similarity.compatibility(True), 6).alias("again"))
 
 
 def pair_compat(spark, sf_dir):
     """Of each file with the next one of its directory."""
-    from pyspark.sql import Window
-
-    sig = similarity.signals(entries(spark, sf_dir))
-    w = Window.partitionBy("sig.parent").orderBy("path")  # files of one directory
-    rows = sig.withColumn("next", F.lead("sig").over(w)).where("next IS NOT NULL")
-    return rows.select("path", F.round(similarity.pair_compatibility(C("sig"), C("next"), False), 6).alias("compat"))
+    sig = similarity.signals(entries(spark, sf_dir)).select("path", "sig", C("sig.parent").alias("parent"))
+    rows = cut(with_rank(sig, ["parent", "path"]))
+    after = rows.select((C("rank") - 1).alias("rank"), "parent", C("sig").alias("next"))
+    near = rows.join(after, ["rank", "parent"])
+    return near.select("path", F.round(similarity.pair_compatibility(C("sig"), C("next"), False), 6).alias("compat"))
 
 
 def time_rescue(spark, sf_dir):
     e, assigned = _by_ext(spark, sf_dir)
-    members = similarity.signals(e).select("path", "sig").join(assigned, "path")
-    found = planner.time_rescued(e, table(spark, sf_dir, "categories"), members)
+    sigs = cut(similarity.signals(e).select("path", "sig"))
+    members = sigs.join(assigned.select("path", "category_id"), "path")
+    found = planner.time_rescued(sigs, table(spark, sf_dir, "categories"), members)
     return found.select("path", "category_id", F.round("compat", 6).alias("compat"))
 
 
+def covered_plan(spark, sf_dir):
+    """Every file's assignment when those of a third are lost: by period, else the catch-all."""
+    e, assigned = _by_ext(spark, sf_dir)
+    given = assigned.join(e.select("path", "file_id"), "path").where("file_id % 3 != 0")
+    sigs = cut(similarity.signals(e).select("path", "sig"))
+    return planner.covered(given, sigs, table(spark, sf_dir, "categories"))
+
+
 def small_absorb(spark, sf_dir):
-    """Where the few files of small categories go, categories being families' extensions and years."""
+    """Where the few files of small categories go, categories being years, extensions and first letters."""
     e = entries(spark, sf_dir)
-    assigned = e.select("path", F.concat(F.year("modified").cast("string"), "ext").alias("category_id"), "score", "reason")
+    assigned = e.select("path", F.concat(F.year("modified").cast("string"), "ext", F.left("name", F.lit(1))).alias("category_id"), "score", "reason")
     cats = assigned.select(C("category_id").alias("id"), F.left("category_id", F.lit(4)).alias("time_label"), F.lit("annual").alias("duration")).distinct()
     out = planner.absorbed(assigned, e, cats)
     return out.select("small_id", "large_id", F.round("compat", 6).alias("compat"))
@@ -155,11 +178,14 @@ def consolidated(spark, sf_dir):
 
 
 def coerced_plan(spark, sf_dir):
-    """Assignments against a catalogue of which half the ids are known."""
-    e, assigned = _by_ext(spark, sf_dir)
+    """Assignments against a catalogue of which half the ids are known; paths that are assigned again count as first assigned."""
     cats = table(spark, sf_dir, "categories").where("group_no <= 4").select("id")
-    rows = assigned.withColumns({"pos": F.lit(0), "secondary": F.array(F.struct(F.lit("misc").alias("category_id"), F.lit(0.1).alias("score")))})
-    return planner.coerced(rows, cats).select("path", "category_id", F.size("secondary").alias("n_secondary"))
+    rows = table(spark, sf_dir, "files").where("category IS NOT NULL").select(
+        C("original_path").alias("path"), C("file_id").alias("pos"), C("category").alias("category_id"), "score", "reason",
+        F.array(*[F.struct(c.alias("category_id"), F.lit(x).alias("score")) for c, x in ((F.lit("misc"), 0.1), (F.lit("nowhere"), 0.2), (F.concat("category", F.lit("")), 0.3))]).alias("secondary"),
+    )
+    out = planner.coerced(rows, cats)
+    return out.select("path", "category_id", "score", F.concat_ws(",", F.transform("secondary", lambda x: x["category_id"])).alias("second"), "reason")
 
 
 def suffix_match(spark, sf_dir):
@@ -170,8 +196,10 @@ def suffix_match(spark, sf_dir):
 
 
 def clean_categories(spark, sf_dir):
+    """Also of ids that come again with another name, duration and group."""
     cats = table(spark, sf_dir, "categories").withColumnRenamed("group_no", "group")
-    return planner.cleaned_categories(cats)
+    again = cats.withColumns({"name": F.concat(F.substring("name", 1, 20), F.repeat(F.lit("+"), F.length("id"))), "duration": F.upper("duration"), "group": C("group") + 3})
+    return planner.cleaned_categories(cats.unionByName(again))
 
 
 # --- directories and placement
@@ -186,7 +214,7 @@ def seed_catalogue_tagged(spark, sf_dir):
 
 
 def additive_filter(spark, sf_dir):
-    return seeds.loose_files(rooted(spark, sf_dir)).groupBy("root").agg(F.count("*").alias("n"))
+    return seeds.loose_files(rooted(spark, sf_dir)).select("root", "path")
 
 
 def _catalogue(spark, sf_dir):
@@ -245,7 +273,7 @@ def reuse_folders(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     dup_groups, dup_ledger, canonical_only, dup_inherit_category, cache_hits, cache_upsert, cache_evict, signature_rows, signature_payload, signature_propagate, heuristic_plan, category_histogram, category_top12,
-    axes, compatibility, pair_compat, time_rescue, small_absorb, consolidated, coerced_plan, suffix_match, clean_categories, seed_catalogue, seed_catalogue_tagged, additive_filter, compose_folder, folder_tag, placement_plan,
+    axes, compatibility, pair_compat, time_rescue, covered_plan, small_absorb, consolidated, coerced_plan, suffix_match, clean_categories, seed_catalogue, seed_catalogue_tagged, additive_filter, compose_folder, folder_tag, placement_plan,
     collision_numbering, shortcut_plan, adopt_leftovers, median_stamp, reuse_folders,
 )}
 
@@ -301,12 +329,21 @@ def _weighed(parts, again):
     return "least(1.0, greatest(0.0, " + " + ".join(f"{getattr(w, f's{i + 1}')!r} * {p}" for i, p in enumerate(parts)) + "))"
 
 
-_AX = f"""{_A}, {_SIGS}, cats AS (SELECT id AS category_id, {_sa} AS pa, {_sb} AS pb, coalesce(duration, '') AS duration FROM categories),
-  sch AS (SELECT DISTINCT category_id, sch FROM sg), stm AS (SELECT DISTINCT category_id, stem FROM sg WHERE stem != ''), ext AS (SELECT DISTINCT category_id, ext FROM sg WHERE ext != ''),
-  x2 AS (SELECT path, max({_LEV.format(a='x.sch', b='y.sch')}) AS v FROM sg x JOIN sch y USING (category_id) GROUP BY path),
-  x7 AS (SELECT path, CASE WHEN max(p) < 2 THEN 0.0 ELSE least(1.0, max(p) / greatest(1, least(min(l), min(m)))) END AS v FROM (SELECT x.path, {_LCP.format(a='x.stem', b='y.stem')} AS p, length(y.stem) AS l, length(x.stem) AS m FROM sg x JOIN stm y USING (category_id) WHERE x.stem != '') GROUP BY path),
-  ax AS (SELECT x.path, 0.0 AS s1, x2.v AS s2, {sql_decay('x.day', 'pa', 'pb', 'duration')} AS s3, 1.0 AS s4, 0.0 AS s5, CASE WHEN x.ext = '' THEN 0.0 ELSE {_EXT} END AS s6, coalesce(x7.v, 0.0) AS s7
-    FROM sg x LEFT JOIN cats USING (category_id) JOIN x2 USING (path) LEFT JOIN x7 USING (path))"""
+_grand = _PAR.format("parent")
+_AX = f"""{_A.replace("modified, name, ext FROM e", "modified, name, ext, excerpt FROM e")}, {_SIGS}, cats AS (SELECT id AS category_id, {_sa} AS pa, {_sb} AS pb, coalesce(duration, '') AS duration FROM categories),
+  n0 AS (SELECT path, category_id, {sql_nouns('stem')} AS a, ({sql_nouns('substring(excerpt, 1, 500)')}) AS b FROM sg), n1 AS (SELECT path, category_id, {sql_distinct('a')} AS nn, ({sql_distinct('b')})[1:8] AS bn FROM n0),
+  us AS (SELECT DISTINCT category_id FROM sg), nx AS (SELECT category_id, coalesce(lead(category_id) OVER (ORDER BY category_id), (SELECT min(category_id) FROM us)) AS other FROM us),
+  pr AS (SELECT x.*, n1.nn, n1.bn, nx.other FROM sg x JOIN nx USING (category_id) JOIN n1 USING (path)),
+  kn AS (SELECT category_id, list_distinct(flatten(list(nn))) AS kn, list_distinct(flatten(list(bn))) AS kb FROM n1 GROUP BY 1),
+  sch AS (SELECT DISTINCT category_id AS other, sch FROM sg), stm AS (SELECT DISTINCT category_id AS other, stem FROM sg WHERE stem != ''), exs AS (SELECT DISTINCT category_id AS other, ext FROM sg WHERE ext != ''),
+  pas AS (SELECT category_id AS other, list(DISTINCT parent) AS ps FROM sg GROUP BY 1), mn AS (SELECT other, min(length(stem)) AS l FROM stm GROUP BY 1),
+  x2 AS (SELECT path, max({_LEV.format(a='x.sch', b='y.sch')}) AS v FROM pr x JOIN sch y USING (other) GROUP BY path),
+  x7 AS (SELECT path, max({_LCP.format(a='x.stem', b='y.stem')}) AS v FROM pr x JOIN stm y USING (other) WHERE length(x.stem) >= 2 AND left(x.stem, 2) = left(y.stem, 2) GROUP BY path),
+  ax AS (SELECT x.path, coalesce(len(list_intersect(x.nn, kn.kn)) / nullif(len(list_distinct(list_concat(x.nn, kn.kn))), 0), 0.0) AS s1, x2.v AS s2, {sql_decay('x.day', 'pa', 'pb', 'duration')} AS s3,
+      CASE WHEN list_contains(pas.ps, x.parent) THEN 1.0 WHEN len(list_filter(pas.ps, lambda p: {_PAR.format('p')} = {_PAR.format('x.parent')} OR {_PAR.format('p')} = x.parent OR p = {_PAR.format('x.parent')})) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS s4,
+      coalesce(len(list_intersect(x.bn, kn.kb)) / nullif(len(list_distinct(list_concat(x.bn, kn.kb))), 0), 0.0) AS s5, (CASE WHEN e.ext IS NULL THEN 0.0 ELSE {_EXT} END)::DOUBLE AS s6,
+      (CASE WHEN coalesce(x7.v, 0) < 2 THEN 0.0 ELSE least(1.0, x7.v / greatest(1, least(length(x.stem), mn.l))) END)::DOUBLE AS s7
+    FROM pr x LEFT JOIN cats ON cats.category_id = x.other JOIN kn ON kn.category_id = x.other JOIN pas ON pas.other = x.other LEFT JOIN mn ON mn.other = x.other LEFT JOIN exs e ON e.other = x.other AND e.ext = x.ext JOIN x2 ON x2.path = x.path LEFT JOIN x7 ON x7.path = x.path)"""
 _seven = [f"s{i}" for i in range(1, 8)]
 _TOP = f"{R}, tf AS (SELECT DISTINCT root, regexp_extract(substring(path, length(root) + 2), '^([^/]+)/', 1) AS folder FROM r WHERE starts_with(path, root || '/')), tp AS (SELECT * FROM tf WHERE folder != '' AND NOT starts_with(folder, '.') AND NOT starts_with(folder, '__'))"
 _plain = sql_trim(rr("folder", r"^\s*\d+[\.\-_)\]\s]+"))
@@ -358,9 +395,13 @@ def _near(base, pairs):
     FROM pr x JOIN p2 USING (path, category_id) LEFT JOIN p7 USING (path, category_id) LEFT JOIN mn USING (category_id) LEFT JOIN exs e ON e.category_id = x.category_id AND e.ext = x.ext)"""
 
 
+_COVER = _near(
+    f"{_A.replace('modified, name, ext FROM e', 'modified, name, ext, file_id FROM e')}, {_SIGS.replace('sg AS', 'sga AS')}, sg AS (SELECT * FROM sga WHERE file_id % 3 != 0 AND category_id != 'misc'), cats AS (SELECT id AS category_id, {_sa} AS pa, {_sb} AS pb FROM categories WHERE id != 'misc'), op AS (SELECT * FROM sga WHERE file_id % 3 = 0 OR category_id = 'misc')",
+    "SELECT x.path, x.sch, x.stem, x.ext, 1.0 AS s3, c.category_id, c.pb - c.pa AS span FROM op x JOIN cats c ON x.day BETWEEN c.pa AND c.pb WHERE c.category_id IN (SELECT category_id FROM sg)",
+)
 _RESCUE = _near(f"{_A}, {_SIGS}, cats AS (SELECT id AS category_id, {_sa} AS pa, {_sb} AS pb FROM categories WHERE id != 'misc')", "SELECT x.path, x.sch, x.stem, x.ext, 1.0 AS s3, c.category_id, c.pb - c.pa AS span FROM sg x JOIN cats c ON x.day BETWEEN c.pa AND c.pb WHERE c.category_id IN (SELECT category_id FROM sg)")
 _ABSORB = _near(
-    f"{E}, a AS (SELECT path, year(modified) || ext AS category_id, modified, name, ext FROM e), {_SIGS}, n AS (SELECT category_id, count(*) AS n FROM sg GROUP BY 1)",
+    f"{E}, a AS (SELECT path, year(modified) || ext || left(name, 1) AS category_id, modified, name, ext FROM e), {_SIGS}, n AS (SELECT category_id, count(*) AS n FROM sg GROUP BY 1)",
     "SELECT x.path, x.sch, x.stem, x.ext, x.category_id AS small_id, n.category_id, CASE WHEN year(x.day) = left(n.category_id, 4)::INT THEN 1.0 ELSE exp(-(CASE WHEN year(x.day) > left(n.category_id, 4)::INT THEN x.day - make_date(left(n.category_id, 4)::INT, 12, 31) ELSE make_date(left(n.category_id, 4)::INT, 1, 1) - x.day END) / 365.0) END AS s3 FROM sg x, n WHERE n.n >= 3 AND x.category_id IN (SELECT category_id FROM n WHERE n < 3)",
 )
 
@@ -370,7 +411,7 @@ ORACLE = {
     "canonical_only": f"WITH {_G} SELECT path, size FROM d WHERE path NOT IN (SELECT path FROM groups WHERE place > 1)",
     "dup_inherit_category": f"WITH {_G} SELECT path, regexp_extract(canonical, '^/([^/]*)/', 1) AS category_id, 1.0::DOUBLE AS score, '중복 — 정본: ' || regexp_extract(canonical, '([^/]*)$', 1) AS reason FROM groups WHERE place > 1",
     "cache_hits": f"WITH {_S} SELECT sc.path, abs(sc.mtime - n.mtime) < 0.001 AND sc.size = n.size AS hit, CASE WHEN abs(sc.mtime - n.mtime) < 0.001 AND sc.size = n.size THEN coalesce(n.excerpt, '') END AS excerpt FROM sc JOIN n USING (path)",
-    "cache_upsert": f"WITH {_S} SELECT path, mtime, size, 'again' AS excerpt FROM sc",
+    "cache_upsert": f"WITH {_S}, sn AS (SELECT path, mtime, size FROM sc WHERE length(path) % 2 = 0) SELECT path, mtime, size, excerpt FROM n WHERE length(path) % 2 != 0 UNION ALL SELECT path, mtime, size, 'again' FROM sn UNION ALL SELECT path || '.new', mtime, size, 'again' FROM sn",
     "cache_evict": "SELECT cache_id, path FROM parser_cache WHERE path NOT IN (SELECT original_path FROM files)",
     "signature_rows": f"WITH {_SIG} SELECT * FROM rw",
     "signature_propagate": f"WITH {_SIG} SELECT sg.path, CASE WHEN rw.ext = '' THEN 'misc' ELSE substring(rw.ext, 2, 9) END AS category_id, 0.9::DOUBLE AS score, 'name family' AS reason FROM sg JOIN rw USING (signature)",
@@ -383,16 +424,19 @@ ORACLE = {
       q AS (SELECT x.*, {_LEV.format(a='x.sch', b='x.nsch')} AS p2, coalesce(exp(-abs(x.day - x.nday) / 365.0), 0.0) AS p3, CASE WHEN x.ext != '' AND x.ext = x.next_ext THEN {_EXT} ELSE 0.0 END AS p6, {_LCP.format(a='x.stem', b='x.nstem')} AS l FROM pp x WHERE np IS NOT NULL)
       SELECT path, round({_weighed(['0.0', 'p2', 'p3', '1.0', '0.0', 'p6', "(CASE WHEN stem = '' OR nstem = '' OR l < 2 THEN 0.0 ELSE least(1.0, l / greatest(1, least(length(stem), length(nstem)))) END)"], False)}, 6) AS compat FROM q""",
     "time_rescue": f"WITH {_RESCUE} SELECT path, category_id, round(compat, 6) AS compat FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(compat, 6) DESC, span, category_id) AS k FROM cp WHERE compat >= 0.12) WHERE k = 1",
+    "covered_plan": f"WITH {_COVER}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(compat, 6) DESC, span, category_id) AS k FROM cp WHERE compat >= 0.12) WHERE k = 1) SELECT a.path, coalesce(b.category_id, CASE WHEN a.file_id % 3 = 0 THEN 'misc' ELSE a.category_id END) AS category_id, CASE WHEN b.category_id IS NOT NULL THEN greatest(coalesce(CASE WHEN a.file_id % 3 != 0 THEN a.score END, 0.0), 0.45) WHEN a.file_id % 3 = 0 THEN 0.3 ELSE a.score END AS score, CASE WHEN b.category_id IS NOT NULL THEN {lit(s.RESCUE_REASON)} WHEN a.file_id % 3 = 0 THEN {lit(s.LOST_REASON)} ELSE a.reason END AS reason FROM sga a LEFT JOIN b ON b.path = a.path",
     "small_absorb": f"WITH {_ABSORB}, m AS (SELECT small_id, category_id, avg(compat) AS m FROM cp GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY small_id ORDER BY round(m, 6) DESC, category_id) AS k FROM m) SELECT n.category_id AS small_id, CASE WHEN b.m >= 0.2 THEN b.category_id ELSE 'misc' END AS large_id, round(coalesce(b.m, 0.0), 6) AS compat FROM n LEFT JOIN b ON b.small_id = n.category_id AND k = 1 WHERE n.n < 3",
     "consolidated": f"WITH {_A}, w AS (SELECT id, string_split(name, ' ')[-1] AS w FROM categories), f AS (SELECT w, min(id) AS keep FROM w GROUP BY w) SELECT path, coalesce(keep, category_id) AS category_id FROM a LEFT JOIN (SELECT id, keep FROM w JOIN f USING (w) WHERE id != keep) ON id = category_id",
-    "coerced_plan": f"WITH {_A}, k AS (SELECT id FROM categories WHERE group_no <= 4) SELECT path, CASE WHEN category_id IN (SELECT id FROM k) THEN category_id ELSE 'misc' END AS category_id, CASE WHEN 'misc' IN (SELECT id FROM k) AND category_id IN (SELECT id FROM k) AND category_id != 'misc' THEN 1 ELSE 0 END AS n_secondary FROM a",
+    "coerced_plan": "WITH k AS (SELECT id FROM categories WHERE group_no <= 4), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY original_path ORDER BY file_id) AS r FROM files WHERE category IS NOT NULL) WHERE r = 1), c AS (SELECT *, CASE WHEN category IN (SELECT id FROM k) THEN category ELSE 'misc' END AS cid FROM o) SELECT original_path AS path, cid AS category_id, score, CASE WHEN 'misc' IN (SELECT id FROM k) AND cid != 'misc' THEN 'misc' ELSE '' END AS second, left(coalesce(reason, ''), 140) AS reason FROM c",
     "suffix_match": f"WITH {E}, g AS (SELECT DISTINCT CASE file_id % 3 WHEN 0 THEN '[folder]/' || name WHEN 1 THEN substring(name, 4, 300) ELSE path END AS a FROM e) SELECT a AS assigned_path, min(path) AS path FROM g JOIN e ON (ends_with(path, a) OR ends_with(a, name)) WHERE a != '' AND name != '' AND a NOT IN (SELECT path FROM e) GROUP BY a",
-    "clean_categories": f"""SELECT id, trim(name, ' ') AS name, coalesce(description, '') AS description, coalesce(time_label, '') AS time_label, {_H} AS duration, (CASE WHEN group_no BETWEEN 1 AND 9 THEN group_no ELSE 9 END)::INT AS "group" FROM categories
-      WHERE NOT regexp_matches(name, '[�﻿]') AND NOT {sql_mojibake('name', True)} AND trim(name, ' ') != '' AND NOT (id = 'misc' OR regexp_matches(name, '기타|그 외|분류되지 않은|프로젝트 외'))
+    "clean_categories": f"""WITH c AS (SELECT id, name, description, time_label, duration, group_no FROM categories UNION ALL SELECT id, substring(name, 1, 20) || repeat('+', length(id)), description, time_label, upper(duration), group_no + 3 FROM categories),
+      g AS (SELECT id, trim(name, ' ') AS name, coalesce(description, '') AS description, coalesce(time_label, '') AS time_label, {_H} AS duration, (CASE WHEN group_no BETWEEN 1 AND 9 THEN group_no ELSE 9 END)::INT AS "group" FROM c
+      WHERE NOT regexp_matches(name, '[�﻿]') AND NOT {sql_mojibake('name', True)} AND trim(name, ' ') != '' AND NOT (id = 'misc' OR regexp_matches(name, '기타|그 외|분류되지 않은|프로젝트 외')))
+      SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(name) DESC, name DESC, description DESC, time_label DESC, duration DESC, "group" DESC) AS k FROM g) WHERE k = 1
       UNION ALL SELECT 'misc', '기타', '', '', '', 9""",
     "seed_catalogue": _seeds(False),
     "seed_catalogue_tagged": _seeds(True),
-    "additive_filter": f"WITH {R} SELECT root, count(*) AS n FROM r WHERE NOT regexp_matches(regexp_extract(substring(path, length(root) + 2), '^([^/]+)/', 1), {lit(s.TAG)}) GROUP BY root",
+    "additive_filter": f"WITH {R} SELECT root, path FROM r WHERE NOT regexp_matches(regexp_extract(substring(path, length(root) + 2), '^([^/]+)/', 1), {lit(s.TAG)})",
     "compose_folder": f"WITH {_FO} SELECT * FROM fo",
     "placement_plan": f"WITH {_PLACED} SELECT path, category_id, '/root/' || folder || '/' || new_name AS new_path FROM nw",
     "collision_numbering": f"WITH {E}, c AS (SELECT path, name, ext AS folder FROM e), {_numbered('c', 'folder', 'name')} SELECT path, name, folder, new_name FROM nw",

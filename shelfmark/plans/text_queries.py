@@ -21,7 +21,7 @@ def payload_projection(spark, sf_dir):
 
 
 def ignore_scan(spark, sf_dir):
-    return rooted(spark, sf_dir).where(~text.ignored(C("path"), C("root"))).groupBy("root").agg(F.count("*").alias("n"))
+    return rooted(spark, sf_dir).select("root", "path", text.ignored(C("path"), C("root")).alias("ignored"))
 
 
 def safe_path(spark, sf_dir):
@@ -263,7 +263,7 @@ _ctx = "CASE " + " ".join(f"WHEN contains(lower(trim(model)), {lit(k)}) THEN {ma
 ORACLE = {
     "metadata_projection": f"WITH {E} SELECT path, name, ext, strftime(modified, '%Y-%m-%dT%H:%M:%S') AS modified, substring(excerpt, 1, 1800) AS excerpt FROM e",
     "payload_projection": f"WITH {E} SELECT path, name, ext, substring(excerpt, 1, 600) AS excerpt FROM e",
-    "ignore_scan": f"WITH {R} SELECT root, count(*) AS n FROM r WHERE len(list_filter(string_split(substring(path, length(root) + 1), '/'), lambda x: regexp_matches(x, {lit(_glob)}))) = 0 GROUP BY root",
+    "ignore_scan": f"WITH {R} SELECT root, path, len(list_filter(string_split(substring(path, length(root) + 1), '/'), lambda x: regexp_matches(x, {lit(_glob)}))) > 0 AS ignored FROM r",
     "safe_path": f"WITH {R} SELECT path, {_sql_path(False)} AS shown, {_sql_path(True)} AS masked FROM r",
     "strip_core": f"WITH {E} SELECT path, {sql_strip_ext('name')} AS stem, {sql_core(sql_strip_ext('name'))} AS core FROM e",
     "schema_sequence": f"WITH {E} SELECT {sql_schema(sql_strip_ext('name'))} AS schema, count(*) AS n FROM e GROUP BY 1",

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a side that may be broadcast. With the widest small tables here (about 1 KB a row) that is under 64 MB.
-BROADCAST_ROWS = 50_000
+#: Most rows, and most bytes as an estimate, of a side that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -38,24 +37,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests) is a local one made.
+    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is made only on a single machine, as in tests.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="shelfmark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` cached in memory and on disk, for the few results that are read more than once."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def _bytes(df: DataFrame):
+    """Estimated bytes of a row: texts by their length, arrays and structs as JSON, all else 16."""
+    total = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return total
 
 
-def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``most`` rows; reads no more than ``most + 1`` of them."""
-    return df.limit(most + 1).count() <= most
+def is_small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``most`` rows and bytes; reads no more than ``most + 1`` rows."""
+    n, size = df.limit(most + 1).select(_bytes(df).alias("b")).agg(F.count("*"), F.sum("b")).first()
+    return n <= most and (size or 0) <= most_bytes
 
 
 #: Tables up to this size, in fewer files than there are cores, are spread before costly work on their rows.
@@ -72,5 +81,6 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join; ``right`` is broadcast only if counted to be small, else both sides are shuffled and AQE splits hot keys."""
+    """Join; ``right`` is broadcast only if it is counted and found small, else both sides are shuffled and AQE splits hot keys.
+    It is read twice: what is dear to make should be materialised."""
     return left.join(F.broadcast(right) if is_small(right, most) else right, on, how)
