@@ -104,7 +104,8 @@ def _longest_start(pairs: DataFrame, feats: DataFrame) -> DataFrame:
     head = F.left("stem", F.lit(2))
     asked = pairs.select("category_id", F.col("sig.stem").alias("stem")).where("length(stem) >= 2").distinct().withColumn("own", F.lit(False))
     members = feats.where(F.col("kind") == STEM).select("category_id", F.col("value").alias("stem")).where("length(stem) >= 2").withColumn("own", F.lit(True))
-    both = asked.unionByName(members).withColumn("head", head)
+    both = asked.withColumn("head", head)
+    both = join_checked(both, members.select("category_id", head.alias("head")).distinct(), ["category_id", "head"], "left_semi").unionByName(members.withColumn("head", head))
     at = Window.partitionBy("category_id", "head").rowsBetween(Window.unboundedPreceding, 0)
     near = lambda *order: F.last(F.when(F.col("own"), F.col("stem")), ignorenulls=True).over(at.orderBy(*order))
     rows = both.withColumn("before", near("stem", F.desc("own"))).withColumn("after", near(F.desc("stem"), "own")).where("NOT own")
@@ -112,32 +113,47 @@ def _longest_start(pairs: DataFrame, feats: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.greatest(start("before"), start("after"))).where("start >= 2").select("category_id", "stem", "start")
 
 
+def _places(pairs: DataFrame, parents: DataFrame, above: DataFrame) -> DataFrame:
+    """(category_id, parent, _place): 1 for a directory that a member is in, 0.5 for one next to, above or below such a one."""
+    asked = pairs.select("category_id", F.col("sig.parent").alias("parent")).distinct()
+    grand = parent_of(F.col("parent"))
+    meets = lambda keys, have, place: asked.withColumn("at", keys).join(have, ["category_id", "at"]).select("category_id", "parent", F.lit(place).alias("_place"))
+    found = meets(F.col("parent"), parents, 1.0).unionByName(meets(grand, parents, 0.5)).unionByName(meets(F.explode(F.array(grand, F.col("parent"))), above, 0.5))
+    return found.groupBy("category_id", "parent").agg(F.max("_place").alias("_place"))
+
+
 def axes(pairs: DataFrame, members: DataFrame, categories: DataFrame, reclassify: bool = True) -> DataFrame:
     """``pairs`` (path, category_id, sig), each once, with the seven axes s1 to s7 between the file and the category's ``members``."""
     feats = features(members)
     sig = F.col("sig")
-    probe = lambda axis, kind, c: F.struct(F.lit(axis).alias("axis"), F.lit(kind).alias("kind"), c.alias("value"))
-    nouns = lambda axis, kind, c: F.transform(c, lambda v: probe(axis, kind, v))
-    above = parent_of(sig["parent"])
-    places = [] if reclassify else [probe("same", PARENT, sig["parent"]), probe("near", PARENT, above), probe("near", ABOVE, above), probe("near", ABOVE, sig["parent"])]
-    asked = F.concat(nouns("name", NAME, sig["name_nouns"]), nouns("body", BODY, sig["body_nouns"]), F.array(probe("schema", SCHEMA, sig["schema"]), probe("ext", EXT, sig["ext"]), *places))
-    hits = pairs.select("path", "category_id", F.explode(asked).alias("a")).select("path", "category_id", "a.*").join(feats, ["category_id", "kind", "value"])
-    n = lambda axis: F.count(F.when(F.col("axis") == axis, 1)).alias(f"_{axis}")
-    counts = hits.groupBy("path", "category_id").agg(*map(n, ("name", "body", "schema", "ext", "same", "near")))
-    # schemas that no member has: the most like one, for each schema and category once
+    kinds = lambda kind, name: feats.where(F.col("kind") == kind).select("category_id", F.col("value").alias(name))
+    # nouns in common, for each pair that has some
+    noun = lambda axis, c: F.transform(c, lambda v: F.struct(F.lit(axis).alias("kind"), v.alias("value")))
+    asked = pairs.select("path", "category_id", F.explode(F.concat(noun(NAME, sig["name_nouns"]), noun(BODY, sig["body_nouns"]))).alias("a")).select("path", "category_id", "a.*")
+    n = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(f"_{kind}")
+    nouns = cut(asked.join(feats, ["category_id", "kind", "value"]).groupBy("path", "category_id").agg(n(NAME), n(BODY)))
+    # a schema that a member has, else the most like one, for each schema and category once
     schemas = pairs.select("category_id", F.col("sig.schema").alias("schema")).distinct()
     theirs = feats.where(F.col("kind") == SCHEMA).select("category_id", F.col("value").alias("other"))
-    like = schemas.join(theirs, "category_id").groupBy("category_id", "schema").agg(F.max(edit_similarity(F.col("schema"), F.col("other"))).alias("_like"))
+    own = schemas.join(theirs.withColumnRenamed("other", "schema"), ["category_id", "schema"], "left_semi").withColumn("_like", F.lit(1.0))
+    rest = schemas.join(own.select("category_id", "schema"), ["category_id", "schema"], "left_anti")
+    rest = rest.join(theirs, "category_id").groupBy("category_id", "schema").agg(F.max(edit_similarity(F.col("schema"), F.col("other"))).alias("_like"))
+    like = own.unionByName(rest)
     size = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(f"_n_{kind}")
     known = feats.groupBy("category_id").agg(size(NAME), size(BODY), F.min(F.when(F.col("kind") == STEM, F.length("value"))).alias("_shortest"))
     known = known.join(categories.select(F.col("id").alias("category_id"), dates.label_range(F.col("time_label")).alias("_period"), F.coalesce("duration", F.lit("")).alias("_duration")), "category_id", "left")
-    own = pairs.withColumns({"schema": sig["schema"], "stem": sig["stem"]})
-    rows = own.join(counts, ["path", "category_id"], "left").join(like, ["category_id", "schema"], "left").join(_longest_start(pairs, feats), ["category_id", "stem"], "left")
+    rows = pairs.withColumns({"schema": sig["schema"], "stem": sig["stem"], "ext": sig["ext"], "parent": sig["parent"]})
+    rows = join_checked(rows, nouns, ["path", "category_id"], "left")
+    rows = join_checked(rows, cut(like), ["category_id", "schema"], "left")
+    rows = join_checked(rows, cut(_longest_start(pairs, feats)), ["category_id", "stem"], "left")
+    rows = join_checked(rows, kinds(EXT, "ext").withColumn("_ext", F.lit(True)), ["category_id", "ext"], "left")
     rows = join_checked(rows, cut(known), "category_id", "left")
+    if not reclassify:
+        rows = join_checked(rows, cut(_places(pairs, kinds(PARENT, "at"), kinds(ABOVE, "at"))), ["category_id", "parent"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     overlap = lambda axis, kind: F.coalesce(zero(f"_{axis}") / F.nullif(F.size(sig[f"{axis}_nouns"]) + zero(f"_n_{kind}") - zero(f"_{axis}"), F.lit(0)), F.lit(0.0))
-    place = F.lit(0.0) if reclassify else F.when(zero("_same") > 0, 1.0).when(zero("_near") > 0, 0.5).otherwise(0.0)
-    ext = F.when(zero("_ext") == 0, 0.0).when(sig["ext"].isin(s.GENERIC_EXTENSIONS), 0.5).otherwise(1.0)
+    place = F.lit(0.0) if reclassify else F.coalesce("_place", F.lit(0.0))
+    ext = F.when(F.col("_ext").isNull(), 0.0).when(sig["ext"].isin(s.GENERIC_EXTENSIONS), 0.5).otherwise(1.0)
     start = F.when(F.col("start").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("start") / F.greatest(F.least(F.length("stem"), F.col("_shortest")), F.lit(1))))
     parts = [overlap("name", NAME), F.coalesce("_like", F.lit(0.0)), dates.decay(sig["day"], F.col("_period"), F.col("_duration")), place, overlap("body", BODY), ext, start]
     return rows.select(*pairs.columns, *[p.alias(f"s{i + 1}") for i, p in enumerate(parts)])

@@ -160,9 +160,9 @@ def covered_plan(spark, sf_dir):
 
 
 def small_absorb(spark, sf_dir):
-    """Where the few files of small categories go, categories being years, extensions and first letters."""
+    """Where the few files of small categories go, categories being years, extensions and remainders of names' lengths."""
     e = entries(spark, sf_dir)
-    assigned = e.select("path", F.concat(F.year("modified").cast("string"), "ext", F.left("name", F.lit(1))).alias("category_id"), "score", "reason")
+    assigned = e.select("path", F.concat(F.year("modified").cast("string"), "ext", (F.length("name") % 5).cast("string")).alias("category_id"), "score", "reason")
     cats = assigned.select(C("category_id").alias("id"), F.left("category_id", F.lit(4)).alias("time_label"), F.lit("annual").alias("duration")).distinct()
     out = planner.absorbed(assigned, e, cats)
     return out.select("small_id", "large_id", F.round("compat", 6).alias("compat"))
@@ -401,7 +401,7 @@ _COVER = _near(
 )
 _RESCUE = _near(f"{_A}, {_SIGS}, cats AS (SELECT id AS category_id, {_sa} AS pa, {_sb} AS pb FROM categories WHERE id != 'misc')", "SELECT x.path, x.sch, x.stem, x.ext, 1.0 AS s3, c.category_id, c.pb - c.pa AS span FROM sg x JOIN cats c ON x.day BETWEEN c.pa AND c.pb WHERE c.category_id IN (SELECT category_id FROM sg)")
 _ABSORB = _near(
-    f"{E}, a AS (SELECT path, year(modified) || ext || left(name, 1) AS category_id, modified, name, ext FROM e), {_SIGS}, n AS (SELECT category_id, count(*) AS n FROM sg GROUP BY 1)",
+    f"{E}, a AS (SELECT path, year(modified) || ext || (length(name) % 5) AS category_id, modified, name, ext FROM e), {_SIGS}, n AS (SELECT category_id, count(*) AS n FROM sg GROUP BY 1)",
     "SELECT x.path, x.sch, x.stem, x.ext, x.category_id AS small_id, n.category_id, CASE WHEN year(x.day) = left(n.category_id, 4)::INT THEN 1.0 ELSE exp(-(CASE WHEN year(x.day) > left(n.category_id, 4)::INT THEN x.day - make_date(left(n.category_id, 4)::INT, 12, 31) ELSE make_date(left(n.category_id, 4)::INT, 1, 1) - x.day END) / 365.0) END AS s3 FROM sg x, n WHERE n.n >= 3 AND x.category_id IN (SELECT category_id FROM n WHERE n < 3)",
 )
 
