@@ -41,3 +41,13 @@ def use_microbatch(mode: Column, prompt_chars: Column, context: Column, budget:
     """'on' and 'off' decide; 'auto' compares a third of the characters with what the budget leaves."""
     auto = F.floor(prompt_chars / 3) > F.greatest(F.lit(1024), context - budget)
     return F.when(mode == "on", True).when(mode == "off", False).otherwise(auto)
+
+
+def cost(model: Column, prompt_chars: Column, response_chars: Column) -> Column:
+    """Estimated US dollars of a call: a third of the characters are tokens."""
+    name = F.lower(F.coalesce(model, F.lit("")))
+    free = F.lit(False)
+    for word in s.LOCAL:
+        free = free | name.contains(word)
+    price = lambda i: F.coalesce(*[F.when(name == m, F.lit(p[i])) for m, p in s.PRICES.items()], F.when(free, 0.0), F.lit(s.UNKNOWN_PRICE[i]))
+    return F.floor(prompt_chars / 3) / 1e6 * price(0) + F.floor(response_chars / 3) / 1e6 * price(1)

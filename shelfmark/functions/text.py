@@ -86,6 +86,12 @@ def name_tokens(text: Column) -> Column:
     return F.array_distinct(good)
 
 
+def category_tokens(name: Column, description: Column, keywords: Column | None = None) -> Column:
+    """Distinct substantive tokens of a category's wording."""
+    words = [F.coalesce(c, F.lit("")) for c in (name, description)] + ([] if keywords is None else [F.array_join(keywords, " ")])
+    return name_tokens(F.concat_ws(" ", *words))
+
+
 def substantive(token: Column) -> Column:
     return (F.length(token) >= 3) | token.rlike("[가-힣]")
 
@@ -247,6 +253,16 @@ def matched_field(snippet: Column, new_path: Column, category: Column, reason: C
     return F.when(F.coalesce(snippet, F.lit("")) == "", "").otherwise(hit)
 
 
+def capped(excerpt: Column, reclassify: bool = False, most: int = 1_800) -> Column:
+    """What a model is shown of an excerpt: all of it for files that are moved anyway, else 1,200 characters at most."""
+    return F.left(F.coalesce(excerpt, F.lit("")), F.lit(most if reclassify else min(most, 1_200)))
+
+
+def member_text(name: Column, excerpt: Column) -> Column:
+    """A file as a document for comparing: its name and the start of its excerpt."""
+    return F.concat(F.coalesce(name, F.lit("")), F.lit("\n"), F.left(F.coalesce(excerpt, F.lit("")), F.lit(600)))
+
+
 def html_text(html: Column) -> Column:
     """Text of a page by patterns, without scripts and styles; entities of mark-up characters are resolved. Parsers give the exact form."""
     c = _drop(html, r"(?is)<(script|style)[^>]*>.*?</(?:script|style)>", " ")

@@ -81,17 +81,22 @@ def like(files: DataFrame, query: str, without: DataFrame | None = None, limit:
 
 
 def search(files: DataFrame, post: DataFrame, length: DataFrame, query: str, limit: int = 100) -> DataFrame:
-    """(rank, file_id, snippet, matched_in): ranked hits, then those of substrings up to the limit."""
+    """(rank, file_id, op_id, new_path, category, snippet, matched_in): ranked hits, then those of substrings up to the limit.
+
+    A ranked hit is shown by the first of its columns that has the query or one of its words, and its field is found from
+    that; one of a substring by its excerpt, else it is its name that matched. The order is over at most ``limit`` rows.
+    """
     ranked = bm25(post, length, query, limit).select("file_id", F.lit(0).alias("src"), "score")
     more = like(files, query, ranked, limit).select("file_id", F.lit(1).alias("src"), (-F.col("file_id")).cast("double").alias("score"))
     top = ranked.unionByName(more).orderBy("src", "score", "file_id").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy("src", "score", "file_id")))
     rows = files.join(F.broadcast(top), "file_id") if limit <= 50_000 else files.join(top, "file_id")  # at most ``limit`` rows
     words = text.query_phrases(query)
-    found = F.lit("")
-    for needle in [query.strip(), *[w for ws in words for w in ws]]:
-        around = text.excerpt_around(F.coalesce("content_excerpt", F.lit("")), needle)
-        found = F.when(found == "", around).otherwise(found)
-    return rows.select("rank", "file_id", "op_id", "new_path", "category", found.alias("snippet"), F.when(found != "", "content").otherwise("name").alias("matched_in"))
+    needles = list(dict.fromkeys([query.strip(), *[w for ws in words for w in ws]]))
+    shown = lambda columns: F.coalesce(*[F.nullif(text.excerpt_around(F.coalesce(c, F.lit("")), n), F.lit("")) for n in needles for c in columns], F.lit(""))
+    rows = rows.withColumn("snippet", F.when(F.col("src") == 0, shown(INDEXED)).otherwise(shown(["content_excerpt"])))
+    field = text.matched_field(F.col("snippet"), F.col("new_path"), F.col("category"), F.col("reason"), F.col("content_excerpt"), F.col("original_path"))
+    liked = F.when(F.col("snippet") != "", "content").otherwise("name")
+    return rows.select("rank", "file_id", "op_id", "new_path", "category", "snippet", F.when(F.col("src") == 0, field).otherwise(liked).alias("matched_in"))
 
 
 # --- runs -------------------------------------------------------------------------------------------------------

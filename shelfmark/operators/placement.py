@@ -106,6 +106,12 @@ def shortcuts(placed: DataFrame, assigned: DataFrame, folder_of: DataFrame, sett
     return out.select("path", "category_id", F.concat("folder", F.lit("/"), "new_name").alias("shortcut"))
 
 
+def shortcut_categories(cuts: DataFrame, folder_of: DataFrame) -> DataFrame:
+    """(shortcut_path, category_id): the category in whose folder a shortcut lies; categories with one are in use."""
+    parents = cuts.where(F.col("shortcut_path").isNotNull()).select("shortcut_path", F.regexp_replace("shortcut_path", "/[^/]*$", "").alias("folder"))
+    return join_checked(parents, folder_of.select("folder", "category_id"), "folder").select("shortcut_path", "category_id")
+
+
 def adopted(listing: DataFrame, placed: DataFrame, folder_of: DataFrame) -> DataFrame:
     """Files that already lie in a category's folder and weren't placed: (path, category_id, score, reason)."""
     rows = join_checked(listing, folder_of.select("category_id", "folder"), "folder")

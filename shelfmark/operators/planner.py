@@ -95,6 +95,24 @@ def coerced(assigned: DataFrame, categories: DataFrame) -> DataFrame:
     return first.join(kept, "path", "left").select("path", "category_id", "score", F.coalesce("_kept", none).alias("secondary"), F.substring(F.coalesce("reason", F.lit("")), 1, 140).alias("reason"))
 
 
+def closest(assigned: DataFrame, categories: DataFrame, order: str = "id") -> DataFrame:
+    """Assignments whose unknown categories become the catalogue's first, in ``order``; the catch-all where it is empty."""
+    first = categories.agg(F.min_by("id", order).alias("_first"))
+    known = categories.select(F.col("id").alias("category_id"), F.lit(True).alias("_k")).distinct()
+    out = join_checked(assigned, known, "category_id", "left").crossJoin(F.broadcast(first))  # one row
+    return out.withColumn("category_id", F.when(F.col("_k"), F.col("category_id")).otherwise(F.coalesce("_first", F.lit(s.CATCH_ALL)))).select(assigned.columns)
+
+
+def named(categories: DataFrame, nouns) -> DataFrame:
+    """Categories whose name has a noun, by ``nouns``, a function of a column: those that may be the first of their members."""
+    return categories.where(F.size(nouns(F.col("name"))) > 0)
+
+
+def prompt_rows(categories: DataFrame) -> DataFrame:
+    """(id, name, description): what a model is told of a catalogue when it assigns files."""
+    return categories.select("id", "name", F.coalesce("description", F.lit("")).alias("description"))
+
+
 def merged(assigned: DataFrame, merges: DataFrame) -> DataFrame:
     """Assignments after (drop, keep) merges of categories: one step, not followed further."""
     m = merges.select(F.col("drop").alias("category_id"), F.col("keep").alias("_to"))

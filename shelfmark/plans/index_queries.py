@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfmark import schema as s
 from shelfmark.functions import text
 from shelfmark.operators import dedup, index, report, vectors
 from shelfmark.plans.adapters import D, documents, lit
@@ -14,6 +15,8 @@ C = F.col
 QUERY = "budget archive"
 PHRASE = "reading_list"
 LIKE = "Bericht"
+HYBRID = "syllabus"
+MODELS = ("gemini-2.5-pro", "GPT-4o-mini", "own-llama-70b", "somebody-else", "claude-3-5-haiku")
 
 
 def _files(spark, sf_dir):
@@ -55,7 +58,7 @@ def like_search(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     """Ranked hits and then those of substrings, with snippets."""
     f = _files(spark, sf_dir)
-    return index.search(f, index.postings(f), index.lengths(f), "syllabus")
+    return index.search(f, index.postings(f), index.lengths(f), HYBRID)
 
 
 def matched_field(spark, sf_dir):
@@ -116,6 +119,23 @@ def report_totals(spark, sf_dir):
     return report.totals(_files(spark, sf_dir), table(spark, sf_dir, "shortcuts"))
 
 
+def run_duration(spark, sf_dir):
+    return report.durations(table(spark, sf_dir, "operations"))
+
+
+def skip_list(spark, sf_dir):
+    """The first rows that were not moved, as the report has them."""
+    return report.skipped(_files(spark, sf_dir))
+
+
+def llm_cost(spark, sf_dir):
+    """Costs of calls, events standing for calls of several models."""
+    e = table(spark, sf_dir, "events")
+    names = F.array(*[F.lit(m) for m in MODELS])
+    calls = e.select(F.element_at(names, (F.pmod(C("event_id"), F.lit(len(MODELS))) + 1).cast("int")).alias("model"), F.lit(3000).alias("prompt_chars"), F.length("props").alias("response_chars"), F.abs("value").alias("duration"), (F.pmod(C("event_id"), F.lit(7)) != 0).alias("success"))
+    return report.call_costs(calls).withColumns({c: F.round(c, 6) for c in ("seconds", "dollars", "won")})
+
+
 def report_freed(spark, sf_dir):
     return report.freed(dedup.ledger(dedup.duplicate_groups(documents(spark, sf_dir), 1)))
 
@@ -152,7 +172,7 @@ def tfidf_weights(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     bm25_search, bm25_phrase, bm25_top, bm25_stored, posting_counts, like_search, hybrid_search, matched_field, op_history, op_history_top, latest_op, stale_purge, orphan_sweep, reindex, backfill_names, stats_backfill,
-    report_distribution, report_moves, report_totals, report_freed, dedup_ledger_labels, llm_usage, cosine_pairs, similar_components, cosine_to_first, tfidf_weights,
+    report_distribution, report_moves, report_totals, run_duration, skip_list, llm_cost, report_freed, dedup_ledger_labels, llm_usage, cosine_pairs, similar_components, cosine_to_first, tfidf_weights,
 )}
 
 
@@ -189,7 +209,20 @@ _field = " ".join(f"WHEN {_first(c)} != '' AND contains({_bare}, {_first(c)}) TH
 _COS = "co AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
 _label = "CASE WHEN {0} >= 1048576 THEN printf('%.1f', {0} / 1048576.0) || ' MB' ELSE {0} || ' B' END"
 
+_price = lambda i: "CASE " + " ".join(f"WHEN lower(model) = {lit(m)} THEN {p[i]!r}" for m, p in s.PRICES.items()) + f" WHEN {' OR '.join(f'contains(lower(model), {lit(w)})' for w in s.LOCAL)} THEN 0.0 ELSE {s.UNKNOWN_PRICE[i]!r} END"
+_shown = "coalesce(" + ", ".join(f"nullif({_sql_around("coalesce(" + c + ", '')", HYBRID)}, '')" for c in index.INDEXED) + ", '')"
+_hybrid_like = " OR ".join(f"coalesce({_low.format(c)} LIKE {lit('%' + HYBRID + '%')}, false)" for c in index.INDEXED)
+
 ORACLE = {
+    "run_duration": "SELECT op_id, (epoch_us(finished_at) - epoch_us(started_at)) / 1e6 AS seconds FROM operations",
+    "skip_list": "SELECT file_id, original_path, coalesce(reason, '') AS reason FROM files WHERE new_path IS NULL ORDER BY file_id LIMIT 500",
+    "llm_cost": f"""WITH c AS (SELECT CASE event_id % 5 {' '.join(f'WHEN {i} THEN {lit(m)}' for i, m in enumerate(MODELS))} END AS model, 1000 AS pt, length(props) // 3 AS rt, abs(value) AS duration, event_id % 7 = 0 AS failed FROM events)
+      SELECT model, count(*) AS n_calls, count(*) FILTER (failed) AS n_failed, sum(pt)::BIGINT AS prompt_tokens, sum(rt)::BIGINT AS response_tokens, round(sum(duration), 6) AS seconds, round(sum(pt / 1e6 * ({_price(0)}) + rt / 1e6 * ({_price(1)})), 6) AS dollars, round(sum(pt / 1e6 * ({_price(0)}) + rt / 1e6 * ({_price(1)})) * 1380.0, 6) AS won FROM c GROUP BY model""",
+    "hybrid_search": f"""WITH b AS (SELECT file_id, 0 AS src, score FROM ({_bm25(text.query_phrases(HYBRID)).replace('round(-sum', '(-sum').replace(', 6) AS score', ') AS score')}) ORDER BY score, file_id LIMIT 100),
+      l AS (SELECT file_id, 1 AS src, -file_id::DOUBLE AS score FROM files WHERE ({_hybrid_like}) AND file_id NOT IN (SELECT file_id FROM b) ORDER BY file_id DESC LIMIT 100),
+      t AS (SELECT *, row_number() OVER (ORDER BY src, score, file_id) AS rank FROM (SELECT * FROM b UNION ALL SELECT * FROM l) ORDER BY src, score, file_id LIMIT 100),
+      x AS (SELECT f.*, t.rank, t.src, CASE WHEN src = 0 THEN {_shown} ELSE {_sql_around("coalesce(content_excerpt, '')", HYBRID)} END AS s FROM t JOIN files f USING (file_id))
+      SELECT rank::INT AS rank, file_id, op_id, new_path, category, s AS snippet, CASE WHEN src = 1 THEN CASE WHEN s != '' THEN 'content' ELSE 'name' END WHEN s = '' THEN '' {_field} ELSE 'match' END AS matched_in FROM x""",
     "bm25_search": _bm25(text.query_phrases(QUERY)),
     "bm25_stored": _bm25(text.query_phrases(QUERY)),
     "bm25_phrase": _bm25(text.query_phrases(PHRASE)),
@@ -209,7 +242,7 @@ ORACLE = {
       SELECT file_id, coalesce(nullif(category_name, ''), n, '') AS category_name FROM files LEFT JOIN o USING (op_id, category)""",
     "report_distribution": "SELECT op_id, coalesce(category, '') AS category, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY op_id), 9) AS share FROM files GROUP BY 1, 2",
     "report_moves": "SELECT file_id, original_path, new_path, category, score, reason FROM files WHERE op_id = 1 ORDER BY file_id LIMIT 500",
-    "report_totals": "SELECT op_id, count(*) AS n_files, coalesce(any_value(s.n), 0) AS n_shortcuts, count(DISTINCT category) AS n_categories FROM files LEFT JOIN (SELECT op_id, count(*) AS n FROM shortcuts GROUP BY op_id) s USING (op_id) GROUP BY op_id",
+    "report_totals": "SELECT op_id, count(*) AS n_files, count(*) FILTER (new_path IS NULL) AS n_skipped, coalesce(any_value(s.n), 0) AS n_shortcuts, count(DISTINCT category) AS n_categories FROM files LEFT JOIN (SELECT op_id, count(*) AS n FROM shortcuts GROUP BY op_id) s USING (op_id) GROUP BY op_id",
     "report_freed": f"WITH {D}, g AS (SELECT size, count(*) AS c FROM d WHERE size >= 1 GROUP BY size, sha256(content) HAVING count(*) > 1), t AS (SELECT coalesce(sum(c - 1), 0)::BIGINT AS n, coalesce(sum(size * (c - 1)), 0)::BIGINT AS bytes FROM g) SELECT n, bytes, {_label.format('bytes')} AS label FROM t",
     "dedup_ledger_labels": f"WITH {D} SELECT path, {_label.format('(size * 1000)')} AS label FROM d",
     "llm_usage": "SELECT count(*) AS n_calls, count(*) FILTER (event_id % 7 = 0) AS n_failed, (count(*) * 3000 // 3)::BIGINT AS prompt_tokens, floor(sum(length(props)) / 3)::BIGINT AS response_tokens, round(avg(event_id % 5 / 10.0) FILTER (event_id % 5 > 0), 6) AS mean_ttft, round(sum(length(props)) / 3 / sum(abs(value)), 6) AS tokens_per_second FROM events",

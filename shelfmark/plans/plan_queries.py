@@ -188,6 +188,27 @@ def coerced_plan(spark, sf_dir):
     return out.select("path", "category_id", "score", F.concat_ws(",", F.transform("secondary", lambda x: x["category_id"])).alias("second"), "reason")
 
 
+def closest_category(spark, sf_dir):
+    """Assignments to a catalogue of half the ids; the rest goes to its first."""
+    _, assigned = _by_ext(spark, sf_dir)
+    return planner.closest(assigned, table(spark, sf_dir, "categories").where("group_no <= 4")).select("path", "category_id")
+
+
+def named_categories(spark, sf_dir):
+    return planner.named(table(spark, sf_dir, "categories"), text.nouns).select("id")
+
+
+def category_projection(spark, sf_dir):
+    return planner.prompt_rows(table(spark, sf_dir, "categories"))
+
+
+def shortcut_categories(spark, sf_dir):
+    """Categories in use by their shortcuts."""
+    f = table(spark, sf_dir, "files").where("folder IS NOT NULL AND category IS NOT NULL")
+    own = f.groupBy("folder").agg(F.min("category").alias("category_id"))
+    return placement.shortcut_categories(table(spark, sf_dir, "shortcuts"), own)
+
+
 def suffix_match(spark, sf_dir):
     """Masked paths and bare ends of names, as models give them back, against the files."""
     e = entries(spark, sf_dir)
@@ -273,7 +294,7 @@ def reuse_folders(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     dup_groups, dup_ledger, canonical_only, dup_inherit_category, cache_hits, cache_upsert, cache_evict, signature_rows, signature_payload, signature_propagate, heuristic_plan, category_histogram, category_top12,
-    axes, compatibility, pair_compat, time_rescue, covered_plan, small_absorb, consolidated, coerced_plan, suffix_match, clean_categories, seed_catalogue, seed_catalogue_tagged, additive_filter, compose_folder, folder_tag, placement_plan,
+    axes, compatibility, pair_compat, time_rescue, covered_plan, small_absorb, consolidated, coerced_plan, closest_category, named_categories, category_projection, shortcut_categories, suffix_match, clean_categories, seed_catalogue, seed_catalogue_tagged, additive_filter, compose_folder, folder_tag, placement_plan,
     collision_numbering, shortcut_plan, adopt_leftovers, median_stamp, reuse_folders,
 )}
 
@@ -428,6 +449,11 @@ ORACLE = {
     "small_absorb": f"WITH {_ABSORB}, m AS (SELECT small_id, category_id, avg(compat) AS m FROM cp GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY small_id ORDER BY round(m, 6) DESC, category_id) AS k FROM m) SELECT n.category_id AS small_id, CASE WHEN b.m >= 0.2 THEN b.category_id ELSE 'misc' END AS large_id, round(coalesce(b.m, 0.0), 6) AS compat FROM n LEFT JOIN b ON b.small_id = n.category_id AND k = 1 WHERE n.n < 3",
     "consolidated": f"WITH {_A}, w AS (SELECT id, string_split(name, ' ')[-1] AS w FROM categories), f AS (SELECT w, min(id) AS keep FROM w GROUP BY w) SELECT path, coalesce(keep, category_id) AS category_id FROM a LEFT JOIN (SELECT id, keep FROM w JOIN f USING (w) WHERE id != keep) ON id = category_id",
     "coerced_plan": "WITH k AS (SELECT id FROM categories WHERE group_no <= 4), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY original_path ORDER BY file_id) AS r FROM files WHERE category IS NOT NULL) WHERE r = 1), c AS (SELECT *, CASE WHEN category IN (SELECT id FROM k) THEN category ELSE 'misc' END AS cid FROM o) SELECT original_path AS path, cid AS category_id, score, CASE WHEN 'misc' IN (SELECT id FROM k) AND cid != 'misc' THEN 'misc' ELSE '' END AS second, left(coalesce(reason, ''), 140) AS reason FROM c",
+    "closest_category": f"WITH {_A}, k AS (SELECT id FROM categories WHERE group_no <= 4) SELECT path, CASE WHEN category_id IN (SELECT id FROM k) THEN category_id ELSE (SELECT min(id) FROM k) END AS category_id FROM a",
+    "named_categories": f"SELECT id FROM categories WHERE len({sql_nouns('name')}) > 0",
+    "category_projection": "SELECT id, name, coalesce(description, '') AS description FROM categories",
+    "shortcut_categories": "WITH o AS (SELECT folder, min(category) AS category_id FROM files WHERE folder IS NOT NULL AND category IS NOT NULL GROUP BY folder) SELECT shortcut_path, category_id FROM shortcuts JOIN o ON folder = regexp_replace(shortcut_path, '/[^/]*$', '')",
+    "signature_payload": f"WITH {_SIG} SELECT fid, '{{\"i\":' || fid || ',\"n\":' || to_json(name) || ',\"m\":' || to_json(coalesce(modified, '')) || ',\"p\":\"[folder]\"' || CASE WHEN ext != '' THEN ',\"x\":' || to_json(ext) ELSE '' END || CASE WHEN n > 1 THEN ',\"c\":' || n ELSE '' END || '}}' AS json FROM rw",
     "suffix_match": f"WITH {E}, g AS (SELECT DISTINCT CASE file_id % 3 WHEN 0 THEN '[folder]/' || name WHEN 1 THEN substring(name, 4, 300) ELSE path END AS a FROM e) SELECT a AS assigned_path, min(path) AS path FROM g JOIN e ON (ends_with(path, a) OR ends_with(a, name)) WHERE a != '' AND name != '' AND a NOT IN (SELECT path FROM e) GROUP BY a",
     "clean_categories": f"""WITH c AS (SELECT id, name, description, time_label, duration, group_no FROM categories UNION ALL SELECT id, substring(name, 1, 20) || repeat('+', length(id)), description, time_label, upper(duration), group_no + 3 FROM categories),
       g AS (SELECT id, trim(name, ' ') AS name, coalesce(description, '') AS description, coalesce(time_label, '') AS time_label, {_H} AS duration, (CASE WHEN group_no BETWEEN 1 AND 9 THEN group_no ELSE 9 END)::INT AS "group" FROM c

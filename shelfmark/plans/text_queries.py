@@ -42,6 +42,18 @@ def noun_fallback(spark, sf_dir):
     return entries(spark, sf_dir).select("path", F.array_join(text.nouns(C("name")), " ").alias("nouns"), F.array_join(text.nouns(C("excerpt"), 8), " ").alias("first"))
 
 
+def excerpt_cap(spark, sf_dir):
+    return entries(spark, sf_dir).select("path", text.capped(C("excerpt")).alias("shown"), text.capped(C("excerpt"), True).alias("whole"))
+
+
+def member_text(spark, sf_dir):
+    return entries(spark, sf_dir).select("path", text.member_text(C("name"), C("excerpt")).alias("text"))
+
+
+def category_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "categories").select("id", F.array_join(F.array_sort(text.category_tokens(C("name"), C("description"))), " ").alias("tokens"))
+
+
 def name_tokens(spark, sf_dir):
     return entries(spark, sf_dir).select("path", F.array_join(F.array_sort(text.name_tokens(C("name"))), " ").alias("tokens"))
 
@@ -127,7 +139,7 @@ def tier_pick(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    metadata_projection, payload_projection, ignore_scan, safe_path, strip_core, schema_sequence, noun_fallback, name_tokens, opaque_names, lev_similarity, sanitize_name, parse_tag,
+    metadata_projection, payload_projection, ignore_scan, safe_path, strip_core, schema_sequence, noun_fallback, excerpt_cap, member_text, category_tokens, name_tokens, opaque_names, lev_similarity, sanitize_name, parse_tag,
     fuzzy_score, redact, mojibake_flag, mojibake_repair, excerpt_around, html_text, time_label_range, time_decay, chunk_capacity, tier_pick,
 )}
 
@@ -257,6 +269,7 @@ def _sql_around(x, needle):
 
 
 _nt = rf"list_transform(regexp_split_to_array({sql_strip_ext('name')}, {lit(r'[\s_\-\.,()\[\]{}<>]+')}), lambda t: lower(trim(t, ' ')))"
+_ct = rf"list_transform(regexp_split_to_array({sql_strip_ext("coalesce(name, '') || ' ' || coalesce(description, '')")}, {lit(r'[\s_\-\.,()\[\]{}<>]+')}), lambda t: lower(trim(t, ' ')))"
 _opaque = " OR ".join(f"regexp_matches(st, {lit(p.replace('^(?i)', '(?i)^'))})" for p in s.OPAQUE_FORMS)
 _ctx = "CASE " + " ".join(f"WHEN contains(lower(trim(model)), {lit(k)}) THEN {max(s.LEAST_CONTEXT, int(a * b))}" for k, (a, b) in ((k, s.MODEL_CONTEXT[k]) for k in _families)) + " ELSE 4096 END"
 
@@ -269,6 +282,9 @@ ORACLE = {
     "schema_sequence": f"WITH {E} SELECT {sql_schema(sql_strip_ext('name'))} AS schema, count(*) AS n FROM e GROUP BY 1",
     "noun_fallback": f"WITH {E}, g AS (SELECT path, {sql_nouns('name')} AS a, {sql_nouns('excerpt')} AS b FROM e) SELECT path, array_to_string({sql_distinct('a')}, ' ') AS nouns, array_to_string(({sql_distinct('b')})[1:8], ' ') AS first FROM g",
     "name_tokens": f"WITH {E} SELECT path, array_to_string(list_sort(list_distinct(list_filter({_nt}, lambda t: length(t) >= 2 AND NOT regexp_matches(t, '^[0-9]+$') AND NOT regexp_matches(t, {lit(r'^(?:v\d+|r\d+|[ivxlcdm]+)$')}) AND NOT {in_list('t', s.NAME_STOPS)}))), ' ') AS tokens FROM e",
+    "category_tokens": f"SELECT id, array_to_string(list_sort(list_distinct(list_filter({_ct}, lambda t: length(t) >= 2 AND NOT regexp_matches(t, '^[0-9]+$') AND NOT regexp_matches(t, {lit(r'^(?:v\d+|r\d+|[ivxlcdm]+)$')}) AND NOT {in_list('t', s.NAME_STOPS)}))), ' ') AS tokens FROM categories",
+    "excerpt_cap": f"WITH {E} SELECT path, left(excerpt, 1200) AS shown, left(excerpt, 1800) AS whole FROM e",
+    "member_text": f"WITH {E} SELECT path, name || chr(10) || left(excerpt, 600) AS text FROM e",
     "opaque_names": f"WITH {E}, g AS (SELECT path, name, ext, trim({sql_strip_ext('name')}, ' ') AS st FROM e) SELECT path, name FROM g WHERE name = '' OR st = '' OR {_opaque} OR ({in_list('ext', ['.' + m for m in s.MEDIA])} AND len(list_filter(regexp_extract_all(st, '[A-Za-z가-힣]{{3,}}'), lambda w: NOT regexp_matches(w, {lit(s.CAMERA_WORD.replace('^(?i)', '(?i)^'))}))) = 0)",
     "lev_similarity": f"WITH {E}, n AS (SELECT ext, {sql_schema(sql_strip_ext('name'))} AS schema, count(*) AS n FROM e GROUP BY 1, 2), t AS (SELECT ext, schema AS top FROM (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY n DESC, schema DESC) AS k FROM n) WHERE k = 1) SELECT ext, schema, n, round(CASE WHEN greatest(length(schema), length(top)) = 0 THEN 1.0 ELSE 1 - levenshtein(schema, top) / greatest(length(schema), length(top)) END, 6) AS \"like\" FROM n JOIN t USING (ext)",
     "sanitize_name": f"SELECT id, {sql_sanitize('name')} AS folder, {sql_sanitize('description')} AS described FROM categories",
