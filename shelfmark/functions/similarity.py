@@ -141,7 +141,7 @@ def axes(pairs: DataFrame, members: DataFrame, categories: DataFrame, reclassify
     like = own.unionByName(rest)
     size = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(f"_n_{kind}")
     known = feats.groupBy("category_id").agg(size(NAME), size(BODY), F.min(F.when(F.col("kind") == STEM, F.length("value"))).alias("_shortest"))
-    known = known.join(categories.select(F.col("id").alias("category_id"), dates.label_range(F.col("time_label")).alias("_period"), F.coalesce("duration", F.lit("")).alias("_duration")), "category_id", "left")
+    known = known.join(categories.select(F.col("id").alias("category_id"), dates.label_range(F.col("time_label")).alias("_period"), F.coalesce("duration", F.lit("")).alias("_duration")), "category_id", "outer")
     rows = pairs.withColumns({"schema": sig["schema"], "stem": sig["stem"], "ext": sig["ext"], "parent": sig["parent"]})
     rows = join_checked(rows, nouns, ["path", "category_id"], "left")
     rows = join_checked(rows, cut(like), ["category_id", "schema"], "left")

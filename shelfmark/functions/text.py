@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark import schema as s
 
@@ -139,8 +142,14 @@ def repaired_mojibake(text: Column, strict: bool = False) -> Column:
     return F.when(looks_mojibake(text, strict), F.coalesce(back, text)).otherwise(text)
 
 
+@F.pandas_udf(T.StringType())
+def composed(names: pd.Series) -> pd.Series:
+    """Normalisation form C, which Spark has no function for."""
+    return names.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+
+
 def sanitize_name(name: Column, fallback: str = "folder") -> Column:
-    """A name that file systems take; ``fallback`` if too little is left. Composition of accents is left to the caller."""
+    """A name that file systems take; ``fallback`` if too little is left; from a name in composed form (see ``composed``)."""
     leak = lambda c: F.trim(_drop(_drop(_drop(c, s.JSON_HEAD), s.JSON_KEY), s.JSON_TAIL))
     c = leak(leak(leak(F.trim(name))))
     c = _drop(_drop(_drop(_drop(c, s.INVALID, "_"), r"[_\s]{2,}", " "), r"^[ _]+|[ _]+$"), r"[. ]+$")

@@ -145,6 +145,20 @@ def backfilled(files: DataFrame, operations: DataFrame) -> DataFrame:
     return out.withColumn("category_name", F.coalesce(F.nullif("category_name", F.lit("")), "_n", F.lit(""))).select(files.columns)
 
 
+#: Columns that a recorded file has, with their kinds.
+COLUMNS = {
+    "file_id": "bigint", "op_id": "bigint", "original_path": "string", "new_path": "string", "filename": "string", "folder": "string", "category": "string", "category_name": "string",
+    "reason": "string", "score": "double", "content_excerpt": "string", "created_at": "timestamp_ntz",
+}
+
+
+def migrated(files: DataFrame, operations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An older table of files with the columns it lacks, names filled from the runs' statistics; and its postings, made anew."""
+    lacking = {c: F.lit(None).cast(kind) for c, kind in COLUMNS.items() if c not in files.columns}
+    whole = backfilled(files.withColumns(lacking), operations)
+    return whole, postings(whole)
+
+
 def catalogue_names(files: DataFrame, categories: DataFrame) -> DataFrame:
     """(file_id, category_name) by the catalogue, '' for unknown and null categories."""
     names = categories.select(F.col("id").alias("category"), F.col("name").alias("_n"))

@@ -26,7 +26,7 @@ def folders(categories: DataFrame, tag: Column | None = None) -> DataFrame:
     """(category_id, folder) for each category, in order of group, period and name."""
     shown = F.when(F.coalesce("id", F.lit("")) != "", F.col("id")).otherwise(F.col("name"))
     label = folder_tag(shown) if tag is None else tag
-    rows = categories.withColumn("_tag", label)
+    rows = categories.withColumn("_tag", label).withColumn("name", text.composed(F.col("name")))
     name = text.folder_base(F.col("id"), F.col("name"), F.col("time_label"), F.col("duration"), F.col("group"), F.col("_tag"))
     order = Window.orderBy(F.when(F.col("group").between(1, 9), F.col("group")).otherwise(9), F.coalesce(F.nullif("time_label", F.lit("")), F.lit("~")), F.coalesce("name", "id"), "id")
     return rows.select(F.col("id").alias("category_id"), name.alias("folder"), F.row_number().over(order).alias("place"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,22 +30,51 @@ def _listing(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root if recursive else f"{root.rstrip('/')}/*")
 
 
+def base_of(root: str) -> str:
+    return "/" + root.removeprefix("file:").strip("/")
+
+
+def _stats(base: str):
+    """Adds times, and leaves out what lies behind a link or is gone."""
+
+    def run(batches):
+        real = os.path.realpath(base)
+        for b in batches:
+            at, created, accessed = [], [], []
+            for i, path in enumerate(b.column(0).to_pylist()):
+                try:
+                    if os.path.realpath(path) != real + path[len(base) :]:
+                        continue
+                    st = os.stat(path)
+                except OSError:
+                    continue
+                at.append(i)
+                created.append(int(getattr(st, "st_birthtime", st.st_ctime) * 1e6))
+                accessed.append(int(st.st_atime * 1e6))
+            kept = b.take(pa.array(at, pa.int64()))
+            yield pa.record_batch([*kept.columns, *(pa.array(t, pa.timestamp("us", "UTC")) for t in (created, accessed))], names=[*b.schema.names, "created", "accessed"])
+
+    return run
+
+
 def scan(spark: SparkSession, root: str, recursive: bool = True, ignore=s.IGNORED, max_files: int | None = None) -> DataFrame:
     """(path, name, ext, size, modified, mime) of the files below ``root``; contents aren't read.
 
-    A pattern that matches a directory takes all below it. Hadoop's listing follows links and has no time of creation
-    or access. With ``max_files`` a larger tree is an error, counted no further than one beyond it.
+    A pattern that matches a directory takes all below it. Below a local root links are never followed, and ``created``
+    and ``accessed`` come with it; other file systems have neither. With ``max_files`` a larger tree is an error, counted no further than one beyond it.
     """
     path = F.regexp_replace("path", "^file:/+", "/")
     base = F.lit("/" + root.removeprefix("file:").strip("/"))
     rows = _listing(spark, root, recursive).select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     rows = rows.where(~text.ignored(F.col("path"), base, ignore)) if ignore else rows
+    local = root.startswith("file:") or "://" not in root
+    rows = rows.mapInArrow(_stats(base_of(root)), "path string, size bigint, modified timestamp, created timestamp, accessed timestamp") if local else rows
     if max_files is not None and rows.limit(max_files + 1).count() > max_files:
         raise TooManyFiles(f"more than {max_files} files below {root}")
     name = F.regexp_extract("path", "([^/]*)$", 1)
     mime = F.create_map(*[F.lit(x) for e, m in MIME.items() for x in ("." + e, m)])
     ext = text.extension(name)
-    return rows.select("path", name.alias("name"), ext.alias("ext"), "size", "modified", F.coalesce(F.try_element_at(mime, ext), F.lit("application/octet-stream")).alias("mime"))
+    return rows.select("path", name.alias("name"), ext.alias("ext"), "size", "modified", *(["created", "accessed"] if local else []), F.coalesce(F.try_element_at(mime, ext), F.lit("application/octet-stream")).alias("mime"))
 
 
 def parsed(spark: SparkSession, root: str, wanted: DataFrame | None = None, recursive: bool = True, most: int = 1_800, seconds: float = 5.0) -> DataFrame:

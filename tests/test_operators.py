@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import cache, components, dedup, families, index, placement, planner, report, vectors
+from shelfmark import schema as s
+from shelfmark import session
+from shelfmark.plans import assign
 from shelfmark.plans.assign import microbatch, rolling
 from shelfmark.schema import Settings
 
@@ -163,3 +166,117 @@ def test_report(spark):
     sc = spark.createDataFrame([(1, 1, 1, "/s")], "shortcut_id long, op_id long, file_id long, shortcut_path string")
     out = report.markdown(f, sc, None, 1)
     assert "## Categories" in out and "/n/a" in out and "/s" in out
+
+
+def fake(log):
+    """A model that makes a category of each first word, and knows all tasks."""
+
+    def answer(p):
+        log.append((p.get("task", "rolling"), len(p.get("files", p.get("categories", [])))))
+        word = lambda f: f["n"].split("_")[0].split(".")[0]
+        if p.get("task") == "merge":
+            return {"categories": [c for c in p["categories"] if c["id"] != "odd"]}
+        if p.get("task") == "consolidate":
+            return {"merges": [{"drop": "budget", "keep": "report"}, {"drop": "nowhere", "keep": "report"}, {"drop": "report", "keep": "report"}]}
+        cats = [{"id": w} for w in sorted({word(f) for f in p["files"]})]
+        given = [{"i": f["i"], "c": word(f), "p": 0.9, "r": "word"} for f in p["files"]]
+        return {"categories": cats, "new_categories": cats, "assignments": given}
+
+    return answer
+
+
+NAMES = [f"{w}_{x}.pdf" for w in ("report", "budget", "minutes", "odd") for x in ("alpha", "beta", "gamma", "delta", "zeta", "kappa", "sigma", "omega")]
+
+
+@pytest.mark.parametrize("way, tasks", [("microbatch", ["discover", "merge", "assign"]), ("two_stage", ["discover", "assign"]), ("single_call", ["plan"])])
+def test_ways_of_planning(spark, way, tasks):
+    log = []
+    e = entries(spark, NAMES)
+    out, catalogue = getattr(assign, way)(e, fake(log))
+    got = {r["path"]: r["category_id"] for r in out.collect()}
+    assert len(got) == len(NAMES) and list(dict.fromkeys(t for t, _ in log)) == tasks
+    for path, c in got.items():
+        word = path.rsplit("/", 1)[1].split("_")[0]
+        assert c == ("misc" if word == "odd" and "merge" in tasks else word)
+
+
+def test_planning_that_fails(spark):
+    e = entries(spark, NAMES)
+
+    def picky(p):  # no more than two files at once, never those of 'budget'
+        if len(p.get("files", [])) > 2 or any("budget" in f["n"] for f in p.get("files", [])):
+            raise RuntimeError("too much")
+        return fake([])(p)
+
+    got = {r["path"]: (r["category_id"], r["reason"]) for r in assign.microbatch(e, picky)[0].collect()}
+    assert len(got) == len(NAMES) and all(c in ("report", "minutes", "misc") for p, (c, _) in got.items() if "budget" not in p)
+    assert all(c == "documents" and "(.pdf)" in r for p, (c, r) in got.items() if "budget" in p)  # by the rules
+
+    def dead(p):
+        raise ValueError("no answer")
+
+    for mode in ("auto", "on"):
+        out, catalogue = assign.plan(e, dead, mode=mode)
+        assert catalogue == [] and out.count() == len(NAMES)
+
+
+def test_dispatch_of_plans(spark):
+    e = entries(spark, NAMES)
+    for context, mode, economy, first in ((1 << 20, "auto", False, "discover"), (8_192, "on", False, "discover"), (8_192, "off", True, "plan"), (8_192, "off", False, "discover")):
+        log = []
+        assign.plan(e, fake(log), context, mode, economy)
+        assert log[0][0] == first
+    log = []
+    assign.plan(entries(spark, NAMES + [f"more_{a}{b}.pdf" for a in "abcdefgh" for b in "xyz"]), fake(log), 1 << 20)
+    assert log[0][0] == "rolling"
+
+
+def test_consolidation(spark):
+    out, catalogue = assign.two_stage(entries(spark, NAMES), fake([]))
+    out, left = assign.consolidate(out, catalogue, fake([]))
+    assert "budget" not in {c["id"] for c in left} and {r["category_id"] for r in out.where("path LIKE '%budget%'").collect()} == {"report"}
+    assert assign.consolidate(out, left[:1], fake([]))[1] == left[:1]
+
+
+def test_covered(spark):
+    names = ["Plan_a.txt", "Plan_b.txt", "Plan_c.txt", "lost_1.bin", "kept.txt"]
+    e = entries(spark, names)
+    far = e.withColumn("modified", F.when(F.col("name") == "lost_1.bin", F.lit(dt.datetime(1999, 1, 1))).otherwise(F.col("modified")))
+    given = e.where("name IN ('Plan_a.txt', 'Plan_b.txt', 'kept.txt')").select("path", F.when(F.col("name") == "kept.txt", "misc").otherwise("p").alias("category_id"), F.lit(0.8).alias("score"), F.lit("told").alias("reason"))
+    cats = spark.createDataFrame([("p", "2024", "annual"), ("misc", None, None)], "id string, time_label string, duration string")
+    got = {r["path"].rsplit("/", 1)[1]: (r["category_id"], r["score"], r["reason"]) for r in planner.covered(given, far, cats).collect()}
+    assert got["Plan_a.txt"] == ("p", 0.8, "told") and got["Plan_c.txt"] == ("p", 0.45, s.RESCUE_REASON)
+    assert got["lost_1.bin"] == ("misc", 0.3, s.LOST_REASON) and got["kept.txt"][0] in ("p", "misc") and got["kept.txt"][1] == 0.8
+    assert planner.covered(given.limit(0), far, cats).count() == 5 and planner.covered(given, far.limit(0), cats).count() == 0
+
+
+def test_numbers_that_are_taken(spark):
+    # every second number is some file's own name
+    names = ["a.txt"] * 30 + [f"a ({i}).txt" for i in range(2, 40, 2)] + ["b.txt", "b (2).txt"]
+    rows = spark.createDataFrame([(f"/{i:03}", n, "f") for i, n in enumerate(names)], "path string, name string, folder string")
+    got = [r["new_name"] for r in placement.numbered(rows).collect()]
+    assert len(set(got)) == len(names) and {f"a ({i}).txt" for i in range(2, 41)} <= set(got)
+    assert placement.numbered(rows.limit(0)).count() == 0
+
+
+def test_migration(spark):
+    old = spark.createDataFrame([(1, 1, "/a/x.txt", "c", None)], "file_id long, op_id long, original_path string, category string, extra string")
+    ops = spark.createDataFrame([(1, '{"categories": [{"id": "c", "name": "Cs"}]}')], "op_id long, stats_json string")
+    whole, posts = index.migrated(old, ops)
+    assert set(index.COLUMNS) | {"extra"} == set(whole.columns) and whole.first()["category_name"] == "Cs" and {r["term"] for r in posts.collect()} == {"a", "x", "txt", "c"}
+    assert index.migrated(old.limit(0), ops)[0].count() == 0
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    wide = spark.range(20).selectExpr("id", "repeat('x', 1000) AS t", "array(repeat('y', 1000)) AS a")
+    assert session.is_small(wide) and not session.is_small(wide, most_bytes=20_000) and not session.is_small(wide, most=19)
+    assert session.is_small(wide.limit(0), most=0)
+
+
+def test_report_has_calls_and_skipped(spark):
+    files = spark.createDataFrame([(1, 1, "/a", "/b", "c", 1.0, "r"), (2, 1, "/x", None, None, None, "locked")], "file_id long, op_id long, original_path string, new_path string, category string, score double, reason string")
+    cuts = spark.createDataFrame([], "op_id long, shortcut_id long, shortcut_path string")
+    ops = spark.createDataFrame([(1, T, T + dt.timedelta(seconds=90))], "op_id long, started_at timestamp, finished_at timestamp")
+    calls = spark.createDataFrame([("gpt-4o", 3_000_000, 300_000, 2.0, True), (None, 3, 3, 1.0, False)], "model string, prompt_chars long, response_chars long, duration double, success boolean")
+    out = report.markdown(files, cuts, None, 1, operations=ops, calls=calls)
+    assert "- duration: 90.0 s" in out and "- /x: locked" in out and "| gpt-4o | 1 | 0 | 1000000 | 100000 | 3.5000 |" in out

@@ -111,3 +111,26 @@ def test_stream(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r["n"] for r in spark.table("w").collect()] == [3]
+
+
+def test_links_are_not_followed(spark, tmp_path):
+    from shelfmark.sources.scan import scan
+
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "out").mkdir()
+    for p in ("in/a.txt", "in/sub/b.txt", "out/c.txt"):
+        (tmp_path / p).write_text("x")
+    (tmp_path / "in/link.txt").symlink_to(tmp_path / "out/c.txt")
+    (tmp_path / "in/dir").symlink_to(tmp_path / "out")
+    rows = scan(spark, str(tmp_path / "in")).collect()
+    assert {r["name"] for r in rows} == {"a.txt", "b.txt"} and all(r["created"] and r["accessed"] for r in rows)
+    (tmp_path / "again").symlink_to(tmp_path / "in")
+    assert {r["name"] for r in scan(spark, str(tmp_path / "again")).collect()} == {"a.txt", "b.txt"}
+
+
+def test_listings_fit(spark):
+    from shelfmark.sources.parsers import listing
+
+    names = [f"file{i}.txt" for i in range(100)]
+    assert listing("a.zip", names[:2], 500).endswith("]\nfile0.txt, file1.txt") and listing("a.zip", names, 120).endswith("…") and len(listing("a.zip", names, 120)) <= 121
+    assert "비어" in listing("a.zip", [], 500) and "디렉토리만 1개" in listing("a.zip", ["d/"], 500) and listing("a.zip", ["x" * 900], 100).endswith("]\n…")
