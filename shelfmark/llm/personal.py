@@ -104,7 +104,7 @@ def _digits(m: re.Match) -> str:
 
 def plain(text: str, words: set[str] | None = None) -> Plain:
     """The plain form that detectors read; ``words``: the text's letter runs in lower case."""
-    words = set(TOKEN.findall(text.lower())) if words is None else words
+    words = words_of(text) if words is None else words
     spelled = len(words & DIGIT_WORDS.keys()) > 1 and _SPELLED.search(text)
     if not spelled and not _PLAIN.search(text) and (text.isascii() or not (_SPELLED_KO.search(text) or _MIXED.search(text))):
         return Plain(text)
@@ -118,6 +118,12 @@ def plain(text: str, words: set[str] | None = None) -> Plain:
 
 TOKEN = re.compile(r"[^\W\d_]+")
 
+
+def words_of(text: str) -> set[str]:
+    """Letter runs in lower case."""
+    return set(TOKEN.findall(text.lower()))
+
+
 # --- detectors -------------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"(?i)(?<![a-z0-9.+])[a-z0-9](?:[a-z0-9._+\-]{0,62}[a-z0-9_])?@(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}(?![a-z0-9])")
@@ -296,10 +302,10 @@ class Lexicon:
     def of(cls, names: DataFrame) -> "Lexicon":
         return cls(_filter(names.select(F.concat("kind", "word"))))
 
-    def within(self, texts: list[str]) -> Names:
-        """Names that the texts can hold; a filter may let another word pass."""
-        low, korean = "\n".join(texts).lower(), set()
-        west = {*TOKEN.findall(low), *_HYPHENED.findall(low)}
+    def within(self, texts: list[str], words: list[set[str]]) -> Names:
+        """Names that the texts, with these words, can hold; a filter may let another word pass."""
+        korean: set[str] = set()
+        west = set().union(*words, *(_HYPHENED.findall(t.lower()) for t in texts if "-" in t))
         for w in west:
             if "가" <= w[0] <= "힣" or "가" <= w[-1] <= "힣":
                 for run in HANGUL.findall(w):
@@ -379,7 +385,7 @@ def _near(tokens):
             yield tokens[i], tokens[i + 2]
 
 
-def announcements(text: str, names: Names) -> Counter:
+def announcements(text: str, names: Names, words: set[str]) -> Counter:
     """(words, whether a name follows): what stands before two words with capitals; and before and after runs of syllables that begin as a family name."""
     out: Counter = Counter()
     for m in ANNOUNCED.finditer(text):
@@ -396,10 +402,10 @@ def announcements(text: str, names: Names) -> Counter:
     return out
 
 
-def candidates(text: str, names: Names, cues: set[str] = frozenset()) -> Counter:
+def candidates(text: str, names: Names, cues: set[str] = frozenset(), words: set[str] | None = None) -> Counter:
     """(kind, word, partner): words next to a known name where its other part would be, and those that a cue announces. Names in addresses don't count."""
     out: Counter = Counter()
-    words = set(TOKEN.findall(text.lower()))
+    words = words_of(text) if words is None else words
     west = not (words.isdisjoint(names.given) and words.isdisjoint(names.family) and words.isdisjoint(names.joined))
     text = EMAIL.sub("@", text) if west and "@" in text else text
     for (a, b, w), (c, d, x) in _near(_tokens(text, names, True)) if west else ():
@@ -455,9 +461,10 @@ def _tallied(rows: DataFrame, lexicon: Lexicon, of, kinds: str) -> DataFrame:
         def step(batch: pa.RecordBatch):
             total: Counter = Counter()
             texts = Counter(strings(batch.column(0)))
-            known = lexicon.within(list(texts))
-            for t, n in texts.items():
-                for k, v in of(t, known).items():
+            words = [words_of(t) for t in texts]
+            known = lexicon.within(list(texts), words)
+            for (t, n), w in zip(texts.items(), words, strict=True):
+                for k, v in of(t, known, w).items():
                     total[k] += v * n
             if not total:
                 return None
@@ -497,7 +504,7 @@ def completed(texts: DataFrame, names: DataFrame) -> DataFrame:
 
     cues = Cues()
     while True:
-        pairs = _tallied(rows, lexicon, lambda t, known: candidates(t, known, cues), "kind string, word string, partner string")
+        pairs = _tallied(rows, lexicon, lambda t, known, words: candidates(t, known, cues, words), "kind string, word string, partner string")
         # partners are names, or found beside a cue; words aren't names yet: both by the table, as filters may err
         partners = names.select(F.col("kind").alias("_k"), F.col("word").alias("partner"), F.lit(True).alias("_known"))
         pairs = cut(pairs.withColumn("_k", other[F.col("kind")]).join(partners, ["_k", "partner"], "left").join(names, ["kind", "word"], "left_anti"))
@@ -544,13 +551,13 @@ def _uses(rows: DataFrame, words: DataFrame) -> DataFrame:
 
 def find(text: str, names: Names, p: Plain | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) in the source text, in order, without overlap: earlier kinds of KINDS take precedence."""
-    return [x[:3] for x in _found(text, names, p or plain(text))]
+    p = p or plain(text)
+    return [x[:3] for x in _found(text, names, p, words_of(p.text))]
 
 
-def _found(text: str, names: Names, p: Plain) -> list[tuple]:
-    """(start, end, kind, claims): the latter of names only."""
+def _found(text: str, names: Names, p: Plain, words: set[str]) -> list[tuple]:
+    """(start, end, kind, claims), the latter of names only; from the plain form and its words."""
     t = p.text
-    words = set(TOKEN.findall(t.lower()))
     spans: list[tuple] = []
 
     def take(kind: str, found) -> None:
@@ -626,12 +633,14 @@ def personal(df: DataFrame, key: str, fields: list[str], lexicon: DataFrame | Na
     def make():
         def step(batch: pa.RecordBatch):
             source = strings(batch.column(3))
-            plains = [plain(t) for t in source]
-            known = shared.value.within([p.text for p in plains])
+            words = [words_of(t) for t in source]
+            plains = [plain(t, w) for t, w in zip(source, words, strict=True)]
+            words = [w if p.starts is None else words_of(p.text) for p, w in zip(plains, words, strict=True)]
+            known = shared.value.within([p.text for p in plains], words)
             got = []
-            for i, (t, p) in enumerate(zip(source, plains, strict=True)):
+            for i, (t, p, w) in enumerate(zip(source, plains, words, strict=True)):
                 pieces, at = [], 0
-                for a, b, kind, *claims in _found(t, known, p):
+                for a, b, kind, *claims in _found(t, known, p, w):
                     if a >= at:
                         one, two = ("\x00".join(c) for c in claims[0]) if claims else (None, None)
                         pieces.append((t[at:a], t[a:b], kind, one, two))
