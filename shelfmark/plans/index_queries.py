@@ -9,7 +9,8 @@ from shelfmark.functions import text
 from shelfmark.operators import dedup, index, report, vectors
 from shelfmark.plans.adapters import D, documents, lit
 from shelfmark.plans.text_queries import _sql_around
-from shelfmark.session import table
+from shelfmark.session import shared_folder, table
+from shelfmark.sources import sinks
 
 C = F.col
 QUERY = "budget archive"
@@ -46,9 +47,10 @@ def posting_counts(spark, sf_dir):
 
 
 def bm25_stored(spark, sf_dir):
-    """Over postings as they're stored."""
-    f = _files(spark, sf_dir)
-    return index.bm25(index.unpacked(index.packed(index.postings(f))), index.lengths(f), QUERY, None).select("file_id", F.round("score", 6).alias("score"))
+    """Over an index that is written first and then read by its terms."""
+    path = shared_folder(spark)
+    sinks.write_postings(_files(spark, sf_dir), path)
+    return index.bm25(*sinks.stored_index(spark, path), QUERY, None).select("file_id", F.round("score", 6).alias("score"))
 
 
 def like_search(spark, sf_dir):

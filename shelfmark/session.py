@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,14 +40,24 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is made only on a single machine, as in tests.
     """
-    spark = df.sparkSession
+    checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoints(spark: SparkSession) -> str:
+    """The checkpoint folder, set if it wasn't."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local["):
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="shelfmark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, for tables that are written to be read again."""
+    return f"{checkpoints(spark)}/{uuid.uuid4()}"
 
 
 def _bytes(df: DataFrame):

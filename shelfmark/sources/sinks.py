@@ -6,7 +6,7 @@ import os
 import shutil
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators import index
@@ -25,8 +25,14 @@ def record_run(store: str, operation: DataFrame, files: DataFrame, shortcuts: Da
 
 
 def write_postings(files: DataFrame, path: str) -> None:
-    """Stores the full-text index, sorted by term."""
+    """Stores the full-text index, sorted by term, and the rows' lengths beside it."""
     index.packed(index.postings(files)).write.mode("overwrite").parquet(path)
+    index.lengths(files).write.mode("overwrite").parquet(f"{path}.lengths")
+
+
+def stored_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths as ``write_postings`` stores them. A search's filters on terms reach the scan, which skips row groups of other terms."""
+    return index.unpacked(spark.read.parquet(path)), spark.read.parquet(f"{path}.lengths")
 
 
 def write_report(text: str, path: str) -> None:

@@ -60,3 +60,13 @@ def test_recovery_and_plan(spark):
     e = spark.createDataFrame([("/a/invoice.pdf", "invoice.pdf", ".pdf", "", T)], "path string, name string, ext string, excerpt string, modified timestamp")
     assert plan(e)[0].first()["category_id"] == "receipts"
     assert plan(e, lambda p: {"new_categories": [{"id": "n"}], "assignments": [{"i": f["i"], "c": "n"} for f in p["files"]]})[0].first()["category_id"] == "n"
+
+
+def test_terms_are_filtered_in_the_scan(spark, tmp_path):
+    files = spark.read.parquet("/root/testdata/sf0.001/files.parquet")
+    sinks.write_postings(files, f"{tmp_path}/p")
+    post, length = sinks.stored_index(spark, f"{tmp_path}/p")
+    hits = index.bm25(post, length, "budget archive", None)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,budget)" in plan and "StringStartsWith(term,archive)" in plan
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, index.bm25(index.postings(files), index.lengths(files), "budget archive", None).collect()))
