@@ -95,6 +95,26 @@ def coerced(assigned: DataFrame, categories: DataFrame) -> DataFrame:
     return first.join(kept, "path", "left").select("path", "category_id", "score", F.coalesce("_kept", none).alias("secondary"), F.substring(F.coalesce("reason", F.lit("")), 1, 140).alias("reason"))
 
 
+def normalised(assigned: DataFrame, entries: DataFrame, categories: DataFrame, settings: Settings = Settings(), reclassify: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A plan put in order: (path, category_id, score, secondary, reason) of every entry, and the categories.
+
+    Categories are cleaned; paths that are masked or cut are found by their ends; the first assignment of an entry (by
+    ``pos``) counts, with known categories only; entries without one, and those in the catch-all, go by their period.
+    Assignments of what is no entry are left out. ``assigned`` has path, pos, category_id, score, secondary and reason.
+    """
+    cats = cut(cleaned_categories(categories))
+    columns = ["path", "pos", "category_id", "score", "secondary", "reason"]
+    rows = assigned.select(columns)
+    found = suffix_matched(rows, entries).select(F.col("assigned_path").alias("path"), F.col("path").alias("_to"))
+    loose = rows.join(found, "path").withColumn("path", F.col("_to")).select(columns)
+    sound = cut(coerced(rows.join(entries.select("path"), "path", "left_semi").unionByName(loose), cats))
+    whole = covered(sound, entries, cats, settings, reclassify)
+    none = F.array().cast(dict(assigned.dtypes)["secondary"])
+    second = sound.select("path", "secondary", F.col("category_id").alias("_c"))
+    kept = F.when(F.col("_c") == F.col("category_id"), F.col("secondary"))  # of a file that was moved by its period nothing else holds
+    return whole.join(second, "path", "left").select("path", "category_id", "score", F.coalesce(kept, none).alias("secondary"), "reason"), cats
+
+
 def closest(assigned: DataFrame, categories: DataFrame, order: str = "id") -> DataFrame:
     """Assignments whose unknown categories become the catalogue's first, in ``order``; the catch-all where it is empty."""
     first = categories.agg(F.min_by("id", order).alias("_first"))

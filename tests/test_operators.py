@@ -280,3 +280,22 @@ def test_report_has_calls_and_skipped(spark):
     calls = spark.createDataFrame([("gpt-4o", 3_000_000, 300_000, 2.0, True), (None, 3, 3, 1.0, False)], "model string, prompt_chars long, response_chars long, duration double, success boolean")
     out = report.markdown(files, cuts, None, 1, operations=ops, calls=calls)
     assert "- duration: 90.0 s" in out and "- /x: locked" in out and "| gpt-4o | 1 | 0 | 1000000 | 100000 | 3.5000 |" in out
+
+
+def test_a_plan_in_order(spark):
+    e = entries(spark, ["Plan_a.txt", "Plan_b.txt", "note.md", "lost.bin"]).withColumn("modified", F.when(F.col("name") == "lost.bin", F.lit(dt.datetime(1999, 1, 1))).otherwise(F.col("modified")))
+    path = {r["name"]: r["path"] for r in e.collect()}
+    second = [("q", 0.5), ("nowhere", 0.4), ("p", 0.3)]
+    rows = [
+        (path["Plan_a.txt"], 0, "p", 0.9, second, "x" * 200), (path["Plan_a.txt"], 1, "q", 0.8, [], "again"), ("[folder]/Plan_b.txt", 2, "nowhere", 0.7, second, None),
+        ("ote.md", 3, "q", 0.6, [], "cut off"), ("/no/such.file", 4, "p", 0.9, [], ""),
+    ]
+    given = spark.createDataFrame(rows, "path string, pos int, category_id string, score double, secondary array<struct<category_id:string,score:double>>, reason string")
+    cats = spark.createDataFrame([("p", "Plans", None, "2024", "annual", 1), ("q", "Notes", None, None, "??", 12), ("bad", "\ufffd", None, None, None, 1)], "id string, name string, description string, time_label string, duration string, `group` int")
+    out, kept = planner.normalised(given, e, cats)
+    got = {r["path"].rsplit("/", 1)[1]: r for r in out.collect()}
+    assert set(got) == set(path) and {r["id"] for r in kept.collect()} == {"p", "q", "misc"}
+    assert got["Plan_a.txt"]["category_id"] == "p" and [x["category_id"] for x in got["Plan_a.txt"]["secondary"]] == ["q"] and len(got["Plan_a.txt"]["reason"]) == 140
+    assert got["Plan_b.txt"]["category_id"] == "p" and got["Plan_b.txt"]["reason"] == s.RESCUE_REASON and got["Plan_b.txt"]["score"] == 0.7  # unknown, then by its period
+    assert got["note.md"]["category_id"] == "q" and got["lost.bin"]["category_id"] == "misc" and got["lost.bin"]["score"] == 0.3
+    assert planner.normalised(given.limit(0), e, cats)[0].count() == 4 and planner.normalised(given, e.limit(0), cats)[0].count() == 0
