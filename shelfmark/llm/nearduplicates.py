@@ -9,6 +9,9 @@ they share, in any order of all tokens, is among the first n - that + 1 of each.
    can hold a partner are opened, and their documents are bounded by the difference of the two bit sets;
 3. what is left is verified on the exact token sets, in tasks of bounded size.
 
+Where many documents stand under one token, two of them share a second token too, among as many more of the first of
+each, and a third: such a list is split by its documents' next tokens, and again, as long as that leaves fewer pairs.
+
 No bound is a sample or a cap: nothing that reaches the threshold is lost. Documents with equal sets are one class and
 enter once. A document has as many rows as its prefix has tokens that another document has too, whatever the number of
 documents: tokens that are counted once have no partner and no row. Tokens of few documents are one group that is opened
@@ -39,6 +42,10 @@ WORD = re.compile(r"[^\W_]+")
 WIDE, ODD, GROUP = 8, 2, 16
 #: Tokens of a part: a larger set is parted by the next power of two.
 PART = 192
+#: Rows of a list that isn't split by further tokens, nor one of at most so many pairs; tokens by which a list is made at most.
+SHORT, LONG, DEPTH = 96, 1 << 15, 4
+#: Share of bits that unions of groups lack at least; those of fuller ones exclude hardly any document.
+FULL = 0.25
 #: Rows under one token, and of one range of it beyond that.
 LIST = 65_536
 #: Counters of tokens: 2^COUNTERS at most (32 MB with the documents), twice the number of tokens if that is less.
@@ -202,11 +209,14 @@ def _matrix(classes: DataFrame, threshold: float) -> DataFrame:
 
     ``key`` is the token, or, where its count stands out (above GROUP and what a counter has of other tokens), its
     counter; ``task`` 0 for the former, else the pair of ranges. ``meta`` packs sizes and place (see _Rows); ``blob`` has
-    the parities of the former, and of the latter the bits and the counters of such tokens before this one.
+    the parities of the former, and of the latter the bits, the number of such tokens before this one, and the counters
+    of those, with this one's and those after it where it may have more than SHORT rows. A counter that comes again has
+    the number of times in the bits above it, so that it is another token to both of a pair.
     """
     levels, bits, load = _levels(classes)
     shared = classes.sparkSession.sparkContext.broadcast(levels)  # 32 MB at most
     many, alone, longest = _level(GROUP + 3 * load if load > 1 else GROUP), 1, _level(LIST)
+    short = _level(SHORT)
 
     def run(batches):
         level_of = _unpacked(shared.value, bits)
@@ -233,13 +243,20 @@ def _matrix(classes: DataFrame, threshold: float) -> DataFrame:
             packed = np.packbits(set_, axis=1, bitorder="little")
             odd = np.bincount(sub * (ODD * 64) + (tokens >> np.uint64(40) & np.uint64(ODD * 64 - 1)).astype(np.int64), minlength=len(subs) * ODD * 64) & 1
             odd = np.packbits(odd.astype(np.uint8).reshape(len(subs), -1), axis=1, bitorder="little")
+            new = np.ones(len(order), bool)
+            new[1:] = (index[1:] != index[:-1]) | (sub[1:] != sub[:-1])
+            times = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            named = (index | np.minimum(times, 127) << COUNTERS).astype("<u4")
+            begins = first + np.bincount(sub[level <= many], minlength=len(subs))
+            ends = first + np.minimum(sizes, prefix + DEPTH - 1)
             rows, keys, tasks, metas, blobs = [], [], [], [], []
             last = -1
             for t in at.tolist():
                 s = int(sub[t])
                 i, parting, part, visits, _ = subs[s]
                 if s != last:
-                    last, before, own, parity = s, packed[s].tobytes(), b"", odd[s].tobytes()
+                    last, before, parity, begin = s, packed[s].tobytes(), odd[s].tobytes(), int(begins[s])
+                    own = named[begin : max(begin, int(ends[s]))].tobytes()
                 meta = (int(sizes[s]) << 44) | (int(place[t]) << 24) | (min(int(offsets[i + 1] - offsets[i]), (1 << 22) - 1) << 2) | visits << 1
                 if level[t] <= many:
                     rows.append(i)
@@ -248,8 +265,7 @@ def _matrix(classes: DataFrame, threshold: float) -> DataFrame:
                     metas.append(meta)
                     blobs.append(parity)
                     continue
-                blob = before + own
-                own += int(index[t]).to_bytes(4, "little")
+                blob = before + (t - begin).to_bytes(4, "little") + (own if level[t] >= short else own[: 4 * (t - begin)])
                 key = int(index[t]) | parting << 26 | part << 32
                 ranges = 1 if level[t] <= longest else math.ceil(2 ** ((int(level[t]) - 0.5) / 8) / LIST)
                 mine = xxhash.xxh3_64_intdigest(subs[s][4].tobytes()) % ranges if ranges > 1 else 0
@@ -279,62 +295,145 @@ class _Rows:
         self.n, self.place, self.whole = meta >> 44, meta >> 24 & ((1 << 20) - 1), meta >> 2 & ((1 << 22) - 1)
         self.visits, self.side = (meta >> 1 & 1).astype(bool), meta & 1
         self.across = np.where(task > 0, (task - 1) // _SPLIT != (task - 1) % _SPLIT, False)
-        blobs = table.column("blob").take(pa.array(order)).to_pylist()
-        self.before = [b[WIDE * 8 :] for b in blobs]
         self.many = task > 0
+        blob = table.column("blob").combine_chunks().take(pa.array(order))
+        _, offsets, data = blob.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[blob.offset : blob.offset + len(order) + 1] // 4
+        self.data = np.frombuffer(data, np.uint32) if data is not None else np.zeros(0, np.uint32)
+        part = lambda of, wide: self.data[offsets[:-1][of, None] + np.arange(2 * wide)].view(np.uint64)
         self.bits = np.zeros((len(order), WIDE), np.uint64)
         self.odd = np.zeros((len(order), ODD), np.uint64)
-        self.bits[self.many] = np.frombuffer(b"".join(b[: WIDE * 8] for b in blobs if len(b) > ODD * 8), np.uint64).reshape(-1, WIDE)
-        self.odd[~self.many] = np.frombuffer(b"".join(b for b in blobs if len(b) == ODD * 8), np.uint64).reshape(-1, ODD)
-        self.starts = np.flatnonzero(np.diff(self.run, prepend=-1))
-        self.ends = np.append(self.starts[1:], len(order))
-
-    def near(self, i: np.ndarray, j: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs of rows of one list, the first of no greater size, those that no bound excludes."""
+        self.bits[self.many] = part(self.many, WIDE)
+        self.odd[~self.many] = part(~self.many, ODD)
+        # tokens of many documents of a row: where they start and end in data, and which of them is the list's own
+        self.tokens = np.where(self.many, offsets[:-1] + 2 * WIDE + 1, 0).astype(np.int64)
+        self.stop = np.where(self.many, offsets[1:], 0).astype(np.int64)
+        self.own = np.zeros(len(order), np.int64)
+        self.own[self.many] = self.data[self.tokens[self.many] - 1]
+
+
+class _List:
+    """Rows that have the same ``depth`` tokens, ``path`` before the last, or many such lists, each a run; sorted by run and size."""
+
+    def __init__(self, rows: _Rows, at: np.ndarray, run: np.ndarray, last: np.ndarray, path: tuple[int, ...], t: float):
+        """``last``: which of a row's tokens of many documents is the last of the list's."""
+        self.rows, self.at, self.run, self.last, self.path, self.t = rows, at, run, last, path, t
+        self.depth = len(path) + 1
+        self.n, self.place = rows.n[at], rows.place[at] + last - rows.own[at]
+        place = np.arange(len(at))
+        code = self.run.astype(np.int64) << 20 | self.n
+        most = np.minimum(np.floor(self.n / t + _EPS), (1 << 20) - 1).astype(np.int64)
+        self.reach = np.searchsorted(code, self.run.astype(np.int64) << 20 | most, side="right") - place - 1
+        self.reach[self.place + least_overlap(self.n, self.n, t) > self.n + len(path)] = 0  # no partner of its size or more
+        self.total = int(self.reach.sum())
+
+    def some(self, keep: np.ndarray, path: tuple[int, ...]) -> _List:
+        return _List(self.rows, self.at[keep], self.run[keep], self.last[keep], path, self.t)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of rows that no bound excludes."""
+        upto = np.cumsum(self.reach)
+        s = 0
+        while s < len(upto) and upto[-1] > (done := upto[s - 1] if s else 0):
+            e = max(s + 1, int(np.searchsorted(upto, done + (1 << 18), side="right")))
+            i = np.repeat(np.arange(s, e), self.reach[s:e])
+            j = np.arange(len(i)) - np.repeat(upto[s:e] - self.reach[s:e] - done, self.reach[s:e]) + i + 1
+            yield self.near(i, j)
+            s = e
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of those pairs of one run, the first of no greater size, that no bound excludes and that have no earlier list in common."""
+        rows, t = self.rows, self.t
         least = least_overlap(self.n[i], self.n[j], t)
-        ok = (self.n[i] >= t * self.n[j] - _EPS) & (self.place[i] + least <= self.n[i]) & (self.place[j] + least <= self.n[j]) & ~(self.visits[i] & self.visits[j])
-        ok &= (np.minimum(self.whole[i], self.whole[j]) >= t * np.maximum(self.whole[i], self.whole[j]) - _EPS) & (~self.across[i] | (self.side[i] != self.side[j]))
+        ok = (self.n[i] >= t * self.n[j] - _EPS) & (self.place[i] + least <= self.n[i] + len(self.path)) & (self.place[j] + least <= self.n[j] + len(self.path))
         i, j, least = i[ok], j[ok], least[ok]
-        differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int64) + np.bitwise_count(self.odd[i] ^ self.odd[j]).sum(1, dtype=np.int64)
-        ok = differ <= self.n[i] + self.n[j] - 2 * least  # each differing bit is a token that one of them lacks; a row has one kind of bits
-        return i[ok], j[ok]
+        a, b = self.at[i], self.at[j]
+        bits = rows.bits if len(a) and rows.many[a[0]] else rows.odd  # rows of one call have one kind of bits
+        ok = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= rows.n[a] + rows.n[b] - 2 * least  # each differing bit is a token that one of them lacks
+        i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+        ok = ~(rows.visits[a] & rows.visits[b]) & (~rows.across[a] | (rows.side[a] != rows.side[b]))
+        ok &= np.minimum(rows.whole[a], rows.whole[b]) >= t * np.maximum(rows.whole[a], rows.whole[b]) - _EPS
+        i, j = i[ok], j[ok]
+        if len(i) and rows.many[self.at[i[0]]]:
+            i, j = self.first(i, j)
+        return self.at[i], self.at[j]
 
     def first(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of one list whose first common token, of those of many classes, is the list's own; the others stand in an earlier list too."""
-        if len(i) < 256:
-            sets = {r: set(np.frombuffer(self.before[r], np.uint32).tolist()) for r in {*i.tolist(), *j.tolist()}}
-            ok = np.array([sets[a].isdisjoint(sets[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
-            return i[ok], j[ok]
-        rows = np.unique(np.concatenate([i, j]))
-        sizes = np.array([len(self.before[r]) // 4 for r in rows])
-        token, of = np.frombuffer(b"".join(self.before[r] for r in rows), np.uint32), np.repeat(np.arange(len(rows)), sizes)
+        """Pairs whose first common tokens, of those of many documents, are the list's own; the others stand in an earlier list too."""
+        used = np.unique(np.concatenate([i, j]))
+        sizes = self.last[used]
+        at = np.repeat(self.rows.tokens[self.at[used]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        token, of = self.rows.data[at], np.repeat(np.arange(len(used)), sizes)
+        for known in self.path:
+            token, of = token[other := token != known], of[other]
         known, code, n = np.unique(token, return_inverse=True, return_counts=True)
         rank = np.empty(len(known), np.int64)
         rank[np.argsort(-n, kind="stable")] = np.arange(len(known))
         code = rank[code]
         # the 64 most frequent tokens have a bit of their own, which decides; the rest shares 64 bits, which only clear
-        own, rest = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
+        own, rest = np.zeros(len(used), np.uint64), np.zeros(len(used), np.uint64)
         np.bitwise_or.at(own, of[code < 64], np.uint64(1) << code[code < 64].astype(np.uint64))
         np.bitwise_or.at(rest, of[code >= 64], np.uint64(1) << (code[code >= 64] % 64).astype(np.uint64))
-        a, b = np.searchsorted(rows, i), np.searchsorted(rows, j)
+        a, b = np.searchsorted(used, i), np.searchsorted(used, j)
         ok = (own[a] & own[b]) == 0
         i, j, a, b = i[ok], j[ok], a[ok], b[ok]
         open_ = np.flatnonzero(rest[a] & rest[b])
         if len(open_):
+            begins = np.searchsorted(of, np.arange(len(used) + 1))
             sets: dict[int, set] = {}
-            get = lambda r: sets.get(r) or sets.setdefault(r, set(np.frombuffer(self.before[r], np.uint32).tolist()))
+            get = lambda r: sets.get(r) or sets.setdefault(r, set(token[begins[r] : begins[r + 1]].tolist()))
             ok = np.ones(len(i), bool)
-            ok[open_] = [get(x).isdisjoint(get(y)) for x, y in zip(i[open_].tolist(), j[open_].tolist(), strict=True)]
+            ok[open_] = [get(x).isdisjoint(get(y)) for x, y in zip(a[open_].tolist(), b[open_].tolist(), strict=True)]
             i, j = i[ok], j[ok]
         return i, j
 
-
-def _within(rows: _Rows, s: int, e: int, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def split(self) -> _List:
+        """One list's rows under each token after its last that may be the next one a pair shares, as runs."""
+        rows = self.rows
+        prefix = self.n - np.ceil(self.t * self.n - _EPS).astype(np.int64) + 1
+        end = np.minimum(rows.stop[self.at] - rows.tokens[self.at], prefix + self.depth - self.place + self.last)
+        sizes = np.maximum(0, end - self.last - 1)
+        of = np.repeat(np.arange(len(self.at)), sizes)
+        last = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.last[of] + 1
+        token = rows.data[rows.tokens[self.at[of]] + last]
+        order = np.argsort(token, kind="stable")
+        return _List(rows, self.at[of[order]], token[order], last[order], (*self.path, self.token()), self.t)
+
+    def token(self) -> int:
+        return int(self.rows.data[self.rows.tokens[self.at[0]] + self.last[0]])
+
+
+def _listed(one: _List) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a list of many rows: split by further tokens, if that leaves fewer pairs, else by groups, if their unions lack enough to exclude any."""
+    if one.depth < DEPTH:
+        parts = one.split()
+        if parts.total + 4 * len(parts.at) < one.total:
+            yield from _all(parts)
+            return
+    yield from _within(one)
+
+
+def _all(lists: _List) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of many lists of one path: those of few pairs together, each other one by itself."""
+    if not len(lists.at):
+        return
+    starts = np.flatnonzero(np.diff(lists.run.astype(np.int64), prepend=-1))
+    ends = np.append(starts[1:], len(lists.at))
+    long = (np.add.reduceat(lists.reach, starts) > LONG) & (ends - starts > SHORT)
+    yield from lists.some(np.repeat(~long, ends - starts), lists.path).pairs()
+    for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        yield from _listed(lists.some(np.arange(s, e), lists.path))
+
+
+def _within(one: _List) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one list, by groups of like size and their unions."""
-    n, bits = rows.n[s:e], rows.bits[s:e]
-    size = e - s
+    n, bits, t = one.n, one.rows.bits[one.at], one.t
+    size = len(n)
     starts = np.arange(0, size, GROUP)
     lacks = ~np.bitwise_or.reduceat(bits, starts, axis=0)
+    if np.bitwise_count(lacks).mean() < 64 * FULL:
+        yield from one.pairs()
+        return
     low, high = n[starts], n[np.minimum(starts + GROUP, size) - 1]
     step = max(1, min(64, (1 << 18) // len(starts)))
     for q in range(0, size, step):
@@ -342,18 +441,17 @@ def _within(rows: _Rows, s: int, e: int, t: float) -> Iterator[tuple[np.ndarray,
         first, last = q // GROUP, int(np.searchsorted(low, m[-1, 0] / t + _EPS, side="right"))
         missing = np.bitwise_count(lacks[None, first:last] & own[:, None]).sum(2, dtype=np.int64)
         least = least_overlap(m, np.maximum(low[first:last], m), t)  # partners before the query in the order have it as theirs
-        query, group = np.nonzero((missing <= m - least) & (low[first:last] <= m / t + _EPS) & (high[first:last] >= m))
+        query, group = np.nonzero((missing <= m - least) & (low[first:last] <= m / t + _EPS) & (high[first:last] >= m) & (one.reach[q : q + step, None] > 0))
         i = np.repeat(query + q, GROUP)
         j = ((group + first)[:, None] * GROUP + np.arange(GROUP)).ravel()
         ok = (j > i) & (j < size)
         if ok.any():
-            yield rows.near(i[ok] + s, j[ok] + s, t)
+            yield one.near(i[ok], j[ok])
 
 
 def _candidates(table: pa.Table, t: float) -> Iterator[pa.RecordBatch]:
     """(a, b, size) of the pairs in whole lists that no bound excludes; size is the tokens of both."""
     rows = _Rows(table)
-    counts = rows.ends - rows.starts
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def out():
@@ -361,21 +459,19 @@ def _candidates(table: pa.Table, t: float) -> Iterator[pa.RecordBatch]:
         found.clear()
         return pa.record_batch([rows.ids.take(pa.array(i)), rows.ids.take(pa.array(j)), pa.array(rows.whole[i] + rows.whole[j], pa.int64())], names=["a", "b", "size"])
 
-    few = np.repeat(counts <= GROUP, counts)
-    for d in range(1, min(GROUP, int(counts.max(initial=0)))):
-        i = np.flatnonzero(few[:-d] & (rows.run[:-d] == rows.run[d:]))
-        i, j = rows.near(i, i + d, t)
-        many = rows.many[i]
-        found += [(i[~many], j[~many]), rows.first(i[many], j[many])]
-    yield out()
+    def parts():
+        at = np.flatnonzero(~rows.many)
+        yield from _List(rows, at, rows.run[at], rows.own[at], (), t).pairs()
+        at = np.flatnonzero(rows.many)
+        yield from _all(_List(rows, at, rows.run[at], rows.own[at], (), t))
+
     waiting = 0
-    for s, e in zip(rows.starts[counts > GROUP], rows.ends[counts > GROUP], strict=True):
-        for i, j in _within(rows, int(s), int(e), t):
-            found.append(rows.first(i, j) if rows.many[s] else (i, j))
-            waiting += len(found[-1][0])
-            if waiting > TASK_PAIRS:
-                yield out()
-                waiting = 0
+    for i, j in parts():
+        found.append((i, j))
+        waiting += len(i)
+        if waiting > TASK_PAIRS:
+            yield out()
+            waiting = 0
     yield out()
 
 

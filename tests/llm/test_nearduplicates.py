@@ -102,3 +102,27 @@ def test_a_cluster_of_nearly_equal_texts_is_many_tasks(spark, monkeypatch):
     docs = [(i, base + " " + " ".join(f"o{i}x{j}" for j in range(5))) for i in range(2_000)]
     out = nd.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), shingle=1).collect()
     assert len(out) == 2_000 and {(r["group"], r["n_links"]) for r in out} == {(0, 1_999)}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7])
+def test_lists_of_many_rows_are_split_by_further_tokens(spark, monkeypatch, threshold):
+    rnd = random.Random(8)
+    docs = []
+    for i in range(1_500):
+        words = rnd.choice(docs)[1].split() if i % 5 == 4 else [f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(12, 30))]
+        words[0] = f"w{rnd.randrange(300)}"
+        docs.append((i, " ".join(words)))
+    classes, members = nd._classes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 1)
+    matrix = nd._matrix(classes, threshold).repartition(1, "key", "task").sortWithinPartitions("key", "task").toArrow()
+    looked = []
+    near = nd._List.near
+    monkeypatch.setattr(nd._List, "near", lambda self, i, j: looked.append(len(i)) or near(self, i, j))
+    work = []
+    for most in (1 << 40, 16):
+        monkeypatch.setattr(nd, "LONG", most)
+        looked.clear()
+        found = [frozenset(x) for batch in nd._candidates(matrix, threshold) for x in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+        least = {r["key"] for r in members.where("key = class").collect()}
+        assert {frozenset(x) for x in brute(docs, threshold) if least.issuperset(x)} <= set(found)
+        work.append(sum(looked))
+    assert work[1] < work[0]  # lists were split
