@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.arrow import over_batches, strings
+from shelfmark.llm.arrow import over_batches, slices, strings
 
 #: (true encoding, wrong one), in order of preference where several read a span alike. Fixed values.
 PAIRS = (
@@ -46,20 +47,22 @@ LETTER_FOR_LETTER = frozenset({("cp1252", "cp1251"), ("cp1251", "cp1252"), ("koi
 #: Letters that a stretch of such a pair has at least in whole words, and the share of its words that may be otherwise.
 LETTERS, OTHERWISE = 3, 0.2
 
-#: Texts that the model is learnt from: bounded, as any fitted model's sample may be; detection reads all texts.
-SAMPLE = 1_200
+#: Texts of a column that the counts of all its texts are scaled down to: the weight of what was learnt against that of what is unseen.
+WEIGHT = 1_200
 ENTER, LEAVE, SMOOTH = 1e-4, 0.01, 0.02
 #: A character is suspect, and a text with one worth a path, if some state makes it this many times likelier than clean text.
 SUSPECT = 3.0
 
-#: Syllables of at most so many uses in the sample may come from a garbled text that was taken for clean.
+#: Syllables of at most so many uses, after scaling, may come from a garbled text that was taken for clean.
 STRAY = 3
-#: Weight of other cases of the sample's words in the clean state.
+#: Weight of other cases of the words learnt in the clean state.
 RARER = 0.02
 #: Characters that odd but soundly decoded text is written with: soft hyphen and spaces, accents, Greek, syllable parts, joiners, ligatures, wide forms. Fixed values.
 ODD_FORMS = ((0xA0, 0xA0), (0xAD, 0xAD), (0x300, 0x36F), (0x391, 0x3C9), (0x1100, 0x11FF), (0x2000, 0x200F), (0x202F, 0x202F), (0x2060, 0x2060), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E))
 
 RUN = re.compile(r"[^\x00-\x7f]+")
+#: Runs with what a wrong reading may draw into them.
+AROUND = re.compile(r"[^\x00-\x7f]+(?:[\x00-\x7f][^\x00-\x7f]+)*[\x00-\x7f]{0,2}")
 WORDLIKE = re.compile(r"(?:[^\W\d_]|[^\x00-\x7f])+")
 _LATIN, _CYRILLIC = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]"), re.compile("[Ѐ-ӿ]")
 LOST = "�"
@@ -152,18 +155,21 @@ def presumed_clean(text: str) -> bool:
     """Whether a text may teach the clean state: nothing lost, no control characters, no run that another reading makes shorter text of."""
     if LOST in text or re.search("[\x80-\x9f─-▟-豈-﫿一-鿿]", text):
         return False
-    for run in RUN.findall(text):
+    return all(map(_presumed_clean_run, RUN.findall(text)))
+
+
+@lru_cache(200_000)
+def _presumed_clean_run(run: str) -> bool:
+    if len(run) > 1:
         for wrong in ("latin-1", "cp1252", "mac_roman", "cp850", "cp1251", "cp949"):
             data = _encode(run, wrong)
-            if data and len(run) > 1:
+            if data:
                 try:
                     data.decode("utf-8")
                     return False
                 except UnicodeDecodeError:
                     pass
-        if len(re.findall("[¡-ÿ]", run)) >= 4:
-            return False
-    return True
+    return len(re.findall("[¡-ÿ]", run)) < 4
 
 
 def _kind(c: str) -> str:
@@ -177,41 +183,79 @@ def _kind(c: str) -> str:
     return "l" if c.isalpha() else "p"
 
 
+#: Weight of each (state, character before, character); other cases of clean words have the state CLEAN, the words as they are PLAIN.
+Counts = dict[tuple[int, str, str], float]
+PLAIN = CLEAN + 1
+
+
+def learnt(texts: Iterable[str]) -> Counts:
+    """Uses of characters after others in the clean ones of some texts, and in these as each pair garbles them."""
+    clean = [t for t in texts if not t.isascii() and presumed_clean(t)]
+    out: Counter = Counter()
+
+    def add(state: int, runs: Iterable[str], weight: float = 1) -> None:
+        for run, n in Counter(runs).items():
+            for previous, c in zip(["", *run], [*run, ""], strict=True):
+                out[state, previous, c] += weight * n
+
+    plain = RUN.findall("\n".join(clean))
+    add(PLAIN, plain)
+    add(CLEAN, (v for run in plain for v in {run.upper(), run.lower(), run.capitalize()} - {run} if v.isprintable()), RARER)
+    around: dict[str, Counter] = {}
+    for state, pair in enumerate(PAIRS):
+        true = pair[0].split()[0]
+        if true not in around:
+            around[true] = Counter(part for t in clean if _holds(true, t) for part in AROUND.findall(t))
+        for part, n in around[true].items():  # garbled once, however often it is there
+            for run in _garbled_runs(part, pair):
+                for previous, c in zip(["", *run], [*run, ""], strict=True):
+                    out[state, previous, c] += n
+    return out
+
+
+def _holds(encoding: str, text: str) -> bool:
+    try:
+        text.encode(encoding)
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _garbled_runs(part: str, pair: tuple[str, str]) -> list[str]:
+    made = garble(part, pair)
+    return RUN.findall(made) if made is not None else []
+
+
 class Model:
     """Log-likelihoods of a character after another, in each state. '' stands for a run's start and end."""
 
-    def __init__(self, texts: Iterable[str]):
-        clean = [t for t in texts if presumed_clean(t)]
-        self.states = []
-        for pair in PAIRS:
-            made = (garble(t, pair) for t in clean)
-            self.states.append(self._count(RUN.findall("\n".join(g for g in made if g is not None)), lambda c: c))
-        plain = RUN.findall("\n".join(clean))
-        cased = [v for run in plain for v in {run.upper(), run.lower(), run.capitalize()} - {run} if v.isprintable()]
-        self.close = self._count(plain, lambda c: c, cased, STRAY)
-        pairs, single, before = self._count(plain, _kind, cased, STRAY)
+    def __init__(self, texts: Iterable[str] = (), counts: Counts | None = None):
+        """From texts, each of weight 1, or from what ``learnt`` counted in them."""
+        known = {chr(i) for i in range(128)}
+        by: list[list] = [[] for _ in range(PLAIN)]
+        for (k, previous, c), n in (learnt(texts) if counts is None else counts).items():
+            by[min(k, CLEAN)].append((previous, c, n))
+            if k == PLAIN:
+                known.add(c)
+        self.states = [self._tables(x) for x in by[:CLEAN]]
+        self.close = self._tables(by[CLEAN], stray=STRAY)
+        pairs, single, before = self._tables(by[CLEAN], _kind, STRAY)
         self.states.append((pairs, self._with_unseen(single), before))
         self.totals = [sum(s[1].values()) for s in self.states]
         self.cache: dict[tuple[str, str], np.ndarray] = {}
         ratio = {c: max(self._one(k, "", c, False) for k in range(CLEAN)) - self._one(CLEAN, "", c, False) for k in range(CLEAN) for c in self.states[k][1]}
-        self.known = frozenset(c for run in plain for c in run) | {chr(i) for i in range(128)}
+        self.known = frozenset(known)
         self.suspects = frozenset(c for c, r in ratio.items() if r > np.log(SUSPECT) and c)
 
     @staticmethod
-    def _count(runs: list[str], kind, rarer: list[str] = (), stray: int = 0) -> tuple[dict, Counter, Counter]:
-        """Counts of pairs, characters and contexts; runs in ``rarer`` have a weight of RARER, syllables of at most ``stray`` uses none."""
+    def _tables(counts: list[tuple[str, str, float]], kind=lambda c: c, stray: int = 0) -> tuple[dict, Counter, Counter]:
+        """Weights of pairs, characters and contexts of a state; syllables of at most ``stray`` uses have none."""
         pairs, single, before = Counter(), Counter(), Counter()
-        weights = Counter(runs)
-        for run, n in Counter(rarer).items():
-            weights[run] += RARER * n
-        for run, n in weights.items():
-            previous = ""
-            for c in [*run, ""]:
-                key = kind(previous)
-                pairs[key, c] += n
-                before[key] += n
-                single[c] += n
-                previous = c
+        for previous, c, n in counts:
+            key = kind(previous)
+            pairs[key, c] += n
+            before[key] += n
+            single[c] += n
         if stray:
             gone = {c for c, n in single.items() if n <= stray and "가" <= c <= "힣"}
             single = Counter({c: n for c, n in single.items() if c not in gone})
@@ -220,7 +264,7 @@ class Model:
 
     @staticmethod
     def _with_unseen(single: Counter) -> Counter:
-        """Adds a little for characters that clean text may have though the sample doesn't: other spellings of what it has, not other text."""
+        """Adds a little for characters that clean text may have though what was learnt doesn't: other spellings of what it has, not other text."""
         out, total = Counter(single), sum(single.values())
         if any("가" <= c <= "힣" for c in single if c):
             for i in range(0xAC00, 0xD7A4):
@@ -348,16 +392,45 @@ class Model:
         return "".join([*out, text[end:]]), whole
 
 
-def fit(texts: list[DataFrame], sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` distinct texts of each one-column table, those with the least hashes of a thinned share."""
-    rows: list[str] = []
+#: Counts that a task holds before it gives them on.
+HELD = 400_000
+
+
+def _learnt_of(df: DataFrame) -> tuple[Counts, int]:
+    """Counts over all distinct texts of a one-column table, and their number. They are added up in Spark; only characters and what stands before them come to the driver."""
+    column = df.columns[0]
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        states, before, after = zip(*counts, strict=True)
+        return pa.record_batch([pa.array(states, pa.int32()), pa.array(before), pa.array(after), pa.array([round(n / RARER) for n in counts.values()], pa.int64())], names=["state", "before", "after", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for batch in batches:
+            for part in slices(batch, column):
+                for key, n in learnt(part.column(0).to_pylist()).items():
+                    held[key] += n
+                held[-1, "", ""] += part.num_rows
+                if len(held) > HELD:
+                    yield rows(held)
+                    held = Counter()
+        if held:
+            yield rows(held)
+
+    texts = df.where(F.col(column) != "").distinct()
+    sums = texts.mapInArrow(run, "state int, before string, after string, n bigint").groupBy("state", "before", "after").agg(F.sum("n").alias("n"))
+    counts = {(r["state"], r["before"], r["after"]): r["n"] * RARER for r in sums.collect()}
+    return counts, round(counts.pop((-1, "", ""), 0))
+
+
+def fit(texts: list[DataFrame]) -> Model:
+    """Learns from all texts of each one-column table, each distinct one with the same weight; together they weigh as WEIGHT texts if there are more."""
+    total: Counter = Counter()
     for df in texts:
-        column = df.columns[0]
-        some = df.where(F.col(column) != "")
-        share = max(1, some.count() // (sample * 16))
-        thin = some.where(F.pmod(F.xxhash64(column, F.lit(7)), F.lit(share)) == 0).distinct()
-        rows += [r[0] for r in thin.orderBy(F.xxhash64(column), column).limit(sample).collect()]
-    return Model(rows)
+        counts, n = _learnt_of(df)
+        for key, uses in counts.items():
+            total[key] += uses * min(1, WEIGHT / max(1, n))
+    return Model(counts=total)
 
 
 def garbled(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
@@ -368,7 +441,7 @@ def garbled(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     and their common text is labelled once for each task. Extra columns aren't read.
     """
     context = df.sparkSession.sparkContext
-    shared = context.broadcast(model)  # bounded by the sample
+    shared = context.broadcast(model)  # characters and what stands before them
 
     def make():
         known: dict[str, tuple[str, bool] | None] = {}

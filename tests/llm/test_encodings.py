@@ -135,3 +135,20 @@ def test_restored_texts_equal_sound_copies(spark):
     pairs = rows.where("field = 'content_excerpt' AND complete").join(files, "row_id").join(sound, "path").select((F.col("restored") == F.col("sound")).alias("same"))
     n, same = pairs.agg(F.count("*"), F.count(F.when(F.col("same"), 1))).first()
     assert n > 100 and same / n >= 0.95
+
+
+def test_model_is_learnt_from_all_texts(spark):
+    texts = [(f"Größe {chr(0xAC00 + 3 * i)}{chr(0xAC00 + i)} {i}",) for i in range(3_000)]
+    model = e.fit([spark.createDataFrame(texts, "t string").repartition(3)])
+    assert model.known.issuperset(c for (t,) in texts for c in t)
+
+
+def test_counts_equal_those_of_texts_garbled_as_a_whole():
+    rnd = random.Random(5)
+    texts = [sentence(rnd, lang) for lang in WORDS for _ in range(30)]
+    got = e.learnt(texts)
+    clean = [t for t in texts if e.presumed_clean(t)]
+    for state, pair in enumerate(e.PAIRS):
+        runs = [run for t in clean for run in e.RUN.findall(e.garble(t, pair) or "")]
+        want = e.Counter(x for run in runs for x in zip(["", *run], [*run, ""]))
+        assert {(a, b): n for (k, a, b), n in got.items() if k == state} == want, pair
