@@ -9,7 +9,7 @@ from shelfmark.session import table
 
 def _forms(spark, sf_dir, changed_only):
     files = table(spark, sf_dir, "files")
-    shared = spark.sparkContext.broadcast(e.fit([files.select("filename")]))  # bounded by the sample
+    shared = spark.sparkContext.broadcast(e.fit([files.select("filename")]))  # characters of filenames and what stands before them
     skip = {"filename": lambda: lambda value: bool(shared.value.spans(value))}
     return c.forms(files, "file_id", ["filename", "original_path", "folder"], skip, changed_only)
 

@@ -57,3 +57,14 @@ def test_look_alikes_of_other_alphabets(spark, value, form):
 @pytest.mark.parametrize("value, words", [("сору of report", ["сору"]), ("report РАСА 2", ["РАСА"]), ("сору", []), ("копия сору", []), ("report отчёт сору", []), ("plain", [])])
 def test_words_wholly_in_look_alikes_are_told(value, words):
     assert c.spoofed(value) == words and c.canonical(value) == value
+
+
+def test_model_of_filenames_is_learnt_from_all_of_them(spark, tmp_path, monkeypatch):
+    from shelfmark.llm import canonical_queries as q
+
+    names = [(i, f"Größe {chr(0xAC00 + 3 * i)}{chr(0xAC00 + i)} {i}", "a", "b") for i in range(3_000)]
+    spark.createDataFrame(names, "file_id long, filename string, original_path string, folder string").repartition(3).write.parquet(f"{tmp_path}/files.parquet")
+    models, fit = [], q.e.fit
+    monkeypatch.setattr(q.e, "fit", lambda texts: models.append(fit(texts)) or models[-1])
+    assert q.p2_found(spark, str(tmp_path)).count() == 0
+    assert models[0].known.issuperset(c for n in names for c in n[1])
