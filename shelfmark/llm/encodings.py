@@ -50,6 +50,8 @@ LETTERS, OTHERWISE = 3, 0.2
 #: Texts of a column that the counts of all its texts are scaled down to: the weight of what was learnt against that of what is unseen.
 WEIGHT = 1_200
 ENTER, LEAVE, SMOOTH = 1e-4, 0.01, 0.02
+#: Logarithms of entering a state, leaving it, staying in it and in the clean one.
+ENTERS, LEAVES, STAY, STAY_CLEAN = np.log(ENTER / CLEAN), np.log(LEAVE), np.log1p(-LEAVE), np.log1p(-ENTER)
 #: A character is suspect, and a text with one worth a path, if some state makes it this many times likelier than clean text.
 SUSPECT = 3.0
 
@@ -61,8 +63,8 @@ RARER = 0.02
 ODD_FORMS = ((0xA0, 0xA0), (0xAD, 0xAD), (0x300, 0x36F), (0x391, 0x3C9), (0x1100, 0x11FF), (0x2000, 0x200F), (0x202F, 0x202F), (0x2060, 0x2060), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E))
 
 RUN = re.compile(r"[^\x00-\x7f]+")
-#: Runs with what a wrong reading may draw into them.
-AROUND = re.compile(r"[^\x00-\x7f]+(?:[\x00-\x7f][^\x00-\x7f]+)*[\x00-\x7f]{0,2}")
+#: Runs with what a wrong reading may draw into them: one letter, as the second byte of cp949.
+AROUND = re.compile(r"[^\x00-\x7f]+(?:[A-Za-z][^\x00-\x7f]+)*[A-Za-z]?")
 WORDLIKE = re.compile(r"(?:[^\W\d_]|[^\x00-\x7f])+")
 _LATIN, _CYRILLIC = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]"), re.compile("[Ѐ-ӿ]")
 LOST = "�"
@@ -80,15 +82,19 @@ def _decode(data: bytes, encoding: str) -> str:
 
 def _encode(text: str, encoding: str) -> bytes | None:
     """Inverse of _decode, or None if a character can't come from it."""
+    try:
+        return text.encode(encoding)
+    except UnicodeEncodeError:
+        if encoding not in ("cp1252", "cp1251"):
+            return None
     out = bytearray()
     for c in text:
         try:
             out += c.encode(encoding)
         except UnicodeEncodeError:
-            if encoding in ("cp1252", "cp1251") and 128 <= ord(c) < 160:
-                out.append(ord(c))
-            else:
+            if not 128 <= ord(c) < 160:
                 return None
+            out.append(ord(c))
     return bytes(out)
 
 
@@ -183,36 +189,66 @@ def _kind(c: str) -> str:
     return "l" if c.isalpha() else "p"
 
 
+#: Characters of a run whose scores are made at once and kept; characters of the runs kept, and of those summed at once; what rounding may cost a sum.
+PIECE, HELD_CHARS, HELD_STEPS, SLACK = 64, 200_000, 4_096, 1e-3
+
+
 #: Weight of each (state, character before, character); other cases of clean words have the state CLEAN, the words as they are PLAIN.
 Counts = dict[tuple[int, str, str], float]
 PLAIN = CLEAN + 1
 
 
-def learnt(texts: Iterable[str]) -> Counts:
-    """Uses of characters after others in the clean ones of some texts, and in these as each pair garbles them."""
-    clean = [t for t in texts if not t.isascii() and presumed_clean(t)]
+#: True encodings of the pairs; a text has the bits of those that can hold it.
+TRUE = tuple(dict.fromkeys(true.split()[0] for true, _ in PAIRS))
+
+
+def parts(texts: Iterable[str]) -> Counter:
+    """Uses of (bits of TRUE, part as of AROUND) in the clean ones of some texts: all that is learnt from them."""
     out: Counter = Counter()
+    for t in texts:
+        if not t.isascii() and presumed_clean(t):
+            found = AROUND.findall(t)
+            whole = "".join(found)
+            bits = sum(1 << i for i, true in enumerate(TRUE) if _holds(true, whole))
+            for part in found:
+                out[bits, part] += 1
+    return out
 
-    def add(state: int, runs: Iterable[str], weight: float = 1) -> None:
-        for run, n in Counter(runs).items():
-            for previous, c in zip(["", *run], [*run, ""], strict=True):
-                out[state, previous, c] += weight * n
 
-    plain = RUN.findall("\n".join(clean))
-    add(PLAIN, plain)
-    add(CLEAN, (v for run in plain for v in {run.upper(), run.lower(), run.capitalize()} - {run} if v.isprintable()), RARER)
-    around: dict[str, Counter] = {}
+def counted(uses: dict[tuple[int, str], int]) -> Counts:
+    """Uses of characters after others in parts of clean texts, and in these as each pair garbles them: once for a part, however often it is there."""
+    out: Counter = Counter()
+
+    def add(state: int, run: str, n: float) -> None:
+        for previous, c in zip(["", *run], [*run, ""], strict=True):
+            out[state, previous, c] += n
+
+    plain: Counter = Counter()
+    for (_, part), n in uses.items():
+        for run in RUN.findall(part):
+            plain[run] += n
+    for run, n in plain.items():
+        add(PLAIN, run, n)
+        for v in {run.upper(), run.lower(), run.capitalize()} - {run}:
+            if v.isprintable():
+                add(CLEAN, v, RARER * n)
     for state, pair in enumerate(PAIRS):
-        true = pair[0].split()[0]
-        if true not in around:
-            around[true] = Counter(part for t in clean if _holds(true, t) for part in AROUND.findall(t))
-        for part, n in around[true].items():  # garbled once, however often it is there
+        bit = 1 << TRUE.index(pair[0].split()[0])
+        held: Counter = Counter()
+        for (bits, part), n in uses.items():
+            if bits & bit:
+                held[part] += n
+        for part, n in held.items():
             for run in _garbled_runs(part, pair):
-                for previous, c in zip(["", *run], [*run, ""], strict=True):
-                    out[state, previous, c] += n
+                add(state, run, n)
     return out
 
 
+def learnt(texts: Iterable[str]) -> Counts:
+    """Uses of characters after others in the clean ones of some texts, and in these as each pair garbles them."""
+    return counted(parts(texts))
+
+
 def _holds(encoding: str, text: str) -> bool:
     try:
         text.encode(encoding)
@@ -243,6 +279,8 @@ class Model:
         self.states.append((pairs, self._with_unseen(single), before))
         self.totals = [sum(s[1].values()) for s in self.states]
         self.cache: dict[tuple[str, str], np.ndarray] = {}
+        self.run_gains: dict[str, np.ndarray] = {}
+        self.run_chars = 0
         ratio = {c: max(self._one(k, "", c, False) for k in range(CLEAN)) - self._one(CLEAN, "", c, False) for k in range(CLEAN) for c in self.states[k][1]}
         self.known = frozenset(known)
         self.suspects = frozenset(c for c, r in ratio.items() if r > np.log(SUSPECT) and c)
@@ -299,6 +337,59 @@ class Model:
         """(start, end, state) of the stretches that the likeliest path doesn't call clean."""
         if self.suspects.isdisjoint(text) and self.known.issuperset(text):
             return []
+        return self._path(text) if self._leaves_clean(text) else []
+
+    def _gains(self, text: str) -> Iterator[np.ndarray]:
+        """What each state has over clean text for each character of the runs, with staying in it, in pieces."""
+        for run in RUN.findall(text):
+            short = len(run) <= PIECE
+            got = self.run_gains.get(run) if short else None
+            if got is not None:
+                yield got
+                continue
+            for start in range(0, len(run), PIECE):
+                piece = run[start : start + PIECE]
+                steps = np.array([self.scores(previous, c) for previous, c in zip([run[start - 1] if start else "", *piece], piece)])
+                if start + PIECE >= len(run):
+                    steps[-1] += self.scores(run[-1], "")
+                got = steps[:, :CLEAN] - steps[:, CLEAN:] + (STAY - STAY_CLEAN)
+                yield got
+            if short:
+                if self.run_chars > HELD_CHARS:
+                    self.run_gains.clear()
+                    self.run_chars = 0
+                self.run_gains[run] = got
+                self.run_chars += len(run)
+
+    def _leaves_clean(self, text: str) -> bool:
+        """Whether the likeliest path may leave the clean state. A path between clean characters is in one state, so it
+        does only if a stretch has more over clean text in some state than entering and leaving it costs."""
+        over = np.zeros(CLEAN)  # of the best stretch that ends where the last sums did, or 0
+        last = inner = -np.inf
+        held: list[np.ndarray] = []
+        n = 0
+
+        def take() -> None:
+            nonlocal over, last, inner, held, n
+            sums = np.concatenate([over[None], *held]).cumsum(0)
+            lows = np.minimum(np.minimum.accumulate(sums), 0)
+            best = (sums[1:] - lows[:-1]).max(1)
+            inner = max(inner, last, best[:-1].max(initial=-np.inf))
+            last, over = best[-1], sums[-1] - lows[-1]
+            held, n = [], 0
+
+        for gains in self._gains(text):
+            held.append(gains)
+            n += len(gains)
+            if n > HELD_STEPS:
+                take()
+        if held:
+            take()
+        cost = ENTERS - STAY + SLACK
+        return last + cost > 0 or inner + cost + LEAVES - STAY_CLEAN > 0
+
+    def _path(self, text: str) -> list[tuple[int, int, int]]:
+        """The stretches that the likeliest path doesn't call clean, each with a state that gives a reading."""
         at: list[int] = []
         steps: list[np.ndarray] = []
         for m in RUN.finditer(text):
@@ -308,31 +399,30 @@ class Model:
                 steps.append(self.scores(previous, c))
                 previous = c
             steps[-1] = steps[-1] + self.scores(previous, "")
-        enter, leave = np.log(ENTER / CLEAN), np.log(LEAVE)
-        stay = np.full(CLEAN + 1, np.log1p(-LEAVE))
-        stay[CLEAN] = np.log1p(-ENTER)
-        v = np.full(CLEAN + 1, enter)
+        stay = np.full(CLEAN + 1, STAY)
+        stay[CLEAN] = STAY_CLEAN
+        v = np.full(CLEAN + 1, ENTERS)
         v[CLEAN] = 0.0
-        came = np.empty((len(at), CLEAN + 1), np.int16)
-        own = np.arange(CLEAN + 1)
-        for i, e in enumerate(steps):
-            kept = v + stay if i else v
-            into = v[CLEAN] + enter
+        entered = np.zeros((len(at), CLEAN + 1), bool)
+        into_clean = [CLEAN] * len(at)
+        v += steps[0]
+        for i in range(1, len(at)):
             best = int(v[:CLEAN].argmax())
-            out = v[best] + leave
-            from_clean = into > kept if i else np.zeros(CLEAN + 1, bool)
-            came[i] = np.where(from_clean, CLEAN, own)
-            new = np.where(from_clean, into, kept)
-            if i and out > kept[CLEAN]:
-                came[i, CLEAN], new[CLEAN] = best, out
-            elif i:
-                came[i, CLEAN], new[CLEAN] = CLEAN, kept[CLEAN]
-            v = new + e
+            out, into = v[best] + LEAVES, v[CLEAN] + ENTERS
+            v += stay
+            np.less(v, into, out=entered[i])
+            clean = v[CLEAN]
+            np.maximum(v, into, out=v)
+            if out > clean:
+                into_clean[i] = best
+                clean = out
+            v[CLEAN] = clean
+            v += steps[i]
         state = int(v.argmax())
         path = [0] * len(at)
         for i in range(len(at) - 1, -1, -1):
             path[i] = state
-            state = int(came[i, state])
+            state = into_clean[i] if state == CLEAN else CLEAN if entered[i, state] else state
         out_: list[tuple[int, int, int]] = []
         for i, s in zip(at, path, strict=True):
             if s == CLEAN:
@@ -392,33 +482,55 @@ class Model:
         return "".join([*out, text[end:]]), whole
 
 
-#: Counts that a task holds before it gives them on.
-HELD = 400_000
+#: Counts that a task holds before it gives them on, and characters in their parts.
+HELD, HELD_TEXT = 400_000, 8_000_000
 
 
 def _learnt_of(df: DataFrame) -> tuple[Counts, int]:
-    """Counts over all distinct texts of a one-column table, and their number. They are added up in Spark; only characters and what stands before them come to the driver."""
+    """Counts over all distinct texts of a one-column table, and their number. Each part of them is garbled once: their uses
+    are added up in Spark before, and the counts after; only characters and what stands before them come to the driver."""
     column = df.columns[0]
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        states, before, after = zip(*counts, strict=True)
-        return pa.record_batch([pa.array(states, pa.int32()), pa.array(before), pa.array(after), pa.array([round(n / RARER) for n in counts.values()], pa.int64())], names=["state", "before", "after", "n"])
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            bits, texts = zip(*held, strict=True)
+            return pa.record_batch([pa.array(bits, pa.int32()), pa.array(texts), pa.array(held.values(), pa.int64())], names=["bits", "part", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, column):
+                for key, n in parts(some.column(0).to_pylist()).items():
+                    held[key] += n
+                held[-1, ""] += some.num_rows
+                if len(held) > HELD or sum(len(part) for _, part in held) > HELD_TEXT:
+                    yield rows()
+                    held = Counter()
+        if held:
+            yield rows()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            states, before, after = zip(*held, strict=True)
+            return pa.record_batch([pa.array(states, pa.int32()), pa.array(before), pa.array(after), pa.array([round(n / RARER) for n in held.values()], pa.int64())], names=["state", "before", "after", "n"])
+
         for batch in batches:
-            for part in slices(batch, column):
-                for key, n in learnt(part.column(0).to_pylist()).items():
+            for some in slices(batch, "part"):
+                uses = dict(zip(zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True), some.column(2).to_pylist(), strict=True))
+                held[-1, "", ""] += uses.pop((-1, ""), 0)
+                for key, n in counted(uses).items():
                     held[key] += n
-                held[-1, "", ""] += part.num_rows
                 if len(held) > HELD:
-                    yield rows(held)
+                    yield rows()
                     held = Counter()
         if held:
-            yield rows(held)
+            yield rows()
 
     texts = df.where(F.col(column) != "").distinct()
-    sums = texts.mapInArrow(run, "state int, before string, after string, n bigint").groupBy("state", "before", "after").agg(F.sum("n").alias("n"))
+    uses = texts.mapInArrow(take, "bits int, part string, n bigint").groupBy("bits", "part").agg(F.sum("n").alias("n"))
+    sums = uses.mapInArrow(count, "state int, before string, after string, n bigint").groupBy("state", "before", "after").agg(F.sum("n").alias("n"))
     counts = {(r["state"], r["before"], r["after"]): r["n"] * RARER for r in sums.collect()}
     return counts, round(counts.pop((-1, "", ""), 0))
 

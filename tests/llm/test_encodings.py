@@ -152,3 +152,36 @@ def test_counts_equal_those_of_texts_garbled_as_a_whole():
         runs = [run for t in clean for run in e.RUN.findall(e.garble(t, pair) or "")]
         want = e.Counter(x for run in runs for x in zip(["", *run], [*run, ""]))
         assert {(a, b): n for (k, a, b), n in got.items() if k == state} == want, pair
+
+
+def test_each_part_is_garbled_once(monkeypatch):
+    rnd = random.Random(6)
+    texts = [sentence(rnd, lang) for lang in WORDS for _ in range(100)]
+    made, garble = [], e.garble
+    monkeypatch.setattr(e, "garble", lambda text, pair: made.append((text, pair)) or garble(text, pair))
+    e.learnt(texts)
+    assert 0 < len(made) == len(set(made)) <= len(e.PAIRS) * sum(map(len, WORDS.values()))
+
+
+def test_counts_in_spark_equal_those_of_all_texts(spark):
+    rnd = random.Random(7)
+    texts = [sentence(rnd, lang) for lang in WORDS for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "ascii", "", *texts]], "t string").repartition(4)
+    got, n = e._learnt_of(df)
+    want = e.learnt(dict.fromkeys(texts))
+    assert n == len(set(texts)) + 1 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_paths_only_where_they_may_leave_clean_text(model, monkeypatch):
+    rnd = random.Random(8)
+    sound = [sentence(rnd, lang) for lang in WORDS for _ in range(20)]
+    bad = [b for i, t in enumerate(sound) if (b := e.garble(t, e.PAIRS[i % len(e.PAIRS)])) and b != t]
+    long = " ".join(sound) * 12
+    assert sum(not c.isascii() for c in long) > 3 * e.HELD_STEPS
+    texts = [*sound, *bad, *(f"{rnd.choice(sound)} {b} {rnd.choice(sound)}" for b in bad), *(b[i : i + 3] for b in bad for i in range(0, 12, 3)), long, long + bad[0], bad[0] + long, long + bad[1] + long]
+    with_path = [model._path(t) if not t.isascii() else [] for t in texts]
+    asked, path = [], e.Model._path
+    monkeypatch.setattr(e.Model, "_path", lambda self, text: asked.append(text) or path(self, text))
+    assert [model.spans(t) for t in texts] == with_path and all(with_path[-3:])
+    asked.clear()
+    assert not any(model.spans(t) for t in [*sound, long]) and len(asked) <= 2
